@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import reports
+from tillroll.operators import customers, reports
 from tillroll.session import tune
 from tillroll.sources.transactions import clean_transactions, transactions_from_star
 
@@ -35,6 +35,45 @@ def q_clean_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decimals_to_double(df: DataFrame) -> DataFrame:
+    """Cast every DECIMAL column to DOUBLE (exact sums are done by then)."""
+    return df.select(*[
+        F.col(f.name).cast("double").alias(f.name)
+        if f.dataType.typeName() == "decimal" else F.col(f.name)
+        for f in df.schema.fields
+    ])
+
+
+def round_columns(df: DataFrame, names: list[str], places: int = 6) -> DataFrame:
+    """Round columns that pass through log/exp (last-ulp differences between
+    math libraries) for comparison with another engine."""
+    return df.select(*[
+        F.round(F.col(c), places).alias(c) if c in names else F.col(c) for c in df.columns
+    ])
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_transactions(_tx(spark, sf_dir))
+
+
+def q_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decimals_to_double(customers.rfm(_clean(spark, sf_dir)))
+
+
+def q_behaviour_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decimals_to_double(customers.behaviour_metrics(_clean(spark, sf_dir)))
+
+
+LOG_DERIVED = ["GrowthPotential", "GrowthPotentialScore"]
+
+
+def q_value_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _clean(spark, sf_dir)
+    orders = customers.order_summary(clean)
+    feats = customers.behaviour_metrics(clean, orders)
+    return round_columns(decimals_to_double(customers.value_projection(feats, clean, orders)), LOG_DERIVED)
+
+
 QUERIES: dict[str, Query] = {
     "revenue_by_country": _report(reports.revenue_by_country),
     "monthly_revenue": _report(reports.monthly_revenue),
@@ -42,4 +81,7 @@ QUERIES: dict[str, Query] = {
     "customer_frequency": _report(reports.customer_frequency),
     "category_revenue": _report(reports.category_revenue),
     "clean_transactions": q_clean_transactions,
+    "rfm": q_rfm,
+    "behaviour_metrics": q_behaviour_metrics,
+    "value_projection": q_value_projection,
 }

@@ -109,6 +109,91 @@ SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate,
        CAST(TotalAmount AS DOUBLE) AS TotalAmount
 FROM clean""")
 
+# Per-customer features, written the direct way: a LAG over all orders of a
+# customer (fine for an oracle; the Spark plan avoids it for skew).
+FEATURES = CLEAN + """,
+ord AS (
+    SELECT CustomerID, InvoiceNo, SUM(TotalAmount) AS OrderTotal, SUM(Quantity) AS OrderUnits,
+           MIN(InvoiceDate) AS OrderDate, MAX(InvoiceDate) AS LastDate
+    FROM clean GROUP BY CustomerID, InvoiceNo
+),
+maxd AS (SELECT MAX(InvoiceDate) AS MaxDate FROM clean),
+rfm AS (
+    SELECT CustomerID,
+           date_sub('day', MAX(InvoiceDate), (SELECT MaxDate FROM maxd) + INTERVAL 1 DAY) AS Recency,
+           COUNT(DISTINCT InvoiceNo) + MAX(CASE WHEN InvoiceNo IS NULL THEN 1 ELSE 0 END) AS Frequency,
+           SUM(TotalAmount) AS Monetary
+    FROM clean GROUP BY CustomerID
+    HAVING SUM(TotalAmount) > 0
+),
+gaps AS (
+    SELECT CustomerID,
+           date_sub('day', LAG(OrderDate) OVER (PARTITION BY CustomerID ORDER BY OrderDate), OrderDate) AS g
+    FROM ord WHERE InvoiceNo IS NOT NULL
+),
+reg AS (
+    SELECT CustomerID, CAST(COUNT(g) AS HUGEINT) AS n, CAST(COALESCE(SUM(g), 0) AS HUGEINT) AS s1,
+           CAST(COALESCE(SUM(g * g), 0) AS HUGEINT) AS s2
+    FROM gaps GROUP BY CustomerID
+),
+metrics AS (
+    SELECT o.CustomerID,
+           CAST(SUM(OrderTotal) FILTER (WHERE InvoiceNo IS NOT NULL) AS DOUBLE) / COUNT(InvoiceNo) AS AvgOrderValue,
+           CAST(SUM(OrderUnits) FILTER (WHERE InvoiceNo IS NOT NULL) AS DOUBLE) / COUNT(InvoiceNo) AS AvgItemsPerOrder,
+           MIN(OrderDate) AS FirstPurchase
+    FROM ord o GROUP BY o.CustomerID
+),
+diversity AS (
+    SELECT CustomerID,
+           COUNT(DISTINCT StockCode) + MAX(CASE WHEN StockCode IS NULL THEN 1 ELSE 0 END) AS ProductDiversity
+    FROM clean GROUP BY CustomerID
+),
+features AS (
+    SELECT r.CustomerID, r.Recency, r.Frequency, CAST(r.Monetary AS DOUBLE) AS Monetary,
+           m.AvgOrderValue, d.ProductDiversity, m.AvgItemsPerOrder,
+           CASE WHEN g.n > 0 THEN sqrt(CAST(g.n * g.s2 - g.s1 * g.s1 AS DOUBLE) / CAST(g.n * g.n AS DOUBLE))
+                ELSE 0.0 END AS PurchaseRegularity,
+           m.FirstPurchase
+    FROM rfm r
+    LEFT JOIN metrics m USING (CustomerID)
+    LEFT JOIN diversity d USING (CustomerID)
+    LEFT JOIN reg g USING (CustomerID)
+),
+proj AS (
+    SELECT f.*, date_sub('day', FirstPurchase, (SELECT MaxDate FROM maxd)) AS DaysSinceFirst
+    FROM features f
+),
+proj2 AS (
+    SELECT *, DaysSinceFirst / 30.44 AS MonthsActive FROM proj
+),
+proj3 AS (
+    SELECT *, Frequency / greatest(MonthsActive, 1.0) AS PurchaseRate,
+           Monetary / Frequency AS AvgTransactionValue,
+           (1.0 / ln(1 + Recency)) * ln(1 + Frequency) * ln(1 + Monetary) AS GrowthPotential
+    FROM proj2
+),
+projected AS (
+    SELECT *, PurchaseRate * 3 AS QuarterlyRate, PurchaseRate * 3 * AvgTransactionValue AS PredictedQuarterlyValue,
+           (GrowthPotential - MIN(GrowthPotential) OVER ())
+             / NULLIF(MAX(GrowthPotential) OVER () - MIN(GrowthPotential) OVER (), 0) * 100 AS GrowthPotentialScore
+    FROM proj3
+)"""
+
+RFM = _with(FEATURES, """
+SELECT CustomerID, Recency, Frequency, CAST(Monetary AS DOUBLE) AS Monetary FROM rfm""")
+
+BEHAVIOUR_METRICS = _with(FEATURES, """
+SELECT CustomerID, Recency, Frequency, Monetary, AvgOrderValue, ProductDiversity,
+       AvgItemsPerOrder, PurchaseRegularity
+FROM features""")
+
+VALUE_PROJECTION = _with(FEATURES, """
+SELECT CustomerID, Recency, Frequency, Monetary, AvgOrderValue, ProductDiversity,
+       AvgItemsPerOrder, PurchaseRegularity, FirstPurchase, DaysSinceFirst, MonthsActive,
+       PurchaseRate, QuarterlyRate, AvgTransactionValue, PredictedQuarterlyValue,
+       round(GrowthPotential, 6) AS GrowthPotential, round(GrowthPotentialScore, 6) AS GrowthPotentialScore
+FROM projected""")
+
 ORACLES: dict[str, str] = {
     "revenue_by_country": REVENUE_BY_COUNTRY,
     "monthly_revenue": MONTHLY_REVENUE,
@@ -116,6 +201,9 @@ ORACLES: dict[str, str] = {
     "customer_frequency": CUSTOMER_FREQUENCY,
     "category_revenue": CATEGORY_REVENUE,
     "clean_transactions": CLEAN_TRANSACTIONS,
+    "rfm": RFM,
+    "behaviour_metrics": BEHAVIOUR_METRICS,
+    "value_projection": VALUE_PROJECTION,
 }
 
 __all__ = ["ORACLES", "HALF_EVEN", "HALF_UP", "rr"]
