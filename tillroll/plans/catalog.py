@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import customers, reports
+from tillroll.operators import customers, insights, playbook, reports, segments
 from tillroll.session import tune
 from tillroll.sources.transactions import clean_transactions, transactions_from_star
 
@@ -74,6 +74,109 @@ def q_value_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(decimals_to_double(customers.value_projection(feats, clean, orders)), LOG_DERIVED)
 
 
+# ---- segment-level operators on a deterministic stand-in clustering ----
+# K-means assignments cannot be reproduced in SQL, so the operators that
+# consume clusters (labelling, insights, summary, playbook, ...) are
+# registered over Cluster = CustomerID % 5: every customer, all rows, a
+# clustering that an independent SQL engine can recompute exactly.
+STANDIN_CLUSTERS = 5
+
+MEAN_DOUBLES = ["AvgOrderValue", "AvgItemsPerOrder"]
+
+
+def standin_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _clean(spark, sf_dir)
+    orders = customers.order_summary(clean)
+    feats = customers.behaviour_metrics(clean, orders)
+    clustered = feats.withColumn("Cluster", (F.col("CustomerID") % STANDIN_CLUSTERS).cast("int"))
+    labels = segments.label_clusters(clustered)
+    segmented = segments.attach_segments(clustered, labels)
+    return customers.value_projection(segmented, clean, orders)
+
+
+def q_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _clean(spark, sf_dir)
+    feats = customers.behaviour_metrics(clean)
+    clustered = feats.withColumn("Cluster", (F.col("CustomerID") % STANDIN_CLUSTERS).cast("int"))
+    return round_columns(segments.label_clusters(clustered), MEAN_DOUBLES)
+
+
+def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.segment_insights(standin_final(spark, sf_dir))
+
+
+def q_segment_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insights(spark, sf_dir)
+
+
+def q_segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.segment_summary(_insights(spark, sf_dir))
+
+
+def q_date_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.date_dimension(standin_final(spark, sf_dir))
+
+
+def q_cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(segments.cluster_profile(standin_final(spark, sf_dir)), segments.PROFILE_FEATURES)
+
+
+def q_segment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.segment_sizes(standin_final(spark, sf_dir))
+
+
+def q_segment_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.segment_ranking(_insights(spark, sf_dir))
+
+
+def q_headline_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.headline_kpis(_insights(spark, sf_dir))
+
+
+def q_customer_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decimals_to_double(insights.customer_sample(standin_final(spark, sf_dir)))
+
+
+def q_segment_interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return playbook.segment_interpretation(_insights(spark, sf_dir))
+
+
+def q_segment_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return playbook.segment_actions(_insights(spark, sf_dir))
+
+
+def q_customer_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return playbook.customer_actions(standin_final(spark, sf_dir))
+
+
+def q_segment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return playbook.segment_kpis(_insights(spark, sf_dir))
+
+
+# ---- K-means and PCA (not expressible in SQL: rows-only checks) ----
+
+def _kmeans(spark: SparkSession, sf_dir: str):
+    clean = _clean(spark, sf_dir)
+    orders = customers.order_summary(clean)
+    feats = customers.behaviour_metrics(clean, orders)
+    return segments.enhanced_segmentation(feats), clean, orders
+
+
+def q_kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (segmented, _labels, _curve), clean, orders = _kmeans(spark, sf_dir)
+    return decimals_to_double(customers.value_projection(segmented, clean, orders))
+
+
+def q_k_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (_seg, _labels, curve), _clean_df, _orders = _kmeans(spark, sf_dir)
+    return curve
+
+
+def q_pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _components = segments.pca_projection(standin_final(spark, sf_dir))
+    return scores
+
+
 QUERIES: dict[str, Query] = {
     "revenue_by_country": _report(reports.revenue_by_country),
     "monthly_revenue": _report(reports.monthly_revenue),
@@ -84,4 +187,20 @@ QUERIES: dict[str, Query] = {
     "rfm": q_rfm,
     "behaviour_metrics": q_behaviour_metrics,
     "value_projection": q_value_projection,
+    "cluster_labels": q_cluster_labels,
+    "segment_insights": q_segment_insights,
+    "segment_summary": q_segment_summary,
+    "date_dimension": q_date_dimension,
+    "cluster_profile": q_cluster_profile,
+    "segment_sizes": q_segment_sizes,
+    "segment_ranking": q_segment_ranking,
+    "headline_kpis": q_headline_kpis,
+    "customer_sample": q_customer_sample,
+    "segment_interpretation": q_segment_interpretation,
+    "segment_actions": q_segment_actions,
+    "customer_actions": q_customer_actions,
+    "segment_kpis": q_segment_kpis,
+    "kmeans_segments": q_kmeans_segments,
+    "k_selection": q_k_selection,
+    "pca_projection": q_pca_projection,
 }

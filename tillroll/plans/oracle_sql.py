@@ -13,6 +13,7 @@ schema (tables lineitem, orders, customer, nation, part are pre-registered).
 from __future__ import annotations
 
 from tillroll.functions.exact import HALF_EVEN, HALF_UP, ratio_round_sql
+from tillroll.operators import playbook
 
 
 def rr(num: str, den: str, scale: int = 2, mode: str = HALF_UP, num_scale: int = 0) -> str:
@@ -150,6 +151,7 @@ diversity AS (
 ),
 features AS (
     SELECT r.CustomerID, r.Recency, r.Frequency, CAST(r.Monetary AS DOUBLE) AS Monetary,
+           r.Monetary AS MonetaryDec,
            m.AvgOrderValue, d.ProductDiversity, m.AvgItemsPerOrder,
            CASE WHEN g.n > 0 THEN sqrt(CAST(g.n * g.s2 - g.s1 * g.s1 AS DOUBLE) / CAST(g.n * g.n AS DOUBLE))
                 ELSE 0.0 END AS PurchaseRegularity,
@@ -194,6 +196,229 @@ SELECT CustomerID, Recency, Frequency, Monetary, AvgOrderValue, ProductDiversity
        round(GrowthPotential, 6) AS GrowthPotential, round(GrowthPotentialScore, 6) AS GrowthPotentialScore
 FROM projected""")
 
+# ---- stand-in clustering (Cluster = CustomerID % 5) and what consumes it ----
+SEGMENTED = FEATURES + f""",
+standin AS (SELECT *, CAST(CustomerID % 5 AS INTEGER) AS Cluster FROM projected),
+means AS (
+    SELECT Cluster,
+           CAST(SUM(Recency) AS DOUBLE) / COUNT(*) AS Recency,
+           CAST(SUM(Frequency) AS DOUBLE) / COUNT(*) AS Frequency,
+           CAST(SUM(MonetaryDec) AS DOUBLE) / COUNT(*) AS Monetary,
+           SUM(AvgOrderValue) / COUNT(*) AS AvgOrderValue,
+           CAST(SUM(ProductDiversity) AS DOUBLE) / COUNT(*) AS ProductDiversity,
+           SUM(AvgItemsPerOrder) / COUNT(*) AS AvgItemsPerOrder
+    FROM standin GROUP BY Cluster
+),
+qs AS (
+    SELECT quantile_cont(Recency, 0.25) AS r25, quantile_cont(Recency, 0.5) AS r50,
+           quantile_cont(Frequency, 0.5) AS f50, quantile_cont(Frequency, 0.75) AS f75,
+           quantile_cont(Monetary, 0.5) AS m50, quantile_cont(Monetary, 0.75) AS m75
+    FROM means
+),
+labels AS (
+    SELECT m.*,
+           (CASE WHEN Recency < r25 THEN 'Active' WHEN Recency < r50 THEN 'Recent' ELSE 'Inactive' END)
+           || ' ' ||
+           (CASE WHEN Frequency > f75 THEN 'Loyal' WHEN Frequency > f50 THEN 'Regular' ELSE 'Occasional' END)
+           || ' ' ||
+           (CASE WHEN Monetary > m75 THEN 'High-Value' WHEN Monetary > m50 THEN 'Mid-Value' ELSE 'Low-Value' END)
+           AS Segment
+    FROM means m CROSS JOIN qs
+),
+final AS (SELECT s.*, l.Segment FROM standin s LEFT JOIN labels l USING (Cluster)),
+ins AS (
+    SELECT Segment,
+           {rr('SUM(Recency)', 'COUNT(Recency)', 2, HALF_EVEN)} AS Recency,
+           {rr('SUM(Frequency)', 'COUNT(Frequency)', 2, HALF_EVEN)} AS Frequency,
+           {rr('SUM(MonetaryDec)', 'COUNT(MonetaryDec)', 2, HALF_EVEN, 2)} AS Monetary,
+           round_even(AVG(AvgOrderValue), 2) AS AvgOrderValue,
+           {rr('SUM(ProductDiversity)', 'COUNT(ProductDiversity)', 2, HALF_EVEN)} AS ProductDiversity,
+           round_even(AVG(PredictedQuarterlyValue), 2) AS PredictedQuarterlyValue,
+           round_even(AVG(GrowthPotentialScore), 2) AS GrowthPotentialScore,
+           COUNT(*) AS CustomerCount
+    FROM final GROUP BY Segment
+),
+tot AS (SELECT SUM(CustomerCount) AS total FROM ins),
+insights AS (
+    SELECT ins.*, {rr('CustomerCount * 100', 'total', 2, HALF_EVEN)} AS PercentOfCustomers
+    FROM ins CROSS JOIN tot
+)"""
+
+CLUSTER_LABELS = _with(SEGMENTED, """
+SELECT Cluster, Recency, Frequency, Monetary, round(AvgOrderValue, 6) AS AvgOrderValue,
+       ProductDiversity, round(AvgItemsPerOrder, 6) AS AvgItemsPerOrder, Segment
+FROM labels""")
+
+SEGMENT_INSIGHTS = _with(SEGMENTED, "\nSELECT * FROM insights")
+
+SEGMENT_SUMMARY = _with(SEGMENTED + """,
+base AS (
+    SELECT Segment, CustomerCount, PercentOfCustomers AS PercentOfTotal,
+           Monetary * CustomerCount AS TotalRevenue, Monetary AS AvgMonetary,
+           Frequency AS AvgFrequency, Recency AS AvgRecency, AvgOrderValue, ProductDiversity,
+           PredictedQuarterlyValue * CustomerCount AS PredictedValue, GrowthPotentialScore AS GrowthScore
+    FROM insights
+),
+med AS (SELECT median(CustomerCount) AS mc, median(AvgMonetary) AS mm FROM base)""", """
+SELECT base.*,
+       CASE WHEN CustomerCount < mc / 2 AND AvgMonetary < mm / 2 AND GrowthScore < 25 THEN 'Low'
+            WHEN CustomerCount > mc OR AvgMonetary > mm OR GrowthScore > 50 THEN 'High'
+            ELSE 'Medium' END AS Priority
+FROM base CROSS JOIN med""")
+
+DATE_DIMENSION = _with(SEGMENTED + """,
+span AS (SELECT MIN(FirstPurchase) AS lo, MAX(FirstPurchase) AS hi FROM final),
+days AS (SELECT unnest(generate_series(lo, hi + INTERVAL 90 DAY, INTERVAL 1 DAY)) AS Date FROM span)""", """
+SELECT Date, year(Date) AS Year, quarter(Date) AS Quarter, month(Date) AS Month,
+       strftime(Date, '%B') AS MonthName, weekofyear(Date) AS Week, day(Date) AS Day,
+       isodow(Date) - 1 AS Weekday, strftime(Date, '%A') AS WeekdayName,
+       CASE WHEN isodow(Date) IN (6, 7) THEN 1 ELSE 0 END AS IsWeekend
+FROM days""")
+
+_PROFILE = ["Recency", "Frequency", "Monetary", "AvgOrderValue", "ProductDiversity", "AvgItemsPerOrder"]
+
+CLUSTER_PROFILE = _with(SEGMENTED, "\nSELECT Cluster, " + ",\n       ".join(
+    f"round(({c} - MIN({c}) OVER ()) / NULLIF(MAX({c}) OVER () - MIN({c}) OVER (), 0), 6) AS {c}"
+    for c in _PROFILE) + "\nFROM means")
+
+SEGMENT_SIZES = _with(SEGMENTED, """
+SELECT 'Cluster' AS Level, CAST(Cluster AS VARCHAR) AS Name, COUNT(*) AS CustomerCount FROM final GROUP BY Cluster
+UNION ALL
+SELECT 'Segment' AS Level, Segment AS Name, COUNT(*) AS CustomerCount FROM final GROUP BY Segment""")
+
+_RANKED = ["Monetary", "Frequency", "PredictedQuarterlyValue", "GrowthPotentialScore",
+           "AvgOrderValue", "ProductDiversity"]
+
+SEGMENT_RANKING = _with(SEGMENTED + ",\nlong AS (\n" + "\n    UNION ALL\n".join(
+    f"    SELECT '{m}' AS Metric, Segment, CAST({m} AS DOUBLE) AS Value FROM insights" for m in _RANKED)
+    + "\n)", """
+SELECT Metric, Segment, Value,
+       ROW_NUMBER() OVER (PARTITION BY Metric ORDER BY Value DESC, Segment) AS Rank
+FROM long""")
+
+HEADLINE_KPIS = _with(SEGMENTED, """
+SELECT CAST(SUM(CustomerCount) AS BIGINT) AS TotalCustomers,
+       CAST(SUM(CAST(Monetary AS DECIMAL(18,2)) * CustomerCount) AS DOUBLE) AS TotalRevenue,
+       CAST(SUM(CAST(Monetary AS DECIMAL(18,2)) * CustomerCount) AS DOUBLE)
+           / CAST(SUM(CustomerCount) AS DOUBLE) AS AvgCustomerValue,
+       CAST(SUM(CAST(PredictedQuarterlyValue AS DECIMAL(18,2)) * CustomerCount) AS DOUBLE)
+           AS PredictedQuarterlyRevenue
+FROM insights""")
+
+
+# ---- playbook: the rule texts as tables, first matching rule by number ----
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], names: list[str]) -> str:
+    body = ",\n        ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES\n        {body}) AS t({', '.join(names)})"
+
+
+def _words(words: tuple, n: int = 3) -> tuple:
+    return tuple(list(words) + [None] * (n - len(words)))
+
+
+def _match(rules_cte: str) -> str:
+    return f"""
+matched AS (
+    SELECT s.Segment, MIN(r.rule_no) AS rule_no
+    FROM segs s JOIN {rules_cte} r
+      ON contains(s.Segment, r.w1)
+     AND (r.w2 IS NULL OR contains(s.Segment, r.w2))
+     AND (r.w3 IS NULL OR contains(s.Segment, r.w3))
+    GROUP BY s.Segment
+)"""
+
+
+_char_rows = []
+for _g, _intro, _details in playbook.CHARACTERISTICS:
+    for _w, _text in _details:
+        _char_rows.append((len(_char_rows) + 1, *_words((_g, *_w)),
+                           playbook.CHARACTERISTICS_HEADER + _intro + _text))
+
+_rec_rows, _act_rows = [], []
+for _g, _branches in playbook.RECOMMENDATIONS:
+    for _w, _prio, _focus, _actions in _branches:
+        _no = len(_rec_rows) + 1
+        _rec_rows.append((_no, *_words((_g, *_w)), _prio, _focus))
+        for _i, (_t, _d) in enumerate(_actions):
+            _act_rows.append((_no, _i + 1, _t, _d))
+
+_kpi_rules, _kpi_rows = [], []
+
+
+def _add_kpis(words: tuple, specific: list[str]) -> None:
+    no = len(_kpi_rules) + 1
+    _kpi_rules.append((no, *_words(words)))
+    items = [("Universal", k) for k in playbook.UNIVERSAL_KPIS] + [("Segment-Specific", k) for k in specific]
+    for i, (grp, k) in enumerate(items):
+        _kpi_rows.append((no, i + 1, grp, k))
+
+
+for _g, _common, _extras in playbook.SEGMENT_KPIS:
+    for _w, _extra in _extras:
+        _add_kpis((_g, *_w), _common + _extra)
+    _add_kpis((_g,), _common)
+_KPI_FALLBACK = len(_kpi_rules) + 1
+for _i, _k in enumerate(playbook.UNIVERSAL_KPIS):
+    _kpi_rows.append((_KPI_FALLBACK, _i + 1, "Universal", _k))
+
+_W = ["rule_no", "w1", "w2", "w3"]
+
+SEGMENT_INTERPRETATION = _with(SEGMENTED + f""",
+segs AS (SELECT * FROM insights),
+char_rules AS (SELECT * FROM {_values(_char_rows, _W + ['txt'])}),""" + _match("char_rules") + """,
+blocks AS (
+    SELECT s.Segment,
+           '### ' || s.Segment || ' Segment Analysis' || chr(10) || chr(10)
+           || '**Customer Base:** ' || format('{:,.0f}', CAST(CustomerCount AS DOUBLE)) || ' customers '
+           || '(' || format('{:.1f}', PercentOfCustomers) || '% of total)' || chr(10) || chr(10)
+           || '**Key Metrics:**' || chr(10)
+           || '- **Recency:** ' || format('{:.1f}', Recency) || ' days since last purchase' || chr(10)
+           || '- **Frequency:** ' || format('{:.1f}', Frequency) || ' purchases on average' || chr(10)
+           || '- **Monetary:** $' || format('{:,.2f}', Monetary) || ' average total spend' || chr(10)
+           || '- **Average Order Value:** $' || format('{:,.2f}', AvgOrderValue) || chr(10)
+           || '- **Product Diversity:** ' || format('{:.1f}', ProductDiversity)
+           || ' unique products purchased' || chr(10)
+           || '- **Predicted Quarterly Value:** $' || format('{:,.2f}', PredictedQuarterlyValue) || chr(10)
+           || '- **Growth Potential Score:** ' || format('{:.1f}', GrowthPotentialScore) || '/100'
+           || chr(10) || chr(10) AS block
+    FROM segs s
+)""", """
+SELECT b.Segment, r.txt AS Characteristics, b.block || COALESCE(r.txt, '') AS Interpretation
+FROM blocks b LEFT JOIN matched m USING (Segment) LEFT JOIN char_rules r USING (rule_no)""")
+
+_ACTION_CTES = f""",
+rec_rules AS (SELECT * FROM {_values(_rec_rows, _W + ['ActionPriority', 'Focus'])}),
+actions AS (SELECT * FROM {_values(_act_rows, ['rule_no', 'Rank', 'Action', 'Detail'])}),"""
+
+SEGMENT_ACTIONS = _with(SEGMENTED + ",\nsegs AS (SELECT Segment FROM insights)" + _ACTION_CTES
+                        + _match("rec_rules"), """
+SELECT s.Segment, r.ActionPriority, r.Focus, a.Rank, a.Action, a.Detail
+FROM segs s LEFT JOIN matched m USING (Segment) LEFT JOIN rec_rules r USING (rule_no)
+LEFT JOIN actions a USING (rule_no)""")
+
+CUSTOMER_ACTIONS = _with(SEGMENTED + ",\nsegs AS (SELECT DISTINCT Segment FROM final)" + _ACTION_CTES
+                         + _match("rec_rules"), """
+SELECT f.CustomerID, f.Segment, r.ActionPriority, a.Rank, a.Action
+FROM final f LEFT JOIN matched m USING (Segment) LEFT JOIN rec_rules r USING (rule_no)
+LEFT JOIN actions a USING (rule_no)""")
+
+SEGMENT_KPIS = _with(SEGMENTED + f""",
+segs AS (SELECT Segment FROM insights),
+kpi_rules AS (SELECT * FROM {_values(_kpi_rules, _W)}),
+kpis AS (SELECT * FROM {_values(_kpi_rows, ['rule_no', 'Rank', 'KpiGroup', 'Kpi'])}),""" + _match("kpi_rules"), f"""
+SELECT s.Segment, k.KpiGroup, k.Rank, k.Kpi
+FROM segs s LEFT JOIN matched m USING (Segment)
+JOIN kpis k ON k.rule_no = COALESCE(m.rule_no, {_KPI_FALLBACK})""")
+
 ORACLES: dict[str, str] = {
     "revenue_by_country": REVENUE_BY_COUNTRY,
     "monthly_revenue": MONTHLY_REVENUE,
@@ -204,6 +429,18 @@ ORACLES: dict[str, str] = {
     "rfm": RFM,
     "behaviour_metrics": BEHAVIOUR_METRICS,
     "value_projection": VALUE_PROJECTION,
+    "cluster_labels": CLUSTER_LABELS,
+    "segment_insights": SEGMENT_INSIGHTS,
+    "segment_summary": SEGMENT_SUMMARY,
+    "date_dimension": DATE_DIMENSION,
+    "cluster_profile": CLUSTER_PROFILE,
+    "segment_sizes": SEGMENT_SIZES,
+    "segment_ranking": SEGMENT_RANKING,
+    "headline_kpis": HEADLINE_KPIS,
+    "segment_interpretation": SEGMENT_INTERPRETATION,
+    "segment_actions": SEGMENT_ACTIONS,
+    "customer_actions": CUSTOMER_ACTIONS,
+    "segment_kpis": SEGMENT_KPIS,
 }
 
 __all__ = ["ORACLES", "HALF_EVEN", "HALF_UP", "rr"]
