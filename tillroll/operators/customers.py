@@ -2,10 +2,11 @@
 
 Plan shape
 ----------
-Everything is derived from one *order-level* aggregate keyed on
-(CustomerID, InvoiceNo) - the reference groups by that pair three times;
-here it is one hash aggregate, hash partitioned on both keys, so the
-invoices of a hot customer spread over all reducers. Customer-level
+Everything is derived from one pass over the lines that aggregates two
+grouping sets at once: orders (CustomerID, InvoiceNo) - the reference
+groups by that pair three times - and products (CustomerID, StockCode).
+The aggregate is hash partitioned on all keys, so the invoices of a hot
+customer spread over all reducers. Customer-level
 aggregates on top of it are partial (map-side) aggregates too. The only
 order-dependent step, the gaps between consecutive purchases, is computed
 without a per-customer window (see :func:`purchase_regularity`).
@@ -20,36 +21,85 @@ gives bit-identical results.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import count_unique_with_null, whole_days
+from tillroll.functions.columns import whole_days
+from tillroll.session import materialize as _materialize
 
 DAYS_PER_MONTH = 30.44  # fixed value: mean month length used by the projection
 QUARTER_MONTHS = 3
 
 
-def order_summary(clean: DataFrame) -> DataFrame:
-    """One row per (CustomerID, InvoiceNo): order total (DECIMAL), units,
-    first and last line timestamp. A NULL InvoiceNo is its own group."""
-    return clean.groupBy("CustomerID", "InvoiceNo").agg(
+class CustomerBase(NamedTuple):
+    """The two per-customer building blocks derived from the lines:
+
+    orders    one row per (CustomerID, InvoiceNo): OrderTotal (DECIMAL),
+              OrderUnits, OrderDate (first line), LastDate (last line)
+    products  one row per (CustomerID, StockCode) bought
+    """
+
+    orders: DataFrame
+    products: DataFrame
+
+
+ORDER_SET, PRODUCT_SET = 1, 2  # grouping_id values of the two grouping sets
+
+
+def line_rollup(clean: DataFrame) -> DataFrame:
+    """Both building blocks in one pass over the lines:
+    ``GROUP BY GROUPING SETS ((CustomerID, InvoiceNo), (CustomerID, StockCode))``.
+    One scan, one Expand, partial aggregation, one shuffle on all keys (a
+    hot customer's invoices and products spread over the reducers)."""
+    return clean.groupingSets(
+        [["CustomerID", "InvoiceNo"], ["CustomerID", "StockCode"]], "CustomerID", "InvoiceNo", "StockCode"
+    ).agg(
         F.sum("TotalAmount").alias("OrderTotal"),
         F.sum("Quantity").alias("OrderUnits"),
         F.min("InvoiceDate").alias("OrderDate"),
         F.max("InvoiceDate").alias("LastDate"),
+        F.grouping_id().alias("gid"),
     )
 
 
+def customer_base(clean: DataFrame, materialize: bool = False) -> CustomerBase:
+    """Split the rollup into orders and products; with ``materialize`` the
+    rollup is checkpointed first so the transaction joins run once."""
+    rollup = line_rollup(clean)
+    if materialize:
+        rollup = _materialize(rollup)
+    orders = rollup.filter(F.col("gid") == ORDER_SET).select(
+        "CustomerID", "InvoiceNo", "OrderTotal", "OrderUnits", "OrderDate", "LastDate")
+    products = rollup.filter(F.col("gid") == PRODUCT_SET).select("CustomerID", "StockCode")
+    return CustomerBase(orders, products)
+
+
+def _base(src: DataFrame | CustomerBase) -> CustomerBase:
+    return src if isinstance(src, CustomerBase) else customer_base(src)
+
+
+def order_summary(clean: DataFrame) -> DataFrame:
+    """One row per (CustomerID, InvoiceNo); a NULL InvoiceNo is its own group."""
+    return customer_base(clean).orders
+
+
 def latest_invoice(orders: DataFrame) -> DataFrame:
     """1-row frame with the latest invoice timestamp of the data set."""
     return orders.agg(F.max("LastDate").alias("MaxDate"))
 
 
-def rfm(clean: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+def _recency(last: str = "LastPurchase") -> F.Column:
+    return whole_days(F.col(last), F.col("MaxDate") + F.expr("INTERVAL 1 DAY"))
+
+
+def rfm(src: DataFrame | CustomerBase) -> DataFrame:
     """Recency (whole days from the last purchase to one day after the
-    latest invoice), Frequency (distinct invoices), Monetary (sum of line
-    amounts); customers with Monetary <= 0 are dropped."""
-    orders = order_summary(clean) if orders is None else orders
+    latest invoice), Frequency (distinct invoices, NULL counted once),
+    Monetary (sum of line amounts); customers with Monetary <= 0 dropped.
+    ``src`` is the cleaned lines or their :class:`CustomerBase`."""
+    orders = _base(src).orders
     per_customer = orders.groupBy("CustomerID").agg(
         F.max("LastDate").alias("LastPurchase"),
         F.count(F.lit(1)).alias("Frequency"),
@@ -57,12 +107,7 @@ def rfm(clean: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     )
     return (
         per_customer.crossJoin(F.broadcast(latest_invoice(orders)))
-        .select(
-            "CustomerID",
-            whole_days(F.col("LastPurchase"), F.col("MaxDate") + F.expr("INTERVAL 1 DAY")).alias("Recency"),
-            "Frequency",
-            "Monetary",
-        )
+        .select("CustomerID", _recency().alias("Recency"), "Frequency", "Monetary")
         .filter(F.col("Monetary") > 0)
     )
 
@@ -115,38 +160,42 @@ def purchase_regularity(orders: DataFrame, bucket: str = "hour") -> DataFrame:
     )
 
 
-def behaviour_metrics(clean: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+def behaviour_metrics(src: DataFrame | CustomerBase) -> DataFrame:
     """U8: RFM plus AvgOrderValue (mean order total), ProductDiversity
     (distinct StockCode, NULL counted), AvgItemsPerOrder (mean order units)
     and PurchaseRegularity. Order means skip a NULL InvoiceNo, as a pandas
-    group-by does."""
-    orders = order_summary(clean) if orders is None else orders
+    group-by does.
+
+    One aggregate over the orders gives RFM and the order means; diversity
+    and regularity are aggregates of their own. All three come out hash
+    partitioned on CustomerID, so the joins need no further shuffle.
+    """
+    base = _base(src)
+    orders = base.orders
     known = F.col("InvoiceNo").isNotNull()
-    order_means = orders.groupBy("CustomerID").agg(
-        (
-            F.sum(F.when(known, F.col("OrderTotal"))).cast("double") / F.count("InvoiceNo").cast("double")
-        ).alias("AvgOrderValue"),
-        (
-            F.sum(F.when(known, F.col("OrderUnits"))).cast("double") / F.count("InvoiceNo").cast("double")
-        ).alias("AvgItemsPerOrder"),
-    )
-    diversity = clean.groupBy("CustomerID").agg(
-        count_unique_with_null(F.col("StockCode")).alias("ProductDiversity")
+    n_known = F.count("InvoiceNo").cast("double")
+    per_customer = orders.groupBy("CustomerID").agg(
+        F.max("LastDate").alias("LastPurchase"),
+        F.count(F.lit(1)).alias("Frequency"),
+        F.sum("OrderTotal").alias("Monetary"),
+        (F.sum(F.when(known, F.col("OrderTotal"))).cast("double") / n_known).alias("AvgOrderValue"),
+        (F.sum(F.when(known, F.col("OrderUnits"))).cast("double") / n_known).alias("AvgItemsPerOrder"),
     )
+    diversity = base.products.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("ProductDiversity"))
     return (
-        rfm(clean, orders)
-        .join(order_means, "CustomerID", "left")
+        per_customer.filter(F.col("Monetary") > 0)
+        .crossJoin(F.broadcast(latest_invoice(orders)))
         .join(diversity, "CustomerID", "left")
         .join(purchase_regularity(orders), "CustomerID", "left")
         .select(
-            "CustomerID", "Recency", "Frequency", "Monetary", "AvgOrderValue",
+            "CustomerID", _recency().alias("Recency"), "Frequency", "Monetary", "AvgOrderValue",
             "ProductDiversity", "AvgItemsPerOrder",
             F.coalesce(F.col("PurchaseRegularity"), F.lit(0.0)).alias("PurchaseRegularity"),
         )
     )
 
 
-def value_projection(customers: DataFrame, clean: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+def value_projection(customers: DataFrame, src: DataFrame | CustomerBase) -> DataFrame:
     """Next-quarter value and a 0-100 growth score per customer.
 
     DaysSinceFirst counts whole days from the first purchase to the latest
@@ -154,7 +203,7 @@ def value_projection(customers: DataFrame, clean: DataFrame, orders: DataFrame |
     GrowthPotential = log1p(F) * log1p(M) / log1p(R) over all customers via
     a broadcast 1-row min/max; it is NULL when all potentials are equal.
     """
-    orders = order_summary(clean) if orders is None else orders
+    orders = _base(src).orders
     first = orders.groupBy("CustomerID").agg(F.min("OrderDate").alias("FirstPurchase"))
     monetary = F.col("Monetary").cast("double")
     months_active = F.col("DaysSinceFirst") / F.lit(DAYS_PER_MONTH)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import customers, insights, playbook, reports, segments
-from tillroll.session import tune
+from tillroll.session import materialize, tune
 from tillroll.sources.transactions import clean_transactions, transactions_from_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,11 +67,16 @@ def q_behaviour_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_DERIVED = ["GrowthPotential", "GrowthPotentialScore"]
 
 
+def _base(spark: SparkSession, sf_dir: str) -> customers.CustomerBase:
+    """Line rollup of the whole data set, checkpointed: the transaction
+    joins run once however many steps read the orders and products."""
+    return customers.customer_base(_clean(spark, sf_dir), materialize=True)
+
+
 def q_value_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _clean(spark, sf_dir)
-    orders = customers.order_summary(clean)
-    feats = customers.behaviour_metrics(clean, orders)
-    return round_columns(decimals_to_double(customers.value_projection(feats, clean, orders)), LOG_DERIVED)
+    base = _base(spark, sf_dir)
+    feats = customers.behaviour_metrics(base)
+    return round_columns(decimals_to_double(customers.value_projection(feats, base)), LOG_DERIVED)
 
 
 # ---- segment-level operators on a deterministic stand-in clustering ----
@@ -84,19 +89,23 @@ STANDIN_CLUSTERS = 5
 MEAN_DOUBLES = ["AvgOrderValue", "AvgItemsPerOrder"]
 
 
+def _features(spark: SparkSession, sf_dir: str):
+    base = _base(spark, sf_dir)
+    return materialize(customers.behaviour_metrics(base)), base
+
+
 def standin_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _clean(spark, sf_dir)
-    orders = customers.order_summary(clean)
-    feats = customers.behaviour_metrics(clean, orders)
+    """Customer table after (stand-in) segmentation and value projection,
+    checkpointed because every segment-level result reads it."""
+    feats, base = _features(spark, sf_dir)
     clustered = feats.withColumn("Cluster", (F.col("CustomerID") % STANDIN_CLUSTERS).cast("int"))
-    labels = segments.label_clusters(clustered)
+    labels = segments.label_clusters(clustered, materialize=True)
     segmented = segments.attach_segments(clustered, labels)
-    return customers.value_projection(segmented, clean, orders)
+    return materialize(customers.value_projection(segmented, base))
 
 
 def q_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _clean(spark, sf_dir)
-    feats = customers.behaviour_metrics(clean)
+    feats, _base_unused = _features(spark, sf_dir)
     clustered = feats.withColumn("Cluster", (F.col("CustomerID") % STANDIN_CLUSTERS).cast("int"))
     return round_columns(segments.label_clusters(clustered), MEAN_DOUBLES)
 
@@ -156,19 +165,17 @@ def q_segment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- K-means and PCA (not expressible in SQL: rows-only checks) ----
 
 def _kmeans(spark: SparkSession, sf_dir: str):
-    clean = _clean(spark, sf_dir)
-    orders = customers.order_summary(clean)
-    feats = customers.behaviour_metrics(clean, orders)
-    return segments.enhanced_segmentation(feats), clean, orders
+    feats, base = _features(spark, sf_dir)
+    return segments.enhanced_segmentation(feats), base
 
 
 def q_kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (segmented, _labels, _curve), clean, orders = _kmeans(spark, sf_dir)
-    return decimals_to_double(customers.value_projection(segmented, clean, orders))
+    (segmented, _labels, _curve), base = _kmeans(spark, sf_dir)
+    return decimals_to_double(customers.value_projection(segmented, base))
 
 
 def q_k_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (_seg, _labels, curve), _clean_df, _orders = _kmeans(spark, sf_dir)
+    (_seg, _labels, curve), _base_unused = _kmeans(spark, sf_dir)
     return curve
 
 

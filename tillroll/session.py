@@ -79,3 +79,13 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     return tune(spark)
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of ``df`` by a reliable checkpoint into the session's
+    checkpoint folder (shared on a cluster). Used where a result feeds
+    several later steps (the line rollup, the customer table), so the
+    transaction joins run once and a lost executor recomputes from the
+    checkpoint rather than from the raw tables."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
