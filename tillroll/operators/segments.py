@@ -287,16 +287,20 @@ def pca_projection(segmented: DataFrame, k: int = 2):
 
 def cluster_profile(segmented: DataFrame, cluster_col: str = "Cluster") -> DataFrame:
     """U16: per-cluster feature means, min-max scaled across clusters
-    (NULL where all clusters share a value). The range is a 1-row
-    aggregate over the k-row table of means."""
+    (NULL where all clusters share a value).
+
+    The min/max come from a window over the k-row table of means (at most
+    k rows in one task). A self-join with an aggregate of the means would
+    evaluate the floating-point means twice, in different summation
+    orders, and the top cluster would come out as 0.99999... instead of 1.
+    """
     means = cluster_means(segmented, cluster_col)
-    bounds = means.agg(*[
-        e for c in PROFILE_FEATURES for e in (F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"))
-    ])
-    return means.crossJoin(F.broadcast(bounds)).select(
+    clusters = Window.partitionBy()  # the k cluster rows only
+    return means.select(
         cluster_col,
         *[
-            F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")).alias(c)
+            F.try_divide(F.col(c) - F.min(c).over(clusters), F.max(c).over(clusters) - F.min(c).over(clusters))
+            .alias(c)
             for c in PROFILE_FEATURES
         ],
     )
