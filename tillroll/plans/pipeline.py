@@ -32,7 +32,7 @@ def run_pipeline(
     n_init: int = 10,
     seed: int = 42,
     max_iter: int = 300,
-    parallelism: int = 4,
+    parallelism: int = 16,
     sweep_fraction: float = 1.0,
 ) -> dict[str, DataFrame]:
     """Run the whole analysis on invoice lines ``tx``.
