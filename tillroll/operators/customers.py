@@ -69,7 +69,7 @@ def customer_base(clean: DataFrame, materialize: bool = False) -> CustomerBase:
     rollup is checkpointed first so the transaction joins run once."""
     rollup = line_rollup(clean)
     if materialize:
-        rollup = _materialize(rollup)
+        rollup = _materialize(rollup, "line_rollup")
     orders = rollup.filter(F.col("gid") == ORDER_SET).select(
         "CustomerID", "InvoiceNo", "OrderTotal", "OrderUnits", "OrderDate", "LastDate")
     products = rollup.filter(F.col("gid") == PRODUCT_SET).select("CustomerID", "StockCode")

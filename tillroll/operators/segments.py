@@ -5,7 +5,7 @@ Scale notes
 -----------
 * Standardisation uses a broadcast 1-row aggregate (mean, population std),
   not a global window, so no stage funnels all customers into one task.
-* The scaled feature vectors are checkpointed to the session's reliable
+* The scaled feature vectors are written as a table in the session's
   checkpoint folder before the k sweep: every fit then reads a fixed table
   (no re-run of the transaction joins, and a lost executor cannot change
   the standardisation statistics between fits).
@@ -29,7 +29,7 @@ from pyspark.storagelevel import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillroll.session import checkpoint_dir
+from tillroll.session import materialize as _materialize
 
 # The clustering inputs and the features whose skew is reduced.
 CLUSTER_FEATURES = [
@@ -87,8 +87,7 @@ def feature_vectors(customers: DataFrame, features=CLUSTER_FEATURES, log_feature
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
     vectors = vectors.select("CustomerID", "features", *features)
     if checkpoint:
-        checkpoint_dir(vectors.sparkSession)
-        vectors = vectors.checkpoint(eager=True)
+        vectors = _materialize(vectors, "vectors")
     return vectors
 
 
@@ -241,8 +240,7 @@ def label_clusters(segmented: DataFrame, cluster_col: str = "Cluster",
     ``materialize`` checkpoints the means anyway (for floating inputs)."""
     means = cluster_means(segmented, cluster_col)
     if materialize:
-        checkpoint_dir(means.sparkSession)
-        means = means.checkpoint(eager=True)
+        means = _materialize(means, "cluster_means")
     return label_rules(means, cluster_col)
 
 
