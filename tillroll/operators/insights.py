@@ -141,3 +141,40 @@ def customer_sample(final: DataFrame, n: int = 1000, seed: int = 42) -> DataFram
         .orderBy(F.xxhash64(F.col("CustomerID"), F.lit(seed)), F.col("CustomerID"))
         .limit(n)
     )
+
+
+def dashboard_text(insights: DataFrame) -> DataFrame:
+    """U20 text block (one row, column ``Summary``): the four headline
+    figures and a breakdown per segment in segment-name order, lines joined
+    with newlines. Built from the <= 27-row insights table with
+    ``collect_list`` + ``array_sort``; numbers formatted like Python's
+    ``{:,.0f}`` / ``{:.1f}``."""
+
+    def fmt(c, places, grouping=True):
+        s = F.format_number(c.cast("double"), places)
+        return s if grouping else F.regexp_replace(s, ",", "")
+
+    kpis = headline_kpis(insights)
+    head = kpis.select(F.concat_ws(
+        "\n",
+        F.concat(F.lit("Total Customers: "), fmt(F.col("TotalCustomers"), 0)),
+        F.concat(F.lit("Total Revenue: $"), fmt(F.col("TotalRevenue"), 0)),
+        F.concat(F.lit("Average Customer Value: $"), fmt(F.col("AvgCustomerValue"), 0)),
+        F.concat(F.lit("Predicted Quarterly Revenue: $"), fmt(F.col("PredictedQuarterlyRevenue"), 0)),
+        F.lit("\nSegment Breakdown:"),
+    ).alias("head"))
+    entries = insights.select(F.struct(
+        F.col("Segment").alias("k"),
+        F.concat(
+            F.lit("\n"), F.col("Segment"), F.lit(":"),
+            F.lit("\n  • "), fmt(F.col("CustomerCount"), 0), F.lit(" customers ("),
+            fmt(F.col("PercentOfCustomers"), 1, False), F.lit("%)"),
+            F.lit("\n  • $"), fmt(F.col("Monetary"), 0), F.lit(" avg. spend"),
+            F.lit("\n  • "), fmt(F.col("Frequency"), 1, False), F.lit(" avg. purchases"),
+            F.lit("\n  • Growth potential: "), fmt(F.col("GrowthPotentialScore"), 1, False), F.lit("/100"),
+        ).alias("v"),
+    ).alias("e"))
+    body = entries.agg(F.array_sort(F.collect_list("e")).alias("es"))
+    return head.crossJoin(body).select(
+        F.concat_ws("\n", F.col("head"), F.concat_ws("\n", F.transform("es", lambda e: e["v"]))).alias("Summary")
+    )

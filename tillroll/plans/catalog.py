@@ -142,6 +142,10 @@ def q_headline_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.headline_kpis(_insights(spark, sf_dir))
 
 
+def q_dashboard_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.dashboard_text(_insights(spark, sf_dir))
+
+
 def q_customer_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimals_to_double(insights.customer_sample(standin_final(spark, sf_dir)))
 
@@ -203,6 +207,7 @@ QUERIES: dict[str, Query] = {
     "segment_ranking": q_segment_ranking,
     "headline_kpis": q_headline_kpis,
     "customer_sample": q_customer_sample,
+    "dashboard_text": q_dashboard_text,
     "segment_interpretation": q_segment_interpretation,
     "segment_actions": q_segment_actions,
     "customer_actions": q_customer_actions,

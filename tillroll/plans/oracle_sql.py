@@ -306,6 +306,32 @@ SELECT CAST(SUM(CustomerCount) AS BIGINT) AS TotalCustomers,
 FROM insights""")
 
 
+DASHBOARD_TEXT = _with(SEGMENTED + """,
+kpi AS (
+    SELECT SUM(CustomerCount) AS tc,
+           CAST(SUM(CAST(Monetary AS DECIMAL(18,2)) * CustomerCount) AS DOUBLE) AS rev,
+           CAST(SUM(CAST(PredictedQuarterlyValue AS DECIMAL(18,2)) * CustomerCount) AS DOUBLE) AS pqr
+    FROM insights
+),
+body AS (
+    SELECT string_agg(
+             chr(10) || Segment || ':'
+             || chr(10) || '  • ' || format('{:,.0f}', CAST(CustomerCount AS DOUBLE)) || ' customers ('
+             || format('{:.1f}', PercentOfCustomers) || '%)'
+             || chr(10) || '  • $' || format('{:,.0f}', Monetary) || ' avg. spend'
+             || chr(10) || '  • ' || format('{:.1f}', Frequency) || ' avg. purchases'
+             || chr(10) || '  • Growth potential: ' || format('{:.1f}', GrowthPotentialScore) || '/100',
+             chr(10) ORDER BY Segment) AS txt
+    FROM insights
+)""", """
+SELECT 'Total Customers: ' || format('{:,.0f}', CAST(tc AS DOUBLE)) || chr(10)
+       || 'Total Revenue: $' || format('{:,.0f}', rev) || chr(10)
+       || 'Average Customer Value: $' || format('{:,.0f}', rev / CAST(tc AS DOUBLE)) || chr(10)
+       || 'Predicted Quarterly Revenue: $' || format('{:,.0f}', pqr) || chr(10)
+       || chr(10) || 'Segment Breakdown:' || chr(10) || txt AS Summary
+FROM kpi CROSS JOIN body""")
+
+
 # ---- playbook: the rule texts as tables, first matching rule by number ----
 
 def _lit(v) -> str:
@@ -437,6 +463,7 @@ ORACLES: dict[str, str] = {
     "segment_sizes": SEGMENT_SIZES,
     "segment_ranking": SEGMENT_RANKING,
     "headline_kpis": HEADLINE_KPIS,
+    "dashboard_text": DASHBOARD_TEXT,
     "segment_interpretation": SEGMENT_INTERPRETATION,
     "segment_actions": SEGMENT_ACTIONS,
     "customer_actions": CUSTOMER_ACTIONS,
