@@ -34,7 +34,7 @@ TRANSACTION_COLUMNS = [f.name for f in TRANSACTION_SCHEMA.fields]
 
 # Text layout of the CSV export: dates like "12/1/2010 8:26", CustomerID as
 # a float ("17850.0") because the column has gaps.
-_CSV_SCHEMA = T.StructType([
+CSV_SCHEMA = T.StructType([
     T.StructField("InvoiceNo", T.StringType()),
     T.StructField("StockCode", T.StringType()),
     T.StructField("Description", T.StringType()),
@@ -78,9 +78,14 @@ def read_transactions_csv(
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("mode", "FAILFAST")
-        .schema(_CSV_SCHEMA)
+        .schema(CSV_SCHEMA)
         .csv(path)
     )
+    return parse_csv_columns(raw, timestamp_format)
+
+
+def parse_csv_columns(raw: DataFrame, timestamp_format: str = CSV_TIMESTAMP_FORMAT) -> DataFrame:
+    """Typed transaction columns from the CSV text layout (batch or stream)."""
     return conform(
         raw.withColumn("InvoiceDate", F.to_timestamp_ntz(F.col("InvoiceDate"), F.lit(timestamp_format)))
         .withColumn("CustomerID", nan_to_null(F.col("CustomerID")))
