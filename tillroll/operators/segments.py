@@ -3,32 +3,31 @@ PCA projection and cluster profiles (U9, U10, U15, U16, U18; M1-M10).
 
 Scale notes
 -----------
-* Standardisation uses a broadcast 1-row aggregate (mean, population std),
-  not a global window, so no stage funnels all customers into one task.
-* The scaled feature vectors are written as a table in the session's
-  checkpoint folder before the k sweep: every fit then reads a fixed table
-  (no re-run of the transaction joins, and a lost executor cannot change
-  the standardisation statistics between fits).
-* K-means restarts run concurrently from a thread pool (the same pattern
-  ``CrossValidator(parallelism=...)`` uses); each fit is itself a
-  distributed job over the vectors.
+* Standardisation statistics are one 1-row aggregate (mean, population
+  std), not a global window, so no stage funnels all customers into one
+  task. K-means collects them (2 numbers per feature) and uses them as
+  literals, so the sweep and the final assignment scale identically.
+* The scaled features are written as a table in the session's checkpoint
+  folder before the k sweep: every pass then reads a fixed table (no re-run
+  of the transaction joins).
+* All k x restart models are fitted together, one pass over the vectors
+  per Lloyd iteration (:mod:`tillroll.operators.kmeans`). The chosen
+  model's centres become a column expression, so assigning every customer
+  is a projection inside whole-stage codegen, with no join.
 * Everything per-cluster or per-segment is a table of at most ``k`` (<= 10)
   or 27 rows; those are the only broadcast joins.
 """
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.storagelevel import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators import kmeans
 from tillroll.session import materialize as _materialize
 
 # The clustering inputs and the features whose skew is reduced.
@@ -46,19 +45,23 @@ PROFILE_FEATURES = PCA_FEATURES
 
 # ---------------------------------------------------------------- features
 
+def feature_expr(name: str, log_features=LOG_FEATURES, fill_null: bool = True):
+    """One M1 feature as DOUBLE: NULL -> 0 (when ``fill_null``) *before*
+    ``log1p`` of the skewed money features."""
+    c = F.col(name).cast("double")
+    if fill_null:
+        c = F.coalesce(c, F.lit(0.0))
+    if name in log_features:
+        c = F.log1p(c)
+    return c
+
+
 def feature_columns(customers: DataFrame, features=CLUSTER_FEATURES, log_features=LOG_FEATURES,
                     fill_null: bool = True) -> DataFrame:
-    """M1: CustomerID plus the feature columns as DOUBLE, NULL -> 0 (when
-    ``fill_null``) *before* ``log1p`` of the skewed money features."""
-    cols = [F.col("CustomerID")]
-    for name in features:
-        c = F.col(name).cast("double")
-        if fill_null:
-            c = F.coalesce(c, F.lit(0.0))
-        if name in log_features:
-            c = F.log1p(c)
-        cols.append(c.alias(name))
-    return customers.select(*cols)
+    """M1: CustomerID plus the feature columns (:func:`feature_expr`)."""
+    return customers.select(
+        F.col("CustomerID"), *[feature_expr(n, log_features, fill_null).alias(n) for n in features]
+    )
 
 
 def standardize(df: DataFrame, features: list[str]) -> DataFrame:
@@ -91,80 +94,66 @@ def feature_vectors(customers: DataFrame, features=CLUSTER_FEATURES, log_feature
     return vectors
 
 
-def mean_variance(vectors: DataFrame, features: list[str]) -> float:
-    """Mean per-feature variance of the scaled features (1 per non-constant
-    feature, 0 per constant one): scikit-learn's tolerance scale."""
-    row = vectors.agg(*[F.var_pop(c).alias(c) for c in features]).first()
-    vals = [row[c] or 0.0 for c in features]
-    return sum(vals) / len(vals) if vals else 1.0
-
-
 # ---------------------------------------------------------------- k-means
 
 @dataclass
 class SweepResult:
     best_k: int
-    model: KMeansModel
+    centers: np.ndarray  # best_k x d, in the scaled feature space
     curve: list[tuple[int, float, float]]  # (k, silhouette, inertia)
 
 
-def spark_tolerance(tol: float, k: int, mean_variance: float = 1.0) -> float:
-    """Translate a scikit-learn style tolerance to Spark's.
+def scaling_constants(feats: DataFrame, features: list[str]) -> tuple[list[float], list[float], float]:
+    """Mean and population std per feature (a constant feature gets std 1,
+    as scikit-learn does), from one 1-row aggregate, plus the mean variance
+    of the scaled features (scikit-learn's tolerance scale: 1 per varying
+    feature, 0 per constant one). Only 2 numbers per feature are collected,
+    so the sweep and the final assignment use the very same constants."""
+    row = feats.agg(*[
+        expr
+        for name in features
+        for expr in (F.avg(name).alias(f"mu_{name}"), F.stddev_pop(name).alias(f"sd_{name}"))
+    ]).first()
+    mus = [float(row[f"mu_{n}"] or 0.0) for n in features]
+    raw = [float(row[f"sd_{n}"] or 0.0) for n in features]
+    sds = [sd if sd > 0 else 1.0 for sd in raw]
+    return mus, sds, sum(1.0 for sd in raw if sd > 0) / len(features)
+
 
-    scikit-learn stops when the summed squared centre shift is at most
-    ``tol * mean feature variance``; Spark stops when every single centre
-    moved at most ``tol`` (Euclidean). ``sqrt(tol * var / k)`` per centre
-    guarantees the summed criterion."""
-    return math.sqrt(tol * mean_variance / k)
+def scaled_columns(features: list[str], mus: list[float], sds: list[float]) -> list:
+    return [((F.col(n) - F.lit(mu)) / F.lit(sd)).alias(n) for n, mu, sd in zip(features, mus, sds)]
 
 
-def kmeans_sweep(vectors: DataFrame, ks=range(2, 11), n_init: int = 10, seed: int = 42,
-                 max_iter: int = 300, tol: float = 1e-4, parallelism: int = 16,
+def kmeans_sweep(vectors: DataFrame, features: list[str], ks=range(2, 11), n_init: int = 10,
+                 seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
                  mean_variance: float = 1.0) -> SweepResult:
     """M3-M6: for each k fit ``n_init`` restarts (seeds ``seed..``), keep the
-    one with least inertia, score it by silhouette; the best k has the
-    highest silhouette (the smallest k on ties).
-
-    All (k, restart) fits are submitted at once to a thread pool: each fit
-    is a chain of small distributed jobs, so running many concurrently
-    keeps the executors busy (the pattern ``CrossValidator`` uses).
-
-    Silhouette is Spark's ``ClusteringEvaluator`` (squared Euclidean, O(n k)
-    closed form). The plain-Euclidean silhouette needs all point pairs and
-    is deliberately not offered.
+    one with least inertia (the earliest restart on ties), score it by
+    silhouette; the best k has the highest silhouette (the smallest k on
+    ties).
+
+    ``vectors`` holds CustomerID and the scaled ``features``. All k x
+    restart models are fitted together (:mod:`tillroll.operators.kmeans`):
+    one pass over the vectors per Lloyd iteration serves every model, and a
+    single further pass scores the silhouette of every k.
     """
     ks = list(ks)
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                                    metricName="silhouette", distanceMeasure="squaredEuclidean")
-    seeds = [seed + i for i in range(n_init)]
-
-    def fit(job: tuple[int, int]) -> KMeansModel:
-        k, s = job
-        est = KMeans(k=k, seed=s, maxIter=max_iter, tol=spark_tolerance(tol, k, mean_variance),
-                     featuresCol="features", predictionCol="prediction")
-        return est.fit(vectors)
-
-    jobs = [(k, s) for k in ks for s in seeds]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
-        models = list(pool.map(fit, jobs))
-        # least inertia per k; ties keep the earliest restart
-        best_per_k = {}
-        for (k, _s), m in zip(jobs, models):
-            if k not in best_per_k or m.summary.trainingCost < best_per_k[k].summary.trainingCost:
-                best_per_k[k] = m
-
-        def score(k: int) -> float:
-            m = best_per_k[k]
-            return evaluator.evaluate(m.transform(vectors)) if len(m.clusterCenters()) > 1 else float("nan")
-
-        scores = dict(zip(ks, pool.map(score, ks)))
-    curve = [(k, float(scores[k]), float(best_per_k[k].summary.trainingCost)) for k in ks]
+    specs = [(k, seed + i) for k in ks for i in range(n_init)]
+    models = kmeans.fit_many(vectors, features, specs, max_iter=max_iter, tol=tol,
+                             mean_variance=mean_variance)
+    best_per_k: dict[int, kmeans.FittedModel] = {}
+    for m in models:
+        if m.k not in best_per_k or m.inertia < best_per_k[m.k].inertia:
+            best_per_k[m.k] = m
+    chosen = [best_per_k[k] for k in ks]
+    scores = kmeans.silhouettes(vectors, features, chosen)
+    curve = [(k, float(sc), float(m.inertia)) for k, sc, m in zip(ks, scores, chosen)]
     valid = [(sc, k) for k, sc, _ in curve if sc == sc]
     if not valid:
         raise ValueError("no k produced two or more clusters")
     best_score = max(sc for sc, _ in valid)
     best_k = min(k for sc, k in valid if sc == best_score)
-    return SweepResult(best_k=best_k, model=best_per_k[best_k], curve=curve)
+    return SweepResult(best_k=best_k, centers=best_per_k[best_k].centers, curve=curve)
 
 
 def k_selection_frame(spark: SparkSession, sweep: SweepResult) -> DataFrame:
@@ -175,12 +164,14 @@ def k_selection_frame(spark: SparkSession, sweep: SweepResult) -> DataFrame:
     )
 
 
-def assign_clusters(model: KMeansModel, vectors: DataFrame, customers: DataFrame) -> DataFrame:
-    """Attach a ``Cluster`` id to every customer. Raw K-means ids are
-    arbitrary; they are renumbered 0..k-1 by mean Monetary (desc), then mean
-    Frequency (desc), so ids are stable across runs."""
-    pred = model.transform(vectors).select("CustomerID", F.col("prediction").alias("raw"))
-    joined = customers.join(pred, "CustomerID")
+def assign_clusters(customers: DataFrame, centers: np.ndarray, scaled: list) -> DataFrame:
+    """Attach a ``Cluster`` id to every customer: the nearest centre,
+    computed as a column expression on the customer table itself (no join).
+
+    Raw K-means ids are arbitrary; they are renumbered 0..k-1 by mean
+    Monetary (desc), then mean Frequency (desc), so ids are stable across
+    runs. The renumbering table has k rows."""
+    joined = customers.withColumn("raw", kmeans.nearest_center(scaled, centers))
     order = joined.groupBy("raw").agg(
         (F.sum("Monetary").cast("double") / F.count(F.lit(1))).alias("m"),
         (F.sum("Frequency").cast("double") / F.count(F.lit(1))).alias("f"),
@@ -253,8 +244,7 @@ def attach_segments(segmented: DataFrame, labels: DataFrame, cluster_col: str =
 # ---------------------------------------------------------------- end to end
 
 def enhanced_segmentation(customers: DataFrame, ks=range(2, 11), n_init: int = 10, seed: int = 42,
-                          max_iter: int = 300, tol: float = 1e-4, parallelism: int = 16,
-                          sweep_fraction: float = 1.0):
+                          max_iter: int = 300, tol: float = 1e-4, sweep_fraction: float = 1.0):
     """Features -> scale -> sweep k -> assign -> label.
 
     Returns ``(segmented, labels, k_selection)``. ``sweep_fraction < 1``
@@ -262,14 +252,18 @@ def enhanced_segmentation(customers: DataFrame, ks=range(2, 11), n_init: int = 1
     and applied to all of them); the default uses everyone, as the
     reference does.
     """
-    vectors = feature_vectors(customers).persist(StorageLevel.MEMORY_AND_DISK)
-    var = mean_variance(vectors, CLUSTER_FEATURES)
+    feats = feature_columns(customers)
+    names = list(CLUSTER_FEATURES)
+    mus, sds, var = scaling_constants(feats, names)
+    vectors = _materialize(feats.select("CustomerID", *scaled_columns(names, mus, sds)), "vectors")
     sweep_input = vectors if sweep_fraction >= 1.0 else vectors.sample(fraction=sweep_fraction, seed=seed)
-    sweep = kmeans_sweep(sweep_input, ks, n_init, seed, max_iter, tol, parallelism, var)
-    model = sweep.model
+    sweep = kmeans_sweep(sweep_input, names, ks, n_init, seed, max_iter, tol, var)
+    centers = sweep.centers
     if sweep_fraction < 1.0:
-        model = kmeans_sweep(vectors, [sweep.best_k], n_init, seed, max_iter, tol, parallelism, var).model
-    clustered = assign_clusters(model, vectors, customers)
+        centers = kmeans_sweep(vectors, names, [sweep.best_k], n_init, seed, max_iter, tol, var).centers
+    # the same expressions (and constants) as the sweep's input, on the customer rows
+    scaled = [(feature_expr(n) - F.lit(mu)) / F.lit(sd) for n, mu, sd in zip(names, mus, sds)]
+    clustered = assign_clusters(customers, centers, scaled)
     labels = label_clusters(clustered)
     segmented = attach_segments(clustered, labels)
     return segmented, labels, k_selection_frame(customers.sparkSession, sweep)

@@ -7,8 +7,8 @@ PCA, playbook -> optional writes.
 The checkpoints sit where one result feeds many later steps: the
 transaction joins run once, the k sweep reads a fixed feature table, and
 all segment-level results read one customer table. Every returned value is
-a DataFrame; nothing is collected to the driver except the K-means model
-itself (k centres) and the PCA loadings (6 x 2).
+a DataFrame; nothing is collected to the driver except K-means centres and
+per-cluster sums (at most 90 models x 10 centres) and the PCA loadings (6 x 2).
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ def run_pipeline(
     n_init: int = 10,
     seed: int = 42,
     max_iter: int = 300,
-    parallelism: int = 16,
     sweep_fraction: float = 1.0,
 ) -> dict[str, DataFrame]:
     """Run the whole analysis on invoice lines ``tx``.
@@ -53,7 +52,7 @@ def run_pipeline(
     base = customers.customer_base(clean, materialize=True)
     features = materialize(customers.behaviour_metrics(base))
     segmented, labels, k_selection = segments.enhanced_segmentation(
-        features, ks=ks, n_init=n_init, seed=seed, max_iter=max_iter, parallelism=parallelism,
+        features, ks=ks, n_init=n_init, seed=seed, max_iter=max_iter,
         sweep_fraction=sweep_fraction,
     )
     final = materialize(customers.value_projection(segmented, base))
