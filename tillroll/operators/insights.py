@@ -130,15 +130,31 @@ def headline_kpis(insights: DataFrame) -> DataFrame:
     )
 
 
+# The sampling key is (CustomerID * SAMPLE_MULTIPLIER + seed)
+# mod SAMPLE_MODULUS, with Knuth's multiplicative-hash constant floor(2^32 / phi)
+# and the largest prime below 2^32.
+SAMPLE_MULTIPLIER = 2654435761
+SAMPLE_MODULUS = 4294967291
+
+
+def sample_key(customer_id, seed: int = 42):
+    """Repeatable pseudo-random rank of a customer id. The ids map like a
+    golden-ratio sequence, so the smallest keys are spread evenly over the
+    id range. Exact DECIMAL arithmetic: no overflow at any id, and another
+    engine can compute the same key (the SQL oracle does)."""
+    scaled = customer_id.cast("decimal(20,0)") * F.lit(SAMPLE_MULTIPLIER) + F.lit(seed)
+    return F.pmod(scaled, F.lit(SAMPLE_MODULUS))
+
+
 def customer_sample(final: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     """A fixed-size, repeatable sample of customers for plotting
     (all of them when there are at most ``n``), with the plot's point size
-    Monetary / 100. Ordering by a seeded hash of the key and taking ``n``
-    plans as TakeOrderedAndProject: each task keeps only its own top ``n``."""
+    Monetary / 100. Ordering by :func:`sample_key` and taking ``n`` plans
+    as TakeOrderedAndProject: each task keeps only its own top ``n``."""
     return (
         final.select("CustomerID", "Recency", "Frequency", "Monetary", "Cluster", "Segment",
                      (F.col("Monetary").cast("double") / 100).alias("PointSize"))
-        .orderBy(F.xxhash64(F.col("CustomerID"), F.lit(seed)), F.col("CustomerID"))
+        .orderBy(sample_key(F.col("CustomerID"), seed), F.col("CustomerID"))
         .limit(n)
     )
 

@@ -281,6 +281,12 @@ CLUSTER_PROFILE = _with(SEGMENTED, "\nSELECT Cluster, " + ",\n       ".join(
     f"round(({c} - MIN({c}) OVER ()) / NULLIF(MAX({c}) OVER () - MIN({c}) OVER (), 0), 6) AS {c}"
     for c in _PROFILE) + "\nFROM means")
 
+CUSTOMER_SAMPLE = _with(SEGMENTED, """
+SELECT CustomerID, Recency, Frequency, Monetary, Cluster, Segment, Monetary / 100 AS PointSize
+FROM final
+ORDER BY ((CAST(CustomerID AS HUGEINT) * 2654435761 + 42) % 4294967291 + 4294967291) % 4294967291, CustomerID
+LIMIT 1000""")
+
 SEGMENT_SIZES = _with(SEGMENTED, """
 SELECT 'Cluster' AS Level, CAST(Cluster AS VARCHAR) AS Name, COUNT(*) AS CustomerCount FROM final GROUP BY Cluster
 UNION ALL
@@ -463,6 +469,7 @@ ORACLES: dict[str, str] = {
     "segment_sizes": SEGMENT_SIZES,
     "segment_ranking": SEGMENT_RANKING,
     "headline_kpis": HEADLINE_KPIS,
+    "customer_sample": CUSTOMER_SAMPLE,
     "dashboard_text": DASHBOARD_TEXT,
     "segment_interpretation": SEGMENT_INTERPRETATION,
     "segment_actions": SEGMENT_ACTIONS,
