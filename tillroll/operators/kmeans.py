@@ -10,7 +10,8 @@ Each pass is ``mapInPandas`` over Arrow batches of the scaled vectors. The
 batch is multiplied against all centres at once (one matrix product), and
 each task emits per-(model, cluster) partial sums. A ``groupBy`` merges them
 map-side and the driver receives at most ``n_models * k_max`` rows (540 for
-the reference settings). Centres are the only state the driver keeps. They
+the reference settings); when tasks x rows is provably small the partials
+go to the driver directly, saving a shuffle stage per pass. Centres are the only state the driver keeps. They
 are bounded by the model count and the feature count, not by the data.
 
 * Seeding is k-means++ (D^2 sampling), one pass per centre for all models.
@@ -39,6 +40,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 # The 64-bit mixing constants of the public splitmix64
 # generator (Steele, Lea and Flood, 2014), used to hash point ids.
@@ -106,8 +108,21 @@ def _batches(frames: Iterator[pd.DataFrame], cols: list[str]):
             yield pdf, pdf[cols].to_numpy(dtype=np.float64)
 
 
+# Per-task partials are merged on the driver when there are provably at most
+# this many (tasks x rows per task), else by a groupBy on the executors: the
+# choice treeAggregate makes between one and two levels.
+DRIVER_MERGE_ROWS = 50_000
+
+
+def _sum_partials(partials: DataFrame, n_tasks: int, rows_per_task: int, key: str,
+                  columns: list[str]) -> pd.DataFrame:
+    if n_tasks * rows_per_task <= DRIVER_MERGE_ROWS:
+        return partials.toPandas().groupby(key, as_index=False)[columns].sum()
+    return partials.groupBy(key).agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+
+
 def _seed_step(vectors: DataFrame, cols: list[str], seeds: list[int], chosen: list[np.ndarray],
-               step: int) -> list[np.ndarray]:
+               step: int, n_tasks: int) -> list[np.ndarray]:
     """One k-means++ draw for each model: returns the new centre per model."""
     d = len(cols)
     schema = "mid int, key double, " + ", ".join(f"x{j} double" for j in range(d))
@@ -133,17 +148,18 @@ def _seed_step(vectors: DataFrame, cols: list[str], seeds: list[int], chosen: li
         rows = [(m, float(best_key[m]), *map(float, best_pt[m])) for m in range(len(seeds)) if found[m]]
         yield pd.DataFrame(rows, columns=["mid", "key"] + [f"x{j}" for j in range(d)])
 
-    winners = (
-        vectors.mapInPandas(draw, schema)
-        .groupBy("mid")
-        .agg(F.min_by(F.array(*[F.col(f"x{j}") for j in range(d)]), F.col("key")).alias("p"))
-        .collect()
-    )
-    out = {r.mid: np.array(r.p, dtype=np.float64) for r in winners}
+    partials = vectors.mapInPandas(draw, schema)
+    xs = [f"x{j}" for j in range(d)]
+    if n_tasks * len(seeds) <= DRIVER_MERGE_ROWS:
+        winners = partials.toPandas().sort_values(["mid", "key"], kind="stable").drop_duplicates("mid")
+    else:
+        winners = (partials.groupBy("mid").agg(F.min_by(F.struct(*xs), F.col("key")).alias("p"))
+                   .select("mid", *[F.col(f"p.{x}").alias(x) for x in xs]).toPandas())
+    out = {int(r.mid): np.array([r[x] for x in xs], dtype=np.float64) for _i, r in winners.iterrows()}
     return [out[m] for m in range(len(seeds))]
 
 
-def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout):
+def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout, n_tasks: int):
     """One Lloyd E-step for every model in ``layout``: per stacked centre the
     point count, summed squared distance, summed squared norm and the sum
     of the assigned points."""
@@ -171,15 +187,17 @@ def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout):
             frame[f"s{j}"] = s[keep, j]
         yield frame
 
-    sums = [F.sum(c).alias(c) for c in ["n", "cost", "q"] + [f"s{j}" for j in range(d)]]
-    rows = vectors.mapInPandas(partial, schema).groupBy("gid").agg(*sums).collect()
+    columns = ["n", "cost", "q"] + [f"s{j}" for j in range(d)]
+    merged = _sum_partials(vectors.mapInPandas(partial, schema), n_tasks, n_centres, "gid", columns)
+    gid = merged["gid"].to_numpy(dtype=np.int64)
     n = np.zeros(n_centres, dtype=np.int64)
     cost = np.zeros(n_centres)
     q = np.zeros(n_centres)
     s = np.zeros((n_centres, d))
-    for r in rows:
-        n[r.gid], cost[r.gid], q[r.gid] = r.n, r.cost, r.q
-        s[r.gid] = [r[f"s{j}"] for j in range(d)]
+    n[gid] = merged["n"].to_numpy(dtype=np.int64)
+    cost[gid] = merged["cost"].to_numpy(dtype=np.float64)
+    q[gid] = merged["q"].to_numpy(dtype=np.float64)
+    s[gid] = merged[[f"s{j}" for j in range(d)]].to_numpy(dtype=np.float64)
     return n, cost, q, s
 
 
@@ -189,8 +207,20 @@ def fit_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]],
 
     ``vectors`` needs ``CustomerID`` (the id hashed for seeding) and the
     feature columns ``cols``; it should be a materialised table because it
-    is read once per seeding step and once per iteration."""
+    is read once per seeding step and once per iteration. It is also kept
+    in executor memory for the fit (a lost block is re-read from the
+    table)."""
     vectors = vectors.select(F.col("CustomerID").cast("long").alias("CustomerID"), *cols)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_persisted(vectors, cols, specs, max_iter, tol, mean_variance)
+    finally:
+        vectors.unpersist()
+
+
+def _fit_persisted(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]], max_iter: int,
+                   tol: float, mean_variance: float) -> list[FittedModel]:
+    n_tasks = vectors.rdd.getNumPartitions()
     seeds = [s for _k, s in specs]
     k_max = max(k for k, _s in specs)
     chosen: list[list[np.ndarray]] = [[] for _ in specs]
@@ -199,6 +229,7 @@ def fit_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]],
         draws = _seed_step(
             vectors, cols, [seeds[m] for m in active],
             [np.array(chosen[m]) if chosen[m] else np.zeros((0, len(cols))) for m in active], step,
+            n_tasks,
         )
         for m, point in zip(active, draws):
             chosen[m].append(point)
@@ -209,7 +240,7 @@ def fit_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]],
     pending = list(range(len(models)))
     while pending:
         layout = _Layout.of([models[m].centers for m in pending])
-        n, cost, q, s = _cluster_stats(vectors, cols, layout)
+        n, cost, q, s = _cluster_stats(vectors, cols, layout, n_tasks)
         still = []
         for m, o, k in zip(pending, layout.offsets, layout.ks):
             model = models[m]
@@ -264,9 +295,9 @@ def silhouettes(vectors: DataFrame, cols: list[str], models: list[FittedModel])
                 points[m] += len(X)
         yield pd.DataFrame({"mid": np.arange(len(models), dtype=np.int32), "total": total, "points": points})
 
-    rows = (vectors.mapInPandas(partial, "mid int, total double, points long")
-            .groupBy("mid").agg(F.sum("total").alias("total"), F.sum("points").alias("points")).collect())
-    by_model = {r.mid: r.total / r.points if r.points else float("nan") for r in rows}
+    partials = vectors.mapInPandas(partial, "mid int, total double, points long")
+    merged = _sum_partials(partials, vectors.rdd.getNumPartitions(), len(models), "mid", ["total", "points"])
+    by_model = {int(r.mid): r.total / r.points if r.points else float("nan") for r in merged.itertuples()}
     return [
         by_model.get(i, float("nan")) if int((m.counts > 0).sum()) > 1 else float("nan")
         for i, m in enumerate(models)
