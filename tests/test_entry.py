@@ -18,7 +18,7 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
-    assert {"kmeans_segments", "k_selection", "pca_projection", "customer_sample"} == set(q) - set(o)
+    assert {"kmeans_segments", "k_selection", "pca_projection"} == set(q) - set(o)
 
 
 def test_pipeline_end_to_end(spark, scratch_dir):
@@ -32,3 +32,19 @@ def test_pipeline_end_to_end(spark, scratch_dir):
     for name in ["customers", "segment_profiles", "date_dimension", "segment_summary",
                  "segment_interpretations", "segment_recommendations", "segment_kpis"]:
         assert os.path.isdir(os.path.join(out, "retail_analysis_" + name))
+
+
+def test_cluster_sizing_only_fills_unset_keys():
+    from tillroll.session import cluster_sizing
+
+    assert cluster_sizing("local[8]", 8, set()) == {}
+    sized = cluster_sizing("yarn", 8000, set())
+    assert sized["spark.sql.shuffle.partitions"] == "32000"
+    assert sized["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "32000"
+    assert sized["spark.sql.files.maxPartitionBytes"] == "256m"
+    assert cluster_sizing("yarn", 16, set())["spark.sql.shuffle.partitions"] == "2000"
+    # a user's own shuffle partition count is kept, and AQE starts from it
+    mine = cluster_sizing("yarn", 8000, {"spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"})
+    assert "spark.sql.shuffle.partitions" not in mine
+    assert "spark.sql.adaptive.coalescePartitions.initialPartitionNum" not in mine
+    assert "spark.sql.files.maxPartitionBytes" not in mine

@@ -27,10 +27,46 @@ PLAN_SETTINGS = {
 }
 
 
+# Sizes for a cluster, applied only where the user has set nothing. Scan
+# splits of 256 MB keep a 100 TB scan at a few hundred thousand tasks. Every
+# shuffle starts with at least 4 partitions per core (and no fewer than
+# MIN_SHUFFLE_PARTITIONS, since executors may still be joining), and AQE
+# coalesces them towards 256 MB: a large shuffle is never squeezed into a few
+# hundred spilling partitions, and a small one does not run as thousands of
+# tiny tasks.
+CLUSTER_SIZING = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+}
+SHUFFLE_PARTITIONS_PER_CORE = 4
+MIN_SHUFFLE_PARTITIONS = 2000
+
+
+def cluster_sizing(master: str, default_parallelism: int, user_set: set[str]) -> dict[str, str]:
+    """Settings to add for ``master`` (none in local mode, none the user set)."""
+    if master.startswith("local"):
+        return {}
+    out = {k: v for k, v in CLUSTER_SIZING.items() if k not in user_set}
+    partitions = str(max(SHUFFLE_PARTITIONS_PER_CORE * default_parallelism, MIN_SHUFFLE_PARTITIONS))
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"):
+        if not user_set & {"spark.sql.shuffle.partitions", key}:
+            out[key] = partitions
+    return out
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply :data:`PLAN_SETTINGS` to an existing session (idempotent)."""
+    """Apply :data:`PLAN_SETTINGS` to an existing session (idempotent), and
+    on a cluster the :func:`cluster_sizing` the user has not set."""
     for key, value in PLAN_SETTINGS.items():
         spark.conf.set(key, value)
+    sc = spark.sparkContext
+    watched = set(CLUSTER_SIZING) | {
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"}
+    user_set = {k for k in watched if spark.conf.get(k, None) is not None}
+    if not getattr(sc, "_tillroll_sized", False):
+        for key, value in cluster_sizing(sc.master, sc.defaultParallelism, user_set).items():
+            spark.conf.set(key, value)
+        sc._tillroll_sized = True
     return spark
 
 
