@@ -98,3 +98,29 @@ def test_cluster_profile_scaled_to_unit_range(spark, features):
     for c in segments.PROFILE_FEATURES:
         vals = [r[c] for r in prof]
         assert min(vals) == 0.0 and max(vals) == 1.0
+
+
+def test_pca_matches_numpy_svd(spark, features):
+    import numpy as np
+
+    seg = features.withColumn("Cluster", (F.col("CustomerID") % 3).cast("int"))
+    scores, comps = segments.pca_projection(seg)
+    pdf = features.select("CustomerID", *segments.PCA_FEATURES).toPandas().sort_values("CustomerID")
+    X = pdf[segments.PCA_FEATURES].astype(float).to_numpy()
+    for i, name in enumerate(segments.PCA_FEATURES):
+        if name in segments.LOG_FEATURES:
+            X[:, i] = np.log1p(X[:, i])
+    sd = X.std(axis=0)
+    Z = (X - X.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+    _u, sv, vt = np.linalg.svd(Z, full_matrices=False)
+    ratios = sv ** 2 / (sv ** 2).sum()
+    for j in range(2):
+        v = vt[j]
+        v = v if v[np.argmax(np.abs(v))] > 0 else -v
+        got = {r.Feature: r.Loading for r in comps.filter(F.col("Component") == f"PC{j + 1}").collect()}
+        assert np.allclose([got[f] for f in segments.PCA_FEATURES], v, atol=1e-8)
+        ratio = comps.filter(F.col("Component") == f"PC{j + 1}").first().ExplainedVarianceRatio
+        assert np.isclose(ratio, ratios[j], atol=1e-10)
+        want = Z @ v
+        have = scores.select("CustomerID", f"PC{j + 1}").toPandas().sort_values("CustomerID")[f"PC{j + 1}"]
+        assert np.allclose(have.to_numpy(), want, atol=1e-8)
