@@ -132,3 +132,12 @@ def test_executor_merge_equals_driver_merge(blobs, monkeypatch):
         assert a.iterations == b.iterations and list(a.counts) == list(b.counts)
         assert np.allclose(a.centers, b.centers, atol=1e-12)
     assert np.allclose(driver_sil, kmeans.silhouettes(df, COLS, executors), atol=1e-12)
+
+
+def test_empty_partitions(spark):
+    rows = [(i, float(i % 3), float(i // 3), 0.5) for i in range(9)]
+    df = spark.createDataFrame(rows, "CustomerID long, a double, b double, c double").repartition(16)
+    models = kmeans.fit_many(df, COLS, [(2, 42), (3, 42)])
+    assert [int(m.counts.sum()) for m in models] == [9, 9]
+    scores = kmeans.silhouettes(df, COLS, models)
+    assert all(-1 <= s <= 1 for s in scores)
