@@ -141,3 +141,10 @@ def test_empty_partitions(spark):
     assert [int(m.counts.sum()) for m in models] == [9, 9]
     scores = kmeans.silhouettes(df, COLS, models)
     assert all(-1 <= s <= 1 for s in scores)
+
+
+def test_missing_feature_fails_loudly(spark):
+    rows = [(i, float(i), None if i == 3 else 1.0, 0.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "CustomerID long, a double, b double, c double")
+    with pytest.raises(Exception, match="must be finite"):
+        kmeans.fit_many(df, COLS, [(2, 42)])

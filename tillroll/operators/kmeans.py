@@ -103,9 +103,16 @@ class _Layout:
 
 
 def _batches(frames: Iterator[pd.DataFrame], cols: list[str]):
+    """Arrow batches as float matrices. A missing or non-finite feature
+    (e.g. log1p of a value below -1) fails the job, as scikit-learn refuses
+    NaN input; it would otherwise turn a centre into NaN without notice."""
     for pdf in frames:
         if len(pdf):
-            yield pdf, pdf[cols].to_numpy(dtype=np.float64)
+            X = pdf[cols].to_numpy(dtype=np.float64)
+            if not np.isfinite(X).all():
+                bad = [c for c, ok in zip(cols, np.isfinite(X).all(axis=0)) if not ok]
+                raise ValueError(f"K-means features must be finite; missing or non-finite values in {bad}")
+            yield pdf, X
 
 
 # Per-task partials are merged on the driver when there are provably at most
