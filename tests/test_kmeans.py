@@ -148,3 +148,41 @@ def test_missing_feature_fails_loudly(spark):
     df = spark.createDataFrame(rows, "CustomerID long, a double, b double, c double")
     with pytest.raises(Exception, match="must be finite"):
         kmeans.fit_many(df, COLS, [(2, 42)])
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(min_value=5, max_value=60), st.integers(min_value=1, max_value=4),
+       st.integers(min_value=2, max_value=4), st.integers(min_value=0, max_value=10_000),
+       st.integers(min_value=1, max_value=6))
+def test_fit_matches_brute_force_on_random_data(spark, n, d, k, data_seed, partitions):
+    rng = np.random.default_rng(data_seed)
+    # rounded values make duplicate points (and empty clusters) likely
+    X = np.round(rng.normal(size=(n, d)) * 2, 1)
+    ids = rng.permutation(10_000)[:n].astype(np.int64)
+    cols = [f"f{j}" for j in range(d)]
+    rows = [(int(i), *map(float, x)) for i, x in zip(ids, X)]
+    df = spark.createDataFrame(rows, "CustomerID long, " + ", ".join(f"{c} double" for c in cols))
+    df = df.repartition(partitions)
+    var = float(X.var(axis=0).mean()) or 1.0
+    (model,) = kmeans.fit_many(df, cols, [(k, data_seed)], mean_variance=var)
+    centres, lab, inertia, it = brute_lloyd_var(X, brute_seed(ids, X, k, data_seed), 1e-4 * var)
+    assert model.iterations == it
+    assert np.allclose(model.centers, centres, atol=1e-9)
+    assert np.isclose(model.inertia, inertia, rtol=1e-9, atol=1e-9)
+
+
+def brute_lloyd_var(X, centres, threshold, max_iter=300):
+    it = 0
+    while True:
+        lab = ((X[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([X[lab == j].mean(0) if (lab == j).any() else centres[j] for j in range(len(centres))])
+        shift = ((new - centres) ** 2).sum()
+        centres, it = new, it + 1
+        if shift <= threshold or it >= max_iter:
+            break
+    lab = ((X[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+    return centres, lab, ((X - centres[lab]) ** 2).sum(), it
