@@ -48,3 +48,17 @@ def test_cluster_sizing_only_fills_unset_keys():
     assert "spark.sql.shuffle.partitions" not in mine
     assert "spark.sql.adaptive.coalescePartitions.initialPartitionNum" not in mine
     assert "spark.sql.files.maxPartitionBytes" not in mine
+
+
+def test_release_tables_deletes_materialized_tables(spark):
+    import os
+
+    from tillroll.session import materialize, release_tables
+
+    release_tables(spark)  # tables of earlier tests
+    df = materialize(spark.range(10), "release-check")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and df.count() == 10
+    assert release_tables(spark) == 1
+    assert not os.path.exists(path)
+    assert release_tables(spark) == 0

@@ -13,6 +13,6 @@ plans      the end-to-end pipeline and the independent SQL oracles
 streaming  incremental ingestion of new invoice-line files
 """
 
-from tillroll.session import build_session, checkpoint_dir, tune
+from tillroll.session import build_session, checkpoint_dir, release_tables, tune
 
-__all__ = ["build_session", "checkpoint_dir", "tune"]
+__all__ = ["build_session", "checkpoint_dir", "release_tables", "tune"]

@@ -46,6 +46,10 @@ def run_pipeline(
 
     With ``out_dir`` the export tables are written there (one directory per
     table, ``fmt`` = 'parquet' or 'csv'); ``out_dir=None`` skips exports.
+
+    The returned frames read intermediate tables in the checkpoint folder;
+    call :func:`tillroll.session.release_tables` once they are no longer
+    needed.
     """
     tune(tx.sparkSession)
     clean = clean_transactions(tx)

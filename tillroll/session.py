@@ -134,4 +134,27 @@ def materialize(df, name: str | None = None):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name or 'table'}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _written(spark).append(path)
     return spark.read.parquet(path)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tillroll_tables"):
+        sc._tillroll_tables = []
+    return sc._tillroll_tables
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables :func:`materialize` wrote in this session (through
+    the Hadoop FileSystem of the checkpoint folder, so any shared store
+    works). DataFrames that read them must not be used afterwards. Returns
+    the number of tables removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    written = _written(spark)
+    removed = 0
+    while written:
+        path = jvm.org.apache.hadoop.fs.Path(written.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
