@@ -11,16 +11,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import simhash
+from tillroll.llm import secret_scan, simhash
 from tillroll.llm._common import read_table
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4, seed=42)
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
