@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import secret_scan, simhash
+from tillroll.llm import quality_kn, secret_scan, simhash
 from tillroll.llm._common import read_table
 
 
@@ -19,6 +19,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored, own = quality_kn.score_documents(docs.select("doc_id", "text", "lang"), labels)
+    return scored.select("doc_id", "lang", *[own[c] for c in ("n_tokens", "perplexity", "threshold", "keep")])
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4, seed=42)
     return groups.select("doc_id", "fingerprint", "component_id")
@@ -26,6 +32,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
