@@ -26,11 +26,11 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about :data:`CHUNK_CHARS` bytes of text each."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about ``chars`` bytes of column ``text`` each."""
     for batch in batches:
         sizes = batch.column(text).nbytes / max(1, batch.num_rows)
-        step = max(1, int(CHUNK_CHARS / max(1.0, sizes)))
+        step = max(1, int(chars / max(1.0, sizes)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 

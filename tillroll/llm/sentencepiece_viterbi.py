@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.llm._common import free_name, text_chunks, tokenizer_path
 
@@ -44,6 +45,8 @@ MAX_MODEL_BYTES = 64 << 20
 PART_CHARS, PARTS, PAIRS = 48, 400_000, 400_000
 #: Positions between two looks for a common boundary.
 STRIDE = 64
+#: Texts of about this size are encoded together.
+TOGETHER = 4_000_000
 
 
 class PieceModel:
@@ -265,7 +268,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
-        for b in text_chunks(batches, text):
+        for b in text_chunks(batches, text, TOGETHER):
             ids = model.encode_all(b.column(text).to_pylist())
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
@@ -273,7 +276,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model_
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], schema_names)
 
     schema_names = [*docs.columns, out]
-    schema = docs.schema.add(out, "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     return docs.withColumn(text, F.coalesce(docs[text_col].cast("string"), F.lit(""))).mapInArrow(run, schema)
 
 
@@ -289,7 +292,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     names = [*encoded.columns, out]
-    return encoded.mapInArrow(run, encoded.schema.add(out, "string"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
