@@ -132,12 +132,19 @@ def materialize(df, name: str | None = None):
     and read back with exact file statistics for the planner.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name or 'table'}-{uuid.uuid4().hex}"
+    path = new_path(spark, name or "table")
     df.write.mode("error").parquet(path)
-    _written(spark).append(path)
     return spark.read.parquet(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place under the session's checkpoint folder, which
+    :func:`release_tables` deletes with the tables."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _written(spark).append(path)
+    return path
+
+
 def _written(spark: SparkSession) -> list[str]:
     sc = spark.sparkContext
     if not hasattr(sc, "_tillroll_tables"):
