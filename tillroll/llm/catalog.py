@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash
+from tillroll.llm import decontaminate, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, warc
 from tillroll.llm._common import read_table
 
 
@@ -31,6 +31,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("complete")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored, own = quality_kn.score_documents(docs.select("doc_id", "text", "lang"), labels)
@@ -47,8 +51,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_secret_scan": op4_secret_scan,
+    "op5_warc": op5_warc,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             g AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS lead FROM p),
+             t AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM lead THEN lead END AS refers_to FROM g)
+        SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+        FROM t
+    """,
+}
