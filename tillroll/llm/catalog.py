@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, warc
+from tillroll.llm import decontaminate, graph_ann, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, warc
 from tillroll.llm._common import read_table
 
 
@@ -41,6 +41,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", *[own[c] for c in ("n_tokens", "perplexity", "threshold", "keep")])
 
 
+def op9_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4, seed=42)
     return groups.select("doc_id", "fingerprint", "component_id")
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_graph_neighbours": op9_graph_neighbours,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
