@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, graph_ann, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, token_edits, warc
+from tillroll.llm import decontaminate, graph_ann, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_edits, warc
 from tillroll.llm._common import read_table
 
 
@@ -35,6 +35,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("complete")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_edits.count_after_edits(read_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_graph_neighbours": op9_graph_neighbours,
