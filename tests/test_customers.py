@@ -1,17 +1,25 @@
 """RFM, behaviour metrics and value projection: traps T1, T1b, T5, T7, A3."""
 
 import math
+import re
 import random
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import pytest
+
 from tillroll.operators import customers
+from tillroll.plans import catalog
+from tillroll.session import materialize as session_materialize
 from tillroll.sources.transactions import clean_transactions
 from helpers import lines
 
 
+SMOKE = "/root/testdata/sf0.001"
+
+
 def _by_id(df):
     return {r.CustomerID: r for r in df.collect()}
 
@@ -144,10 +152,33 @@ def test_nan_customer_id_from_csv_is_dropped(spark, scratch_dir):
     assert clean_transactions(tx).count() == 1
 
 
-def test_plan_has_no_per_customer_window_over_orders(spark):
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_window_holds_the_orders_of_a_customer(spark):
     rows = [("1", "A", "X", 1, "2011-01-01 00:00:00", 10.0, 1, "UK")]
-    plan = customers.behaviour_metrics(clean_transactions(lines(spark, rows)))._jdf.queryExecution() \
-        .executedPlan().toString()
-    # windows are keyed by (CustomerID, Bucket) or over bucket rows only
-    assert "Expand" in plan  # one pass: grouping sets over the lines
-    assert F is not None
+    orders = customers.customer_base(clean_transactions(lines(spark, rows))).orders
+    windows = [line for line in _plan(customers.purchase_regularity(orders)).splitlines()
+               if re.search(r"(^|[- ])Window \[", line)]
+    assert len(windows) == 2
+    keys = [re.findall(r"\[([^\]]*)\]", w) for w in windows]
+    parts = [re.sub(r"#\d+L?", "", k[-2]) for k in keys]
+    # instants lie in windows of (customer, bucket); those of a customer alone hold its buckets
+    for w, part in zip(windows, parts):
+        assert part == ("CustomerID, Bucket" if "lag(OrderDate" in w else "CustomerID")
+        assert "lag(OrderDate" in w or "lag(LastAt" in w
+
+
+@pytest.mark.parametrize("name", ["rfm", "behaviour_metrics", "value_projection", "cluster_labels"])
+def test_the_lines_are_read_once(spark, monkeypatch, name):
+    plans = []
+
+    def kept(df, *args, **kw):
+        plans.append(_plan(df))
+        return session_materialize(df, *args, **kw)
+
+    monkeypatch.setattr(customers, "_materialize", kept)
+    monkeypatch.setattr(catalog, "materialize", kept)
+    plans.append(_plan(catalog.QUERIES[name](spark, SMOKE)))
+    assert sum(p.count("/lineitem.parquet") for p in plans) == 1

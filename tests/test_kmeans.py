@@ -120,18 +120,16 @@ def test_nearest_center_expression_matches_numpy(blobs):
     assert [got[int(i)] for i in ids] == list(want)
 
 
-def test_executor_merge_equals_driver_merge(blobs, monkeypatch):
+def test_partition_layout_does_not_matter(blobs):
     df, _ids, X = blobs
     var = float(X.var(axis=0).mean())
     specs = [(3, 42), (4, 43)]
-    driver = kmeans.fit_many(df, COLS, specs, mean_variance=var)
-    driver_sil = kmeans.silhouettes(df, COLS, driver)
-    monkeypatch.setattr(kmeans, "DRIVER_MERGE_ROWS", 0)
-    executors = kmeans.fit_many(df, COLS, specs, mean_variance=var)
-    for a, b in zip(driver, executors):
-        assert a.iterations == b.iterations and list(a.counts) == list(b.counts)
-        assert np.allclose(a.centers, b.centers, atol=1e-12)
-    assert np.allclose(driver_sil, kmeans.silhouettes(df, COLS, executors), atol=1e-12)
+    one = kmeans.fit_many(df.repartition(1), COLS, specs, mean_variance=var)
+    for n in (2, 7):
+        many = kmeans.fit_many(df.repartition(n), COLS, specs, mean_variance=var)
+        for a, b in zip(one, many):
+            assert a.iterations == b.iterations and list(a.counts) == list(b.counts)
+            assert np.allclose(a.centers, b.centers, atol=1e-12)
 
 
 def test_empty_partitions(spark):

@@ -4,11 +4,9 @@ from tillroll.functions.columns import (
     HALF_EVEN,
     HALF_UP,
     MONEY,
-    count_unique_with_null,
+    MONEY_SCALE,
     first_word,
-    money_to_double,
     nan_to_null,
-    round_mean,
     round_ratio,
     whole_days,
 )
@@ -18,12 +16,10 @@ __all__ = [
     "HALF_EVEN",
     "HALF_UP",
     "MONEY",
-    "count_unique_with_null",
+    "MONEY_SCALE",
     "date_attributes",
     "first_word",
-    "money_to_double",
     "nan_to_null",
-    "round_mean",
     "round_ratio",
     "whole_days",
 ]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.exact import HALF_EVEN, HALF_UP, ratio_round_sql
 
-MONEY = "decimal(10,2)"
+MONEY_SCALE = 4
+MONEY = f"decimal(12,{MONEY_SCALE})"  # prices below a cent stay exact
 
 
 def nan_to_null(c: Column) -> Column:
@@ -38,12 +39,6 @@ def first_word(c: Column) -> Column:
     return F.substring_index(c, " ", 1)
 
 
-def count_unique_with_null(c: Column) -> Column:
-    """``len(series.unique())``: like COUNT(DISTINCT) but NULL counts as one
-    more value when present."""
-    return F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))
-
-
 def round_ratio(num_sql: str, den_sql: str, scale: int = 2, mode: str = HALF_UP,
                 num_scale: int = 0) -> Column:
     """Exact ``round(num / den, scale)`` as DOUBLE (see :mod:`tillroll.functions.exact`).
@@ -53,24 +48,13 @@ def round_ratio(num_sql: str, den_sql: str, scale: int = 2, mode: str = HALF_UP,
     return F.expr(ratio_round_sql(num_sql, den_sql, scale, mode, num_scale, "spark"))
 
 
-def round_mean(col_name: str, scale: int = 2, mode: str = HALF_UP, num_scale: int = 0) -> Column:
-    """Exact rounded mean of an integer or DECIMAL column (aggregate)."""
-    return round_ratio(f"sum(`{col_name}`)", f"count(`{col_name}`)", scale, mode, num_scale)
-
-
-def money_to_double(c: Column) -> Column:
-    return c.cast("double")
-
-
 __all__ = [
     "HALF_EVEN",
     "HALF_UP",
     "MONEY",
-    "count_unique_with_null",
     "first_word",
-    "money_to_double",
+    "MONEY_SCALE",
     "nan_to_null",
-    "round_mean",
     "round_ratio",
     "whole_days",
 ]

@@ -64,12 +64,13 @@ def line_rollup(clean: DataFrame) -> DataFrame:
     )
 
 
-def customer_base(clean: DataFrame, materialize: bool = False) -> CustomerBase:
-    """Split the rollup into orders and products; with ``materialize`` the
-    rollup is checkpointed first so the transaction joins run once."""
+def customer_base(clean: DataFrame, materialize: bool = True) -> CustomerBase:
+    """Split the rollup into orders and products. The rollup is written once,
+    partitioned by grouping set: the transaction joins run once, and a step
+    that needs only one of the two reads only that one."""
     rollup = line_rollup(clean)
     if materialize:
-        rollup = _materialize(rollup, "line_rollup")
+        rollup = _materialize(rollup, "line_rollup", partition_by=["gid"])
     orders = rollup.filter(F.col("gid") == ORDER_SET).select(
         "CustomerID", "InvoiceNo", "OrderTotal", "OrderUnits", "OrderDate", "LastDate")
     products = rollup.filter(F.col("gid") == PRODUCT_SET).select("CustomerID", "StockCode")
@@ -80,14 +81,9 @@ def _base(src: DataFrame | CustomerBase) -> CustomerBase:
     return src if isinstance(src, CustomerBase) else customer_base(src)
 
 
-def order_summary(clean: DataFrame) -> DataFrame:
-    """One row per (CustomerID, InvoiceNo); a NULL InvoiceNo is its own group."""
-    return customer_base(clean).orders
-
-
-def latest_invoice(orders: DataFrame) -> DataFrame:
-    """1-row frame with the latest invoice timestamp of the data set."""
-    return orders.agg(F.max("LastDate").alias("MaxDate"))
+def latest_invoice(customers: DataFrame) -> DataFrame:
+    """1-row frame with the latest invoice timestamp, from the last purchase of every customer."""
+    return customers.agg(F.max("LastPurchase").alias("MaxDate"))
 
 
 def _recency(last: str = "LastPurchase") -> F.Column:
@@ -98,15 +94,20 @@ def rfm(src: DataFrame | CustomerBase) -> DataFrame:
     """Recency (whole days from the last purchase to one day after the
     latest invoice), Frequency (distinct invoices, NULL counted once),
     Monetary (sum of line amounts); customers with Monetary <= 0 dropped.
-    ``src`` is the cleaned lines or their :class:`CustomerBase`."""
-    orders = _base(src).orders
-    per_customer = orders.groupBy("CustomerID").agg(
+    ``src`` is the cleaned lines or their :class:`CustomerBase`. One pass over
+    the lines: the per-customer table is written, and the latest invoice read from it."""
+    if isinstance(src, CustomerBase):
+        orders = src.orders
+    else:
+        orders = src.groupBy("CustomerID", "InvoiceNo").agg(
+            F.sum("TotalAmount").alias("OrderTotal"), F.max("InvoiceDate").alias("LastDate"))
+    per_customer = _materialize(orders.groupBy("CustomerID").agg(
         F.max("LastDate").alias("LastPurchase"),
         F.count(F.lit(1)).alias("Frequency"),
         F.sum("OrderTotal").alias("Monetary"),
-    )
+    ), "customers")
     return (
-        per_customer.crossJoin(F.broadcast(latest_invoice(orders)))
+        per_customer.crossJoin(F.broadcast(latest_invoice(per_customer)))
         .select("CustomerID", _recency().alias("Recency"), "Frequency", "Monetary")
         .filter(F.col("Monetary") > 0)
     )
@@ -160,59 +161,73 @@ def purchase_regularity(orders: DataFrame, bucket: str = "hour") -> DataFrame:
     )
 
 
-def behaviour_metrics(src: DataFrame | CustomerBase) -> DataFrame:
-    """U8: RFM plus AvgOrderValue (mean order total), ProductDiversity
-    (distinct StockCode, NULL counted), AvgItemsPerOrder (mean order units)
-    and PurchaseRegularity. Order means skip a NULL InvoiceNo, as a pandas
-    group-by does.
+BEHAVIOUR_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "AvgOrderValue",
+                     "ProductDiversity", "AvgItemsPerOrder", "PurchaseRegularity"]
+
 
-    One aggregate over the orders gives RFM and the order means; diversity
-    and regularity are aggregates of their own. All three come out hash
-    partitioned on CustomerID, so the joins need no further shuffle.
+def customer_features(src: DataFrame | CustomerBase) -> DataFrame:
+    """:func:`behaviour_metrics`, with the FirstPurchase and DaysSinceFirst that U11 needs.
+
+    One aggregate over the written orders gives RFM, the order means and the
+    first and last purchase; diversity and regularity are aggregates of their
+    own. All three come out hash partitioned on CustomerID, so the joins need no
+    further shuffle. The per-customer aggregate is written, as the latest invoice is read from it too.
     """
     base = _base(src)
-    orders = base.orders
     known = F.col("InvoiceNo").isNotNull()
     n_known = F.count("InvoiceNo").cast("double")
-    per_customer = orders.groupBy("CustomerID").agg(
+    per_customer = _materialize(base.orders.groupBy("CustomerID").agg(
+        F.min("OrderDate").alias("FirstPurchase"),
         F.max("LastDate").alias("LastPurchase"),
         F.count(F.lit(1)).alias("Frequency"),
         F.sum("OrderTotal").alias("Monetary"),
         (F.sum(F.when(known, F.col("OrderTotal"))).cast("double") / n_known).alias("AvgOrderValue"),
         (F.sum(F.when(known, F.col("OrderUnits"))).cast("double") / n_known).alias("AvgItemsPerOrder"),
-    )
+    ), "customers")
     diversity = base.products.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("ProductDiversity"))
     return (
         per_customer.filter(F.col("Monetary") > 0)
-        .crossJoin(F.broadcast(latest_invoice(orders)))
+        .crossJoin(F.broadcast(latest_invoice(per_customer)))
         .join(diversity, "CustomerID", "left")
-        .join(purchase_regularity(orders), "CustomerID", "left")
+        .join(purchase_regularity(base.orders), "CustomerID", "left")
         .select(
             "CustomerID", _recency().alias("Recency"), "Frequency", "Monetary", "AvgOrderValue",
             "ProductDiversity", "AvgItemsPerOrder",
             F.coalesce(F.col("PurchaseRegularity"), F.lit(0.0)).alias("PurchaseRegularity"),
+            "FirstPurchase", whole_days(F.col("FirstPurchase"), F.col("MaxDate")).alias("DaysSinceFirst"),
         )
     )
 
 
-def value_projection(customers: DataFrame, src: DataFrame | CustomerBase) -> DataFrame:
+def behaviour_metrics(src: DataFrame | CustomerBase) -> DataFrame:
+    """U8: RFM plus AvgOrderValue (mean order total), ProductDiversity
+    (distinct StockCode, NULL counted), AvgItemsPerOrder (mean order units)
+    and PurchaseRegularity. Order means skip a NULL InvoiceNo, as a pandas
+    group-by does."""
+    return customer_features(src).select(*BEHAVIOUR_COLUMNS)
+
+
+def value_projection(customers: DataFrame, src: DataFrame | CustomerBase | None = None) -> DataFrame:
     """Next-quarter value and a 0-100 growth score per customer.
 
     DaysSinceFirst counts whole days from the first purchase to the latest
-    invoice (no extra day, unlike Recency). The score min-max normalises
+    invoice (no extra day, unlike Recency). ``customers`` has it already if it
+    comes from :func:`customer_features`; otherwise it is joined from ``src``.
+    The projection is written, then the score min-max normalises
     GrowthPotential = log1p(F) * log1p(M) / log1p(R) over all customers via
     a broadcast 1-row min/max; it is NULL when all potentials are equal.
     """
-    orders = _base(src).orders
-    first = orders.groupBy("CustomerID").agg(F.min("OrderDate").alias("FirstPurchase"))
+    own = ["FirstPurchase", "DaysSinceFirst"]
+    if not set(own) <= set(customers.columns):
+        if src is None:
+            raise ValueError("value_projection needs FirstPurchase and DaysSinceFirst, or the lines")
+        first = customer_features(src).select("CustomerID", *own)
+        customers = customers.drop(*own).join(first, "CustomerID", "left")
     monetary = F.col("Monetary").cast("double")
     months_active = F.col("DaysSinceFirst") / F.lit(DAYS_PER_MONTH)
     purchase_rate = F.col("Frequency") / F.greatest(F.col("MonthsActive"), F.lit(1.0))
     projected = (
-        customers.join(first, "CustomerID", "left")
-        .crossJoin(F.broadcast(latest_invoice(orders)))
-        .withColumn("DaysSinceFirst", whole_days(F.col("FirstPurchase"), F.col("MaxDate")))
-        .drop("MaxDate")
+        customers.select(*[c for c in customers.columns if c not in own], *own)
         .withColumn("MonthsActive", months_active)
         .withColumn("PurchaseRate", purchase_rate)
         .withColumn("QuarterlyRate", F.col("PurchaseRate") * QUARTER_MONTHS)
@@ -223,6 +238,7 @@ def value_projection(customers: DataFrame, src: DataFrame | CustomerBase) -> Dat
             (F.lit(1.0) / F.log1p(F.col("Recency"))) * F.log1p(F.col("Frequency")) * F.log1p(monetary),
         )
     )
+    projected = _materialize(projected, "projection")
     bounds = projected.agg(
         F.min("GrowthPotential").alias("gmin"), F.max("GrowthPotential").alias("gmax")
     )

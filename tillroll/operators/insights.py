@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import HALF_EVEN, round_ratio
+from tillroll.functions.columns import HALF_EVEN, MONEY_SCALE, round_ratio
 from tillroll.functions.dates import date_attributes
 
 # Means rounded like a pandas ``.round(2)``: half to even. Exact for integer
 # and DECIMAL features (see tillroll.functions.exact); floating features are
-# rounded with ``bround``.
-_EXACT_MEANS = {"Recency": 0, "Frequency": 0, "Monetary": 2, "ProductDiversity": 0}
-_FLOAT_MEANS = ["AvgOrderValue", "PredictedQuarterlyValue", "GrowthPotentialScore"]
+# brought to six decimal places first, so their sums are exact as well and no
+# row order moves a half cent.
+_EXACT_MEANS = {"Recency": 0, "Frequency": 0, "Monetary": MONEY_SCALE, "ProductDiversity": 0}
+FLOAT_SCALE = 6
 INSIGHT_METRICS = ["Recency", "Frequency", "Monetary", "AvgOrderValue", "ProductDiversity",
                    "PredictedQuarterlyValue", "GrowthPotentialScore"]
 RANKED_METRICS = ["Monetary", "Frequency", "PredictedQuarterlyValue", "GrowthPotentialScore",
@@ -35,7 +36,8 @@ def segment_insights(final: DataFrame) -> DataFrame:
             aggs.append(round_ratio(f"sum(`{name}`)", f"count(`{name}`)", 2, HALF_EVEN,
                                     _EXACT_MEANS[name]).alias(name))
         else:
-            aggs.append(F.bround(F.avg(name), 2).alias(name))
+            fixed = f"cast(`{name}` as decimal(20,{FLOAT_SCALE}))"
+            aggs.append(round_ratio(f"sum({fixed})", f"count({fixed})", 2, HALF_EVEN, FLOAT_SCALE).alias(name))
     per_segment = final.groupBy("Segment").agg(*aggs, F.count(F.lit(1)).alias("CustomerCount"))
     total = per_segment.agg(F.sum("CustomerCount").alias("__total"))
     return (
@@ -43,6 +45,7 @@ def segment_insights(final: DataFrame) -> DataFrame:
         .withColumn("PercentOfCustomers",
                     round_ratio("CustomerCount * 100", "__total", 2, HALF_EVEN))
         .drop("__total")
+        .orderBy("Segment")  # at most 27 rows
     )
 
 
@@ -95,12 +98,20 @@ def date_dimension(final: DataFrame, lead_days: int = 90) -> DataFrame:
 
 def segment_sizes(final: DataFrame) -> DataFrame:
     """Customers per cluster and per segment, in one long table
-    (Level = 'Cluster' | 'Segment')."""
-    clusters = final.groupBy("Cluster").agg(F.count(F.lit(1)).alias("CustomerCount")).select(
-        F.lit("Cluster").alias("Level"), F.col("Cluster").cast("string").alias("Name"), "CustomerCount")
-    segments = final.groupBy("Segment").agg(F.count(F.lit(1)).alias("CustomerCount")).select(
-        F.lit("Segment").alias("Level"), F.col("Segment").alias("Name"), "CustomerCount")
-    return clusters.unionByName(segments)
+    (Level = 'Cluster' | 'Segment') from one pass over the customers:
+    clusters by id, then segments by size (largest first), then name."""
+    sizes = final.groupingSets([["Cluster"], ["Segment"]], "Cluster", "Segment").agg(
+        F.count(F.lit(1)).alias("CustomerCount"), F.grouping("Cluster").alias("by_segment"))
+    by_segment = F.col("by_segment") == 1
+    return (
+        sizes.orderBy(  # at most 37 rows
+            "by_segment", F.when(~by_segment, F.col("Cluster")), F.when(by_segment, -F.col("CustomerCount")), "Segment")
+        .select(
+            F.when(by_segment, "Segment").otherwise("Cluster").alias("Level"),
+            F.when(by_segment, F.col("Segment")).otherwise(F.col("Cluster").cast("string")).alias("Name"),
+            "CustomerCount",
+        )
+    )
 
 
 def segment_ranking(insights: DataFrame) -> DataFrame:

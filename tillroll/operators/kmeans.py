@@ -10,8 +10,7 @@ Each pass is ``mapInPandas`` over Arrow batches of the scaled vectors. The
 batch is multiplied against all centres at once (one matrix product), and
 each task emits per-(model, cluster) partial sums. A ``groupBy`` merges them
 map-side and the driver receives at most ``n_models * k_max`` rows (540 for
-the reference settings); when tasks x rows is provably small the partials
-go to the driver directly, saving a shuffle stage per pass. Centres are the only state the driver keeps. They
+the reference settings). Centres are the only state the driver keeps. They
 are bounded by the model count and the feature count, not by the data.
 
 * Seeding is k-means++ (D^2 sampling), one pass per centre for all models.
@@ -115,27 +114,20 @@ def _batches(frames: Iterator[pd.DataFrame], cols: list[str]):
             yield pdf, X
 
 
-# Per-task partials are merged on the driver when there are provably at most
-# this many (tasks x rows per task), else by a groupBy on the executors: the
-# choice treeAggregate makes between one and two levels.
-DRIVER_MERGE_ROWS = 50_000
-
-
-def _sum_partials(partials: DataFrame, n_tasks: int, rows_per_task: int, key: str,
-                  columns: list[str]) -> pd.DataFrame:
-    if n_tasks * rows_per_task <= DRIVER_MERGE_ROWS:
-        return partials.toPandas().groupby(key, as_index=False)[columns].sum()
+def _sum_partials(partials: DataFrame, key: str, columns: list[str]) -> pd.DataFrame:
+    """Partials of all tasks, merged on the executors: one row per ``key``."""
     return partials.groupBy(key).agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
 
 
 def _seed_step(vectors: DataFrame, cols: list[str], seeds: list[int], chosen: list[np.ndarray],
-               step: int, n_tasks: int) -> list[np.ndarray]:
+               step: int) -> list[np.ndarray]:
     """One k-means++ draw for each model: returns the new centre per model."""
     d = len(cols)
-    schema = "mid int, key double, " + ", ".join(f"x{j} double" for j in range(d))
+    schema = "mid int, key double, cid long, " + ", ".join(f"x{j} double" for j in range(d))
 
     def draw(frames):
         best_key = np.full(len(seeds), np.inf)
+        best_id = np.zeros(len(seeds), dtype=np.int64)
         best_pt = np.zeros((len(seeds), d))
         found = np.zeros(len(seeds), dtype=bool)
         for pdf, X in _batches(frames, cols):
@@ -149,24 +141,21 @@ def _seed_step(vectors: DataFrame, cols: list[str], seeds: list[int], chosen: li
                     d2 = np.einsum("ijk,ijk->ij", diff, diff).min(axis=1)
                     with np.errstate(divide="ignore"):
                         key = np.where(d2 > 0, -np.log(u) / np.where(d2 > 0, d2, 1.0), np.inf)
-                i = int(np.argmin(key))
-                if not found[m] or key[i] < best_key[m]:
-                    best_key[m], best_pt[m], found[m] = key[i], X[i], True
-        rows = [(m, float(best_key[m]), *map(float, best_pt[m])) for m in range(len(seeds)) if found[m]]
-        yield pd.DataFrame(rows, columns=["mid", "key"] + [f"x{j}" for j in range(d)])
+                i = int(np.lexsort((ids, key))[0])  # equal keys: the smaller id
+                if not found[m] or (key[i], ids[i]) < (best_key[m], best_id[m]):
+                    best_key[m], best_id[m], best_pt[m], found[m] = key[i], ids[i], X[i], True
+        rows = [(m, float(best_key[m]), int(best_id[m]), *map(float, best_pt[m])) for m in range(len(seeds)) if found[m]]
+        yield pd.DataFrame(rows, columns=["mid", "key", "cid"] + [f"x{j}" for j in range(d)])
 
     partials = vectors.mapInPandas(draw, schema)
     xs = [f"x{j}" for j in range(d)]
-    if n_tasks * len(seeds) <= DRIVER_MERGE_ROWS:
-        winners = partials.toPandas().sort_values(["mid", "key"], kind="stable").drop_duplicates("mid")
-    else:
-        winners = (partials.groupBy("mid").agg(F.min_by(F.struct(*xs), F.col("key")).alias("p"))
-                   .select("mid", *[F.col(f"p.{x}").alias(x) for x in xs]).toPandas())
+    winners = (partials.groupBy("mid").agg(F.min(F.struct("key", "cid", *xs)).alias("p"))
+               .select("mid", *[F.col(f"p.{x}").alias(x) for x in xs]).toPandas())
     out = {int(r.mid): np.array([r[x] for x in xs], dtype=np.float64) for _i, r in winners.iterrows()}
     return [out[m] for m in range(len(seeds))]
 
 
-def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout, n_tasks: int):
+def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout):
     """One Lloyd E-step for every model in ``layout``: per stacked centre the
     point count, summed squared distance, summed squared norm and the sum
     of the assigned points."""
@@ -195,7 +184,7 @@ def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout, n_tasks
         yield frame
 
     columns = ["n", "cost", "q"] + [f"s{j}" for j in range(d)]
-    merged = _sum_partials(vectors.mapInPandas(partial, schema), n_tasks, n_centres, "gid", columns)
+    merged = _sum_partials(vectors.mapInPandas(partial, schema), "gid", columns)
     gid = merged["gid"].to_numpy(dtype=np.int64)
     n = np.zeros(n_centres, dtype=np.int64)
     cost = np.zeros(n_centres)
@@ -227,7 +216,6 @@ def fit_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]],
 
 def _fit_persisted(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]], max_iter: int,
                    tol: float, mean_variance: float) -> list[FittedModel]:
-    n_tasks = vectors.rdd.getNumPartitions()
     seeds = [s for _k, s in specs]
     k_max = max(k for k, _s in specs)
     chosen: list[list[np.ndarray]] = [[] for _ in specs]
@@ -236,7 +224,6 @@ def _fit_persisted(vectors: DataFrame, cols: list[str], specs: list[tuple[int, i
         draws = _seed_step(
             vectors, cols, [seeds[m] for m in active],
             [np.array(chosen[m]) if chosen[m] else np.zeros((0, len(cols))) for m in active], step,
-            n_tasks,
         )
         for m, point in zip(active, draws):
             chosen[m].append(point)
@@ -247,7 +234,7 @@ def _fit_persisted(vectors: DataFrame, cols: list[str], specs: list[tuple[int, i
     pending = list(range(len(models)))
     while pending:
         layout = _Layout.of([models[m].centers for m in pending])
-        n, cost, q, s = _cluster_stats(vectors, cols, layout, n_tasks)
+        n, cost, q, s = _cluster_stats(vectors, cols, layout)
         still = []
         for m, o, k in zip(pending, layout.offsets, layout.ks):
             model = models[m]
@@ -303,7 +290,7 @@ def silhouettes(vectors: DataFrame, cols: list[str], models: list[FittedModel])
         yield pd.DataFrame({"mid": np.arange(len(models), dtype=np.int32), "total": total, "points": points})
 
     partials = vectors.mapInPandas(partial, "mid int, total double, points long")
-    merged = _sum_partials(partials, vectors.rdd.getNumPartitions(), len(models), "mid", ["total", "points"])
+    merged = _sum_partials(partials, "mid", ["total", "points"])
     by_model = {int(r.mid): r.total / r.points if r.points else float("nan") for r in merged.itertuples()}
     return [
         by_model.get(i, float("nan")) if int((m.counts > 0).sum()) > 1 else float("nan")

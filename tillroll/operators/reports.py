@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import HALF_UP, first_word, round_ratio
+from tillroll.functions.columns import HALF_UP, MONEY_SCALE, first_word, round_ratio
 
 LINE_VALUE_SQL = "(Quantity * UnitPrice)"
 
@@ -98,7 +98,7 @@ def customer_frequency(tx: DataFrame) -> DataFrame:
         .agg(
             F.count_distinct("InvoiceNo").alias("NumberOfOrders"),
             _revenue("TotalSpent"),
-            round_ratio(f"sum{LINE_VALUE_SQL}", f"count{LINE_VALUE_SQL}", 2, HALF_UP, num_scale=2)
+            round_ratio(f"sum{LINE_VALUE_SQL}", f"count{LINE_VALUE_SQL}", 2, HALF_UP, num_scale=MONEY_SCALE)
             .alias("AverageOrderValue"),
             F.count_distinct(F.month("InvoiceDate")).alias("NumberOfActiveMonths"),
         )

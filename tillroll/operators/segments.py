@@ -21,9 +21,9 @@ Scale notes
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,18 +82,6 @@ def standardize(df: DataFrame, features: list[str]) -> DataFrame:
     return scaled.select(*out)
 
 
-def feature_vectors(customers: DataFrame, features=CLUSTER_FEATURES, log_features=LOG_FEATURES,
-                    fill_null: bool = True, checkpoint: bool = True) -> DataFrame:
-    """Scaled features assembled into a ``features`` vector column, keyed by
-    CustomerID; checkpointed (reliably) unless ``checkpoint=False``."""
-    scaled = standardize(feature_columns(customers, features, log_features, fill_null), list(features))
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
-    vectors = vectors.select("CustomerID", "features", *features)
-    if checkpoint:
-        vectors = _materialize(vectors, "vectors")
-    return vectors
-
-
 # ---------------------------------------------------------------- k-means
 
 @dataclass
@@ -244,26 +232,20 @@ def attach_segments(segmented: DataFrame, labels: DataFrame, cluster_col: str =
 # ---------------------------------------------------------------- end to end
 
 def enhanced_segmentation(customers: DataFrame, ks=range(2, 11), n_init: int = 10, seed: int = 42,
-                          max_iter: int = 300, tol: float = 1e-4, sweep_fraction: float = 1.0):
+                          max_iter: int = 300, tol: float = 1e-4):
     """Features -> scale -> sweep k -> assign -> label.
 
-    Returns ``(segmented, labels, k_selection)``. ``sweep_fraction < 1``
-    chooses k on a seeded sample of customers (the final model is still fit
-    and applied to all of them); the default uses everyone, as the
-    reference does.
+    Returns ``(segmented, labels, k_selection)``. The assigned customers are
+    written once; labels and everything after read that table.
     """
     feats = feature_columns(customers)
     names = list(CLUSTER_FEATURES)
     mus, sds, var = scaling_constants(feats, names)
     vectors = _materialize(feats.select("CustomerID", *scaled_columns(names, mus, sds)), "vectors")
-    sweep_input = vectors if sweep_fraction >= 1.0 else vectors.sample(fraction=sweep_fraction, seed=seed)
-    sweep = kmeans_sweep(sweep_input, names, ks, n_init, seed, max_iter, tol, var)
-    centers = sweep.centers
-    if sweep_fraction < 1.0:
-        centers = kmeans_sweep(vectors, names, [sweep.best_k], n_init, seed, max_iter, tol, var).centers
+    sweep = kmeans_sweep(vectors, names, ks, n_init, seed, max_iter, tol, var)
     # the same expressions (and constants) as the sweep's input, on the customer rows
     scaled = [(feature_expr(n) - F.lit(mu)) / F.lit(sd) for n, mu, sd in zip(names, mus, sds)]
-    clustered = assign_clusters(customers, centers, scaled)
+    clustered = _materialize(assign_clusters(customers, sweep.centers, scaled), "clustered")
     labels = label_clusters(clustered)
     segmented = attach_segments(clustered, labels)
     return segmented, labels, k_selection_frame(customers.sparkSession, sweep)
@@ -283,22 +265,33 @@ def pca_projection(segmented: DataFrame, k: int = 2):
     plain column arithmetic from the (6 x k) loading matrix.
     """
     feats = PCA_FEATURES
-    base = segmented.select("CustomerID", "Cluster", *feats)
-    vectors = feature_vectors(base, feats, LOG_FEATURES, fill_null=False, checkpoint=False)
-    vectors = vectors.join(base.select("CustomerID", "Cluster"), "CustomerID")
-    model = PCA(k=k, inputCol="features", outputCol="pca").fit(vectors)
-    pc = model.pc.toArray()  # (n_features x k), bounded by the feature count
-    ratios = [float(v) for v in model.explainedVariance.toArray()]
+    base = segmented.select("CustomerID", "Cluster", *[feature_expr(n, LOG_FEATURES, False).alias(n) for n in feats])
+    mus, sds, _var = scaling_constants(base, feats)
+    z = {n: (F.col(n) - F.lit(mu)) / F.lit(sd) for n, mu, sd in zip(feats, mus, sds)}
+    # one pass: the 21 products of the 6 x 6 covariance, and the rows that no projection can use
+    pairs = [(i, j) for i in range(len(feats)) for j in range(i, len(feats))]
+    bad = ~F.coalesce(reduce(lambda a, b: a & b, [F.abs(F.col(n)) < F.lit(float("inf")) for n in feats]), F.lit(False))
+    row = base.agg(F.count_if(bad | reduce(lambda a, b: a | b, [F.isnan(n) for n in feats])).alias("bad"), F.count(F.lit(1)).alias("n"),
+                   *[F.sum(z[feats[i]] * z[feats[j]]).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    if row["bad"]:
+        raise ValueError(f"PCA features must be finite; {row['bad']} customers have missing or non-finite values")
+    cov = np.zeros((len(feats), len(feats)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] or 0.0) / max(row["n"] - 1, 1)
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(-values, kind="stable")[:k]
+    total = float(np.maximum(values, 0.0).sum())
+    ratios = [float(max(values[o], 0.0) / total) if total else 0.0 for o in order]
     loadings = []
-    for j in range(k):
-        column = [float(pc[i, j]) for i in range(len(feats))]
+    for o in order:
+        column = [float(v) for v in vectors[:, o]]
         pivot = max(range(len(feats)), key=lambda i: abs(column[i]))
         sign = -1.0 if column[pivot] < 0 else 1.0
         loadings.append([sign * v for v in column])
-    scores = vectors.select(
+    scores = base.select(
         "CustomerID",
         *[
-            sum((F.col(f) * F.lit(loadings[j][i]) for i, f in enumerate(feats)), F.lit(0.0)).alias(f"PC{j + 1}")
+            sum((z[f] * F.lit(loadings[j][i]) for i, f in enumerate(feats)), F.lit(0.0)).alias(f"PC{j + 1}")
             for j in range(k)
         ],
         "Cluster",

@@ -74,9 +74,8 @@ def _base(spark: SparkSession, sf_dir: str) -> customers.CustomerBase:
 
 
 def q_value_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(spark, sf_dir)
-    feats = customers.behaviour_metrics(base)
-    return round_columns(decimals_to_double(customers.value_projection(feats, base)), LOG_DERIVED)
+    feats = customers.customer_features(_base(spark, sf_dir))
+    return round_columns(decimals_to_double(customers.value_projection(feats)), LOG_DERIVED)
 
 
 # ---- segment-level operators on a deterministic stand-in clustering ----
@@ -89,25 +88,25 @@ STANDIN_CLUSTERS = 5
 MEAN_DOUBLES = ["AvgOrderValue", "AvgItemsPerOrder"]
 
 
-def _features(spark: SparkSession, sf_dir: str):
-    base = _base(spark, sf_dir)
-    return materialize(customers.behaviour_metrics(base)), base
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(customers.customer_features(_base(spark, sf_dir)), "features")
 
 
 def standin_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer table after (stand-in) segmentation and value projection,
     checkpointed because every segment-level result reads it."""
-    feats, base = _features(spark, sf_dir)
-    clustered = feats.withColumn("Cluster", (F.col("CustomerID") % STANDIN_CLUSTERS).cast("int"))
+    clustered = standin_clusters(_features(spark, sf_dir))
     labels = segments.label_clusters(clustered)
     segmented = segments.attach_segments(clustered, labels)
-    return materialize(customers.value_projection(segmented, base))
+    return materialize(customers.value_projection(segmented), "final")
+
+
+def standin_clusters(feats: DataFrame) -> DataFrame:
+    return feats.withColumn("Cluster", (F.col("CustomerID") % STANDIN_CLUSTERS).cast("int"))
 
 
 def q_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats, _base_unused = _features(spark, sf_dir)
-    clustered = feats.withColumn("Cluster", (F.col("CustomerID") % STANDIN_CLUSTERS).cast("int"))
-    return round_columns(segments.label_clusters(clustered), MEAN_DOUBLES)
+    return round_columns(segments.label_clusters(standin_clusters(_features(spark, sf_dir))), MEAN_DOUBLES)
 
 
 def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,17 +168,16 @@ def q_segment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- K-means and PCA (not expressible in SQL: rows-only checks) ----
 
 def _kmeans(spark: SparkSession, sf_dir: str):
-    feats, base = _features(spark, sf_dir)
-    return segments.enhanced_segmentation(feats), base
+    return segments.enhanced_segmentation(_features(spark, sf_dir))
 
 
 def q_kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (segmented, _labels, _curve), base = _kmeans(spark, sf_dir)
-    return decimals_to_double(customers.value_projection(segmented, base))
+    segmented, _labels, _curve = _kmeans(spark, sf_dir)
+    return decimals_to_double(customers.value_projection(segmented))
 
 
 def q_k_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (_seg, _labels, curve), _base_unused = _kmeans(spark, sf_dir)
+    _seg, _labels, curve = _kmeans(spark, sf_dir)
     return curve
 
 

@@ -20,6 +20,11 @@ def rr(num: str, den: str, scale: int = 2, mode: str = HALF_UP, num_scale: int =
     return ratio_round_sql(num, den, scale, mode, num_scale, dialect="duckdb")
 
 
+def fixed_mean(c: str) -> str:
+    """Mean of a floating column over its values at six decimal places."""
+    return rr(f"SUM(CAST({c} AS DECIMAL(20,6)))", f"COUNT({c})", 2, HALF_EVEN, 6)
+
+
 TX = """
 online_retail AS (
     SELECT CAST(o_orderkey AS VARCHAR) AS InvoiceNo,
@@ -27,7 +32,7 @@ online_retail AS (
            p_name AS Description,
            CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS INTEGER) AS Quantity,
            o_orderdate + to_minutes(CAST(o_orderkey * 37 % 1440 AS INTEGER)) AS InvoiceDate,
-           CAST(p_retailprice AS DECIMAL(10,2)) AS UnitPrice,
+           CAST(p_retailprice AS DECIMAL(12,4)) AS UnitPrice,
            CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_custkey END AS CustomerID,
            n_name AS Country
     FROM lineitem
@@ -84,7 +89,7 @@ CUSTOMER_FREQUENCY = _with(TX, f"""
 SELECT CustomerID,
        COUNT(DISTINCT InvoiceNo) AS NumberOfOrders,
        CAST(ROUND(SUM(Quantity * UnitPrice), 2) AS DOUBLE) AS TotalSpent,
-       {rr('SUM(Quantity * UnitPrice)', 'COUNT(Quantity * UnitPrice)', 2, HALF_UP, 2)} AS AverageOrderValue,
+       {rr('SUM(Quantity * UnitPrice)', 'COUNT(Quantity * UnitPrice)', 2, HALF_UP, 4)} AS AverageOrderValue,
        COUNT(DISTINCT substr(strftime(InvoiceDate, '%Y-%m-%d'), 6, 2)) AS NumberOfActiveMonths
 FROM online_retail
 WHERE Quantity > 0 AND CustomerID IS NOT NULL
@@ -93,7 +98,7 @@ ORDER BY TotalSpent DESC, CustomerID""")
 
 CATEGORY_REVENUE = _with(TX + """,
 categories AS (
-    SELECT SUBSTR(Description, 1, INSTR(Description || ' ', ' ') - 1) AS Category,
+    SELECT split_part(Description, ' ', 1) AS Category,
            COUNT(*) AS ProductCount,
            CAST(ROUND(SUM(Quantity * UnitPrice), 2) AS DOUBLE) AS CategoryRevenue
     FROM online_retail
@@ -230,11 +235,11 @@ ins AS (
     SELECT Segment,
            {rr('SUM(Recency)', 'COUNT(Recency)', 2, HALF_EVEN)} AS Recency,
            {rr('SUM(Frequency)', 'COUNT(Frequency)', 2, HALF_EVEN)} AS Frequency,
-           {rr('SUM(MonetaryDec)', 'COUNT(MonetaryDec)', 2, HALF_EVEN, 2)} AS Monetary,
-           round_even(AVG(AvgOrderValue), 2) AS AvgOrderValue,
+           {rr('SUM(MonetaryDec)', 'COUNT(MonetaryDec)', 2, HALF_EVEN, 4)} AS Monetary,
+           {fixed_mean('AvgOrderValue')} AS AvgOrderValue,
            {rr('SUM(ProductDiversity)', 'COUNT(ProductDiversity)', 2, HALF_EVEN)} AS ProductDiversity,
-           round_even(AVG(PredictedQuarterlyValue), 2) AS PredictedQuarterlyValue,
-           round_even(AVG(GrowthPotentialScore), 2) AS GrowthPotentialScore,
+           {fixed_mean('PredictedQuarterlyValue')} AS PredictedQuarterlyValue,
+           {fixed_mean('GrowthPotentialScore')} AS GrowthPotentialScore,
            COUNT(*) AS CustomerCount
     FROM final GROUP BY Segment
 ),

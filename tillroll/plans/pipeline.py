@@ -32,7 +32,6 @@ def run_pipeline(
     n_init: int = 10,
     seed: int = 42,
     max_iter: int = 300,
-    sweep_fraction: float = 1.0,
 ) -> dict[str, DataFrame]:
     """Run the whole analysis on invoice lines ``tx``.
 
@@ -53,13 +52,11 @@ def run_pipeline(
     """
     tune(tx.sparkSession)
     clean = clean_transactions(tx)
-    base = customers.customer_base(clean, materialize=True)
-    features = materialize(customers.behaviour_metrics(base))
+    features = materialize(customers.customer_features(customers.customer_base(clean)), "features")
     segmented, labels, k_selection = segments.enhanced_segmentation(
         features, ks=ks, n_init=n_init, seed=seed, max_iter=max_iter,
-        sweep_fraction=sweep_fraction,
     )
-    final = materialize(customers.value_projection(segmented, base))
+    final = materialize(customers.value_projection(segmented), "final")
     seg_insights = materialize(insights.segment_insights(final))
     pca_scores, pca_components = segments.pca_projection(final)
     results = {

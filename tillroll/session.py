@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings the plans are designed around. They are all
@@ -90,6 +91,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def _has_master() -> bool:
+    """Whether a master is set by a running context, spark-submit, its arguments or the configuration file."""
+    if SparkContext._active_spark_context is not None:
+        return True
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # under spark-submit the JVM has the configuration
+        return SparkConf().contains("spark.master")
+    # before the JVM starts (starting it here would lose the driver memory that a caller asks for)
+    if "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "") or "spark.master" in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        return True
+    folder = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    defaults = os.path.join(folder, "spark-defaults.conf")
+    if os.path.isfile(defaults):
+        with open(defaults) as f:
+            return any(line.split("=")[0].split()[:1] == ["spark.master"] for line in f)
+    return False
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "tillroll",
@@ -98,12 +116,12 @@ def build_session(
 ) -> SparkSession:
     """Create (or reuse) a session configured for the library.
 
-    ``master`` defaults to ``local[$BENCH_CPUS]`` / ``local[*]`` so the same
-    call works for tests and the benchmark; on a cluster pass ``None`` and
-    let ``spark-submit`` decide.
+    Without ``master`` the master that was submitted (or configured, or runs
+    already) is kept. Only where there is none it becomes
+    ``local[$BENCH_CPUS]`` / ``local[*]``, for tests and the benchmark.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and "SPARK_MASTER" not in os.environ:
+    if master is None and not _has_master():
         cpus = os.environ.get("BENCH_CPUS", "*")
         master = f"local[{cpus}]"
     if master:
@@ -120,7 +138,7 @@ def build_session(
     return tune(spark)
 
 
-def materialize(df, name: str | None = None):
+def materialize(df, name: str | None = None, partition_by: list[str] | None = None):
     """Cut the lineage of ``df`` by writing it as a Parquet table under the
     session's checkpoint folder (shared on a cluster) and reading it back.
 
@@ -133,7 +151,7 @@ def materialize(df, name: str | None = None):
     """
     spark = df.sparkSession
     path = new_path(spark, name or "table")
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").parquet(path, partitionBy=partition_by)
     return spark.read.parquet(path)
 
 

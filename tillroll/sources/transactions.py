@@ -3,8 +3,8 @@
 The one input of every operator is a flat table of invoice lines with the
 columns of :data:`TRANSACTION_SCHEMA`. It can come from
 
-* a CSV export (:func:`read_transactions_csv`, Latin-1, explicit schema so
-  there is no inference pass over the data),
+* a CSV export (:func:`read_transactions_csv`, Latin-1, columns by header
+  name, no inference pass over the data),
 * Parquet (:func:`read_transactions_parquet`),
 * the TPC-H-like star schema used in tests and benchmarks
   (:func:`transactions_from_star`), a declarative join that Catalyst prunes
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.functions.columns import MONEY, nan_to_null
+from tillroll.functions.columns import MONEY, MONEY_SCALE, nan_to_null
 
 TRANSACTION_SCHEMA = T.StructType([
     T.StructField("InvoiceNo", T.StringType(), False),
@@ -25,71 +25,90 @@ TRANSACTION_SCHEMA = T.StructType([
     T.StructField("Description", T.StringType(), True),
     T.StructField("Quantity", T.IntegerType(), False),
     T.StructField("InvoiceDate", T.TimestampNTZType(), False),
-    T.StructField("UnitPrice", T.DecimalType(10, 2), False),
+    T.StructField("UnitPrice", T.DecimalType(12, MONEY_SCALE), False),
     T.StructField("CustomerID", T.LongType(), True),
     T.StructField("Country", T.StringType(), False),
 ])
 
 TRANSACTION_COLUMNS = [f.name for f in TRANSACTION_SCHEMA.fields]
 
-# Text layout of the CSV export: dates like "12/1/2010 8:26", CustomerID as
-# a float ("17850.0") because the column has gaps.
-CSV_SCHEMA = T.StructType([
-    T.StructField("InvoiceNo", T.StringType()),
-    T.StructField("StockCode", T.StringType()),
-    T.StructField("Description", T.StringType()),
-    T.StructField("Quantity", T.IntegerType()),
-    T.StructField("InvoiceDate", T.StringType()),
-    T.StructField("UnitPrice", T.DecimalType(10, 2)),
-    T.StructField("CustomerID", T.DoubleType()),
-    T.StructField("Country", T.StringType()),
-])
+# Text layouts of dates in CSV exports, tried in this order.
+CSV_TIMESTAMP_FORMATS = (
+    "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy-MM-dd H:mm:ss", "yyyy-MM-dd H:mm", "yyyy-MM-dd'T'H:mm:ss", "yyyy-MM-dd",
+)
+#: Every column as text, for readers that need the columns before they see a file.
+CSV_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in TRANSACTION_COLUMNS])
+
+
+def _no_nan(df: DataFrame, name: str):
+    """A floating column with NaN as NULL (T5); other columns as they are."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return nan_to_null(F.col(name)) if floating else F.col(name)
 
-CSV_TIMESTAMP_FORMAT = "M/d/yyyy H:mm"
+
+def _price(raw):
+    """The price as DECIMAL; a price with more decimal places than it holds stops the job rather than lose them."""
+    price = raw.cast(MONEY)
+    lost = raw.cast("decimal(38,18)") != price
+    message = F.concat(F.lit(f"UnitPrice has more than {MONEY_SCALE} decimal places: "), raw.cast("string"))
+    return F.when(lost, F.raise_error(message).cast(MONEY)).otherwise(price)
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Cast a frame with the transaction columns to the canonical types."""
+    """Cast a frame with the transaction columns to the canonical types. NaN
+    in a floating column is missing; digits of a price are never cut."""
     return df.select(
         F.col("InvoiceNo").cast("string").alias("InvoiceNo"),
         F.col("StockCode").cast("string").alias("StockCode"),
         F.col("Description").cast("string").alias("Description"),
-        F.col("Quantity").cast("int").alias("Quantity"),
+        _no_nan(df, "Quantity").cast("int").alias("Quantity"),
         F.col("InvoiceDate").cast("timestamp_ntz").alias("InvoiceDate"),
-        F.col("UnitPrice").cast(MONEY).alias("UnitPrice"),
-        F.col("CustomerID").cast("long").alias("CustomerID"),
+        _price(_no_nan(df, "UnitPrice")).alias("UnitPrice"),
+        _no_nan(df, "CustomerID").cast("long").alias("CustomerID"),
         F.col("Country").cast("string").alias("Country"),
     )
 
 
+def csv_options(reader, encoding: str = "ISO-8859-1", multi_line: bool = False):
+    """Options of a CSV reader: quotes are doubled inside quotes, a malformed line stops the job."""
+    return (reader.option("header", True).option("encoding", encoding).option("mode", "FAILFAST")
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+
+
 def read_transactions_csv(
     spark: SparkSession,
     path: str,
-    timestamp_format: str = CSV_TIMESTAMP_FORMAT,
+    timestamp_formats: tuple[str, ...] = CSV_TIMESTAMP_FORMATS,
     encoding: str = "ISO-8859-1",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read the CSV export (header row, Latin-1).
-
-    Dates are parsed once here with an explicit pattern (ANSI mode raises on
-    text that does not parse, as ``pandas.to_datetime`` does). A CustomerID
-    of NaN or blank becomes NULL.
+    """Read a CSV export (header row, Latin-1).
+
+    Columns are found by their header name, in any order, beside others. A
+    quoted field may hold commas and doubled quotes. Line breaks inside quotes need
+    ``multi_line=True``; such a file is read by one task (it cannot be
+    split), so it is off by default. Dates may come in any of
+    ``timestamp_formats``; text that fits none stops the job, as
+    ``pandas.to_datetime`` does. A number that is NaN or blank becomes NULL.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("mode", "FAILFAST")
-        .schema(CSV_SCHEMA)
-        .csv(path)
-    )
-    return parse_csv_columns(raw, timestamp_format)
-
-
-def parse_csv_columns(raw: DataFrame, timestamp_format: str = CSV_TIMESTAMP_FORMAT) -> DataFrame:
-    """Typed transaction columns from the CSV text layout (batch or stream)."""
-    return conform(
-        raw.withColumn("InvoiceDate", F.to_timestamp_ntz(F.col("InvoiceDate"), F.lit(timestamp_format)))
-        .withColumn("CustomerID", nan_to_null(F.col("CustomerID")))
-    )
+    raw = csv_options(spark.read, encoding, multi_line).csv(path)
+    missing = [c for c in TRANSACTION_COLUMNS if c not in raw.columns]
+    if missing:
+        raise ValueError(f"the CSV header has no column {missing}")
+    return parse_csv_columns(raw, timestamp_formats)
+
+
+def parse_csv_columns(raw: DataFrame, timestamp_formats: tuple[str, ...] = CSV_TIMESTAMP_FORMATS) -> DataFrame:
+    """Typed transaction columns from text columns (batch or stream)."""
+    text = F.col("InvoiceDate")
+    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in timestamp_formats])
+    wrong = F.raise_error(F.concat(F.lit("InvoiceDate is in none of the known layouts: "), text)).cast("timestamp_ntz")
+    number = lambda c: nan_to_null(F.col(c).cast("double"))
+    price = F.when(F.lower("UnitPrice") != "nan", F.col("UnitPrice"))
+    return conform(raw.withColumns({
+        "InvoiceDate": F.when(text.isNotNull(), F.coalesce(parsed, wrong)),
+        "Quantity": number("Quantity"), "CustomerID": number("CustomerID"), "UnitPrice": price,
+    }))
 
 
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll.session import checkpoint_dir
 from tillroll.sources.transactions import (
-    CSV_SCHEMA,
-    CSV_TIMESTAMP_FORMAT,
+    CSV_TEXT_SCHEMA,
+    CSV_TIMESTAMP_FORMATS,
     TRANSACTION_SCHEMA,
     conform,
+    csv_options,
     parse_csv_columns,
 )
 
@@ -35,17 +35,19 @@ def stream_transactions(
     source_dir: str,
     fmt: str = "csv",
     max_files_per_trigger: int | None = None,
-    timestamp_format: str = CSV_TIMESTAMP_FORMAT,
+    timestamp_formats: tuple[str, ...] = CSV_TIMESTAMP_FORMATS,
     encoding: str = "ISO-8859-1",
 ) -> DataFrame:
-    """A streaming DataFrame of typed invoice lines from files in ``source_dir``."""
+    """A streaming DataFrame of typed invoice lines from files in ``source_dir``.
+
+    CSV files must have the transaction columns in their order: a file with
+    another header stops the query, as does a malformed line."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        raw = (reader.option("header", True).option("encoding", encoding)
-               .schema(CSV_SCHEMA).csv(source_dir))
-        return parse_csv_columns(raw, timestamp_format)
+        raw = csv_options(reader, encoding).option("enforceSchema", False).schema(CSV_TEXT_SCHEMA).csv(source_dir)
+        return parse_csv_columns(raw, timestamp_formats)
     return conform(reader.schema(TRANSACTION_SCHEMA).format(fmt).load(source_dir))
 
 
@@ -62,10 +64,11 @@ def ingest(
 
     ``available_now=True`` processes every file present and stops (a
     scheduled incremental load); otherwise the query keeps running with a
-    ``processing_time`` trigger. The query checkpoint defaults to a folder
-    under the session's shared checkpoint directory.
+    ``processing_time`` trigger. The query's checkpoint, by which later runs
+    and other sessions know the files that are in the table, belongs to the table: it
+    lies beside it, in ``<table_dir>_checkpoint``, unless another place is given.
     """
-    location = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/streams/ingest"
+    location = checkpoint_location or f"{table_dir.rstrip('/')}_checkpoint"
     lines = stream_transactions(spark, source_dir, fmt).withColumn(
         PARTITION_COLUMN, F.date_format("InvoiceDate", "yyyy-MM"))
     writer = (
