@@ -41,6 +41,7 @@ WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+")
 K1, B = 1.2, 0.75
 BLOCK = 16
+GROUPS = 128
 SHINGLE = 5
 EPS = 1e-9
 HIT_FIELDS = "doc_id {id}, item_id {item}, passage_start int, score double, question_overlap double, answer_overlap double"
@@ -84,18 +85,41 @@ class ItemIndex:
         self.impact = {t: [x for _, x in p] for t, p in postings.items()}
         self.blocks = {t: [max(x[j:j + BLOCK]) for j in range(0, len(x), BLOCK)] for t, x in self.impact.items()}
         self.most = {t: max(x) for t, x in self.blocks.items()}
-        # Common terms, taken together, add at most ``common`` to any item; the others count with their list's maximum.
-        self.rare = np.zeros(len(self.term) + 1)  # the last entry is for words of no item
-        for t, x in self.most.items():
-            self.rare[t] = x
-        self.common, held = 0.0, [0.0] * len(texts)
+        # A bound for whole windows, by groups of items: the common terms, taken together, add at most ``common`` to
+        # an item of the group; each other term adds at most its highest impact there.
+        n_groups = max(1, min(GROUPS, len(texts)))
+        group = [i * n_groups // max(1, len(texts)) for i in range(len(texts))]
+        held = np.zeros(len(texts))
+        self.rare = np.ones(len(self.term) + 1, bool)
+        self.rare[len(self.term)] = False  # the number for words of no item
         for t in sorted(df, key=lambda t: (-df[t], t)):
-            now = list(held)
-            for i, x in zip(self.items[t], self.impact[t]):
-                now[i] += x
-            if max(now) > threshold / 2:
+            now = held.copy()
+            now[self.items[t]] += self.impact[t]
+            if now.max() > threshold / 1.4:
                 break
-            held, self.common, self.rare[t] = now, max(now), 0.0
+            held, self.rare[t] = now, False
+        self.common = np.zeros(n_groups, np.float32)
+        np.maximum.at(self.common, group, held)
+        self.bound = np.zeros((len(self.term) + 1, n_groups), np.float32)
+        for t, x in self.impact.items():
+            if self.rare[t]:
+                np.maximum.at(self.bound[t], [group[i] for i in self.items[t]], x)
+
+    def _windows(self, ids: np.ndarray) -> list[int]:
+        """First words of the windows in which some group of items may reach the threshold."""
+        half = self.window // 2
+        n = -(-len(ids) // half)
+        sums = np.zeros((n, len(self.common)))
+        for lo in range(0, n, 256):
+            part = ids[lo * half:(lo + 256) * half]
+            at = np.flatnonzero(self.rare[part])
+            total = np.zeros((len(at) + 1, len(self.common)))
+            np.cumsum(self.bound[part[at]], axis=0, out=total[1:])
+            cuts = np.searchsorted(at, np.arange(0, len(part) + half, half))
+            sums[lo:lo + 256] = total[cuts[1:]] - total[cuts[:-1]]
+        if n > 1:
+            sums = sums[:-1] + sums[1:]
+        return (np.flatnonzero((sums + self.common >= self.threshold - 1e-5).any(axis=1)) * half).tolist()
 
     def search(self, terms: set[int]) -> list[tuple[int, float]]:
         """Block-max WAND: (item, score) of all items at or above the threshold."""
@@ -148,12 +172,8 @@ class ItemIndex:
         ids = np.array([get(w, none) for w in WORD.findall(text.lower())], np.int64)
         if not len(ids):
             return []
-        half = self.window // 2
-        starts = np.arange(0, max(1, len(ids) - half), half)
-        total = np.concatenate([[0.0], np.cumsum(self.rare[ids])])
-        bound = total[np.minimum(starts + self.window, len(ids))] - total[starts] + self.common
         best: dict[int, tuple] = {}
-        for s in starts[bound >= self.threshold - 1e-6].tolist():
+        for s in self._windows(ids):
             part = ids[s:s + self.window].tolist()
             got = self.search(set(part) - {none})
             if got:
@@ -185,7 +205,7 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text: str = "text", threshold: float = 0.5,
-                       overlap: float = 0.8, shard_words: int = 2_000_000) -> DataFrame:
+                       overlap: float = 0.8, shard_words: int = 200_000) -> DataFrame:
     """One row per document and item found in it: ``doc_id``, ``item_id``, ``passage_start`` (a word's
     number), ``score`` (share of the item's own BM25 score), ``question_overlap``, ``answer_overlap``."""
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
@@ -212,7 +232,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text: str = "text", threshold: float = 0.5, overlap: float = 0.8,
-                      shard_words: int = 2_000_000) -> DataFrame:
+                      shard_words: int = 200_000) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their own columns."""
     out, flag = docs, free_name(docs, "is_clean")
     for shard in _shards(benchmark, item_col, item_text, shard_words):
