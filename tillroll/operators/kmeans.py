@@ -254,6 +254,15 @@ def _fit_persisted(vectors: DataFrame, cols: list[str], specs: list[tuple[int, i
     return models
 
 
+def lloyd(vectors: DataFrame, cols: list[str], centers: np.ndarray, iterations: int) -> np.ndarray:
+    """Centres after a given number of Lloyd iterations from given ones (an empty cluster keeps its centre)."""
+    centers = np.asarray(centers, dtype=np.float64)
+    for _ in range(iterations):
+        n, _cost, _q, s = _cluster_stats(vectors, cols, _Layout.of([centers]))
+        centers = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centers)
+    return centers
+
+
 def silhouettes(vectors: DataFrame, cols: list[str], models: list[FittedModel]) -> list[float]:
     """Mean squared-Euclidean silhouette of each model's assignment (NaN
     when fewer than two clusters are non-empty), all models in one pass.

@@ -173,6 +173,40 @@ def assign_clusters(customers: DataFrame, centers: np.ndarray, scaled: list) ->
     return joined.join(F.broadcast(ranked), "raw").drop("raw")
 
 
+def cluster_inertia(scaled: DataFrame, features: list[str], cluster_col: str = "Cluster") -> DataFrame:
+    """M4/M5 for given clusters: size and inertia (summed squared distance to
+    the mean) of each, in closed form from sums and summed squares."""
+    n = F.count(F.lit(1))
+    square = sum((F.sum(F.col(f) * F.col(f)) for f in features), F.lit(0.0))
+    mean_part = sum((F.sum(f) * F.sum(f) for f in features), F.lit(0.0)) / n
+    return scaled.groupBy(cluster_col).agg(n.alias("CustomerCount"), (square - mean_part).alias("Inertia"))
+
+
+def cluster_silhouette(scaled: DataFrame, features: list[str], cluster_col: str = "Cluster") -> DataFrame:
+    """M4 for given clusters: mean squared-Euclidean silhouette (one row).
+
+    The mean squared distance of x to a cluster is |x|^2 + Q/n - 2 x.S/n, so
+    the sums of the clusters (a row each, collected) make it a column
+    expression: one more pass, no pairs. A cluster of one customer scores 0."""
+    stats = scaled.groupBy(cluster_col).agg(
+        F.count(F.lit(1)).alias("n"), sum((F.sum(F.col(f) * F.col(f)) for f in features), F.lit(0.0)).alias("q"),
+        *[F.sum(f).alias(f"s_{f}") for f in features]).collect()
+    own = F.col(cluster_col)
+    norm = sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))
+    far = F.lit(float("inf"))
+    a, b, size = far, [], F.lit(0)
+    for r in stats:
+        to = norm + r["q"] / r["n"] - sum((F.col(f) * (2.0 * r[f"s_{f}"] / r["n"]) for f in features), F.lit(0.0))
+        here = own == F.lit(r[cluster_col])
+        a = F.when(here, to * (r["n"] / max(r["n"] - 1, 1))).otherwise(a)
+        b.append(F.when(here, far).otherwise(to))
+        size = F.when(here, F.lit(r["n"])).otherwise(size)
+    if len(b) < 2:
+        return scaled.agg(F.max(F.lit(None).cast("double")).alias("Silhouette"))
+    score = F.when(F.col("size") <= 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return scaled.select(a.alias("a"), F.least(*b).alias("b"), size.alias("size")).agg(F.avg(score).alias("Silhouette"))
+
+
 # ---------------------------------------------------------------- labels
 
 def cluster_means(segmented: DataFrame, cluster_col: str = "Cluster") -> DataFrame:

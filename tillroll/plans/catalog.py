@@ -13,9 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import customers, insights, playbook, reports, segments
-from tillroll.session import materialize, tune
-from tillroll.sources.transactions import clean_transactions, transactions_from_star
+from tillroll.operators import customers, insights, kmeans, playbook, reports, segments
+from tillroll.plans.pipeline import EXPORT_PREFIX, export
+from tillroll.session import materialize, new_path, tune
+from tillroll.sources.sinks import write_table
+from tillroll.sources.transactions import (
+    TRANSACTION_COLUMNS,
+    clean_transactions,
+    read_transactions_csv,
+    transactions_from_star,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +36,17 @@ def _report(fn) -> Query:
 
 
 def q_clean_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = clean_transactions(_tx(spark, sf_dir))
+    return _clean_output(clean_transactions(_tx(spark, sf_dir)))
+
+
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned lines written as CSV and read back with the public reader."""
+    path = new_path(spark, "csv")
+    write_table(_clean(spark, sf_dir).select(*reversed(TRANSACTION_COLUMNS)), path, "csv")
+    return _clean_output(clean_transactions(read_transactions_csv(spark, path)))
+
+
+def _clean_output(df: DataFrame) -> DataFrame:
     return df.withColumn("UnitPrice", F.col("UnitPrice").cast("double")).withColumn(
         "TotalAmount", F.col("TotalAmount").cast("double")
     )
@@ -165,7 +182,63 @@ def q_segment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playbook.segment_kpis(_insights(spark, sf_dir))
 
 
-# ---- K-means and PCA (not expressible in SQL: rows-only checks) ----
+def q_pipeline_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export set written as CSV, and its customer table read back."""
+    final = standin_final(spark, sf_dir)
+    seg = materialize(insights.segment_insights(final), "insights")
+    path = new_path(spark, "export")
+    export({
+        "final": decimals_to_double(final), "segment_insights": seg, "segment_summary": insights.segment_summary(seg),
+        "date_dimension": insights.date_dimension(final), "interpretations": playbook.segment_interpretation(seg),
+        "recommendations": playbook.segment_actions(seg), "kpis": playbook.segment_kpis(seg),
+    }, path, fmt="csv")
+    back = spark.read.option("header", True).option("escape", '"').schema(decimals_to_double(final).schema).csv(
+        f"{path}/{EXPORT_PREFIX}customers")
+    return round_columns(back, LOG_DERIVED)
+
+
+# ---- scaling, cluster scores, Lloyd iterations and PCA over the real customer table ----
+
+def _scaled(feats: DataFrame, *keep: str) -> DataFrame:
+    names = list(segments.CLUSTER_FEATURES)
+    columns = segments.feature_columns(feats)
+    mus, sds, _var = segments.scaling_constants(columns, names)
+    scaled = [((segments.feature_expr(n) - F.lit(mu)) / F.lit(sd)).alias(n) for n, mu, sd in zip(names, mus, sds)]
+    return feats.select("CustomerID", *keep, *scaled)
+
+
+def q_scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_scaled(_features(spark, sf_dir)), segments.CLUSTER_FEATURES)
+
+
+def q_standin_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = _scaled(standin_clusters(_features(spark, sf_dir)), "Cluster")
+    return round_columns(segments.cluster_silhouette(scaled, segments.CLUSTER_FEATURES), ["Silhouette"])
+
+
+def q_standin_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = _scaled(standin_clusters(_features(spark, sf_dir)), "Cluster")
+    return round_columns(segments.cluster_inertia(scaled, segments.CLUSTER_FEATURES), ["Inertia"])
+
+
+FIXED_START, FIXED_ITERATIONS = 3, 4
+
+
+def q_kmeans_fixed_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lloyd's iterations from the three smallest customer ids, then every customer's cluster (M3, M6)."""
+    names = list(segments.CLUSTER_FEATURES)
+    scaled = materialize(_scaled(_features(spark, sf_dir)), "vectors")
+    start = [[r[n] for n in names] for r in scaled.orderBy("CustomerID").limit(FIXED_START).collect()]
+    centers = kmeans.lloyd(scaled, names, start, FIXED_ITERATIONS)
+    return scaled.select("CustomerID", kmeans.nearest_center([F.col(n) for n in names], centers).alias("Cluster"))
+
+
+def q_pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _scores, components = segments.pca_projection(standin_final(spark, sf_dir))
+    return round_columns(components, ["Loading", "ExplainedVarianceRatio"])
+
+
+# ---- the K-means sweep with random restarts (not expressible in SQL: rows-only checks) ----
 
 def _kmeans(spark: SparkSession, sf_dir: str):
     return segments.enhanced_segmentation(_features(spark, sf_dir))
@@ -183,7 +256,7 @@ def q_k_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, _components = segments.pca_projection(standin_final(spark, sf_dir))
-    return scores
+    return round_columns(scores, ["PC1", "PC2"])
 
 
 QUERIES: dict[str, Query] = {
@@ -210,6 +283,13 @@ QUERIES: dict[str, Query] = {
     "segment_actions": q_segment_actions,
     "customer_actions": q_customer_actions,
     "segment_kpis": q_segment_kpis,
+    "csv_roundtrip": q_csv_roundtrip,
+    "pipeline_export": q_pipeline_export,
+    "scaled_features": q_scaled_features,
+    "standin_silhouette": q_standin_silhouette,
+    "standin_inertia": q_standin_inertia,
+    "kmeans_fixed_start": q_kmeans_fixed_start,
+    "pca_components": q_pca_components,
     "kmeans_segments": q_kmeans_segments,
     "k_selection": q_k_selection,
     "pca_projection": q_pca_projection,

@@ -456,6 +456,109 @@ SELECT s.Segment, k.KpiGroup, k.Rank, k.Kpi
 FROM segs s LEFT JOIN matched m USING (Segment)
 JOIN kpis k ON k.rule_no = COALESCE(m.rule_no, {_KPI_FALLBACK})""")
 
+PIPELINE_EXPORT = _with(SEGMENTED, """
+SELECT CustomerID, Recency, Frequency, Monetary, AvgOrderValue, ProductDiversity, AvgItemsPerOrder, PurchaseRegularity,
+       Cluster, Segment, FirstPurchase, DaysSinceFirst, MonthsActive, PurchaseRate, QuarterlyRate, AvgTransactionValue,
+       PredictedQuarterlyValue, round(GrowthPotential, 6) AS GrowthPotential, round(GrowthPotentialScore, 6) AS GrowthPotentialScore
+FROM final""")
+
+# ---- scaling, cluster scores, Lloyd iterations, PCA: written out in SQL ----
+_CLUSTERED = ["Recency", "Frequency", "Monetary", "AvgOrderValue", "ProductDiversity", "AvgItemsPerOrder", "PurchaseRegularity"]
+
+
+def _scaled_cte(name: str, features: list[str], source: str, extra: str = "") -> str:
+    raw = {c: f"ln(1 + CAST({c} AS DOUBLE))" if c in ("Monetary", "AvgOrderValue") else f"CAST({c} AS DOUBLE)" for c in features}
+    cols = ",\n           ".join(
+        f"({x} - AVG({x}) OVER ()) / (CASE WHEN STDDEV_POP({x}) OVER () > 0 THEN STDDEV_POP({x}) OVER () ELSE 1 END) AS {c}"
+        for c, x in raw.items())
+    return f""",
+{name} AS (
+    SELECT CustomerID{extra},
+           {cols}
+    FROM {source}
+)"""
+
+
+SCALED = FEATURES + _scaled_cte("scaled", _CLUSTERED, "features")
+SCALED_FEATURES = _with(SCALED, "\nSELECT CustomerID, " + ", ".join(f"round({c}, 6) AS {c}" for c in _CLUSTERED) + "\nFROM scaled")
+
+_SQUARE = " + ".join(f"{c} * {c}" for c in _CLUSTERED)
+_STATS = SCALED + f""",
+p AS (SELECT *, CAST(CustomerID % 5 AS INTEGER) AS Cluster, {_SQUARE} AS xx FROM scaled),
+st AS (SELECT Cluster, COUNT(*) AS n, SUM(xx) AS q, {', '.join(f'SUM({c}) AS s_{c}' for c in _CLUSTERED)} FROM p GROUP BY Cluster)"""
+
+STANDIN_INERTIA = _with(_STATS + """,
+means5 AS (SELECT Cluster, n, """ + ", ".join(f"s_{c} / n AS m_{c}" for c in _CLUSTERED) + """ FROM st)""", """
+SELECT p.Cluster, COUNT(*) AS CustomerCount, round(SUM(""" + " + ".join(f"(p.{c} - m_{c}) * (p.{c} - m_{c})" for c in _CLUSTERED)
+    + """), 6) AS Inertia
+FROM p JOIN means5 USING (Cluster) GROUP BY p.Cluster""")
+
+STANDIN_SILHOUETTE = _with(_STATS + """,
+d AS (
+    SELECT p.CustomerID, p.Cluster AS own, st.Cluster AS other, st.n AS n,
+           p.xx + st.q / st.n - 2 * (""" + " + ".join(f"p.{c} * st.s_{c}" for c in _CLUSTERED) + """) / st.n AS dist
+    FROM p CROSS JOIN st
+),
+ab AS (
+    SELECT CustomerID, MAX(CASE WHEN own = other THEN n END) AS n,
+           MAX(CASE WHEN own = other THEN dist * n / greatest(n - 1, 1) END) AS a, MIN(CASE WHEN own <> other THEN dist END) AS b
+    FROM d GROUP BY CustomerID
+)""", """
+SELECT round(AVG(CASE WHEN n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS Silhouette FROM ab""")
+
+
+def _lloyd(k: int, iterations: int) -> str:
+    """Lloyd's iterations, one after the other: centres c0.., assignments a0.. (the nearest centre, the smaller number on ties)."""
+    ctes = f""",
+c0 AS (SELECT row_number() OVER (ORDER BY CustomerID) - 1 AS g, {', '.join(_CLUSTERED)} FROM scaled ORDER BY CustomerID LIMIT {k})"""
+    dist = " + ".join(f"(s.{c} - c.{c}) * (s.{c} - c.{c})" for c in _CLUSTERED)
+    for i in range(iterations + 1):
+        ctes += f""",
+a{i} AS (SELECT s.CustomerID, arg_min(c.g, {{'d': {dist}, 'g': c.g}}) AS g FROM scaled s CROSS JOIN c{i} c GROUP BY s.CustomerID)"""
+        if i < iterations:
+            ctes += f""",
+m{i} AS (SELECT g, {', '.join(f'AVG({c}) AS {c}' for c in _CLUSTERED)} FROM scaled JOIN a{i} USING (CustomerID) GROUP BY g),
+c{i + 1} AS (SELECT o.g, {', '.join(f'COALESCE(m{i}.{c}, o.{c}) AS {c}' for c in _CLUSTERED)} FROM c{i} o LEFT JOIN m{i} USING (g))"""
+    return ctes
+
+
+KMEANS_FIXED_START = _with(SCALED + _lloyd(3, 4), "\nSELECT CustomerID, CAST(g AS INTEGER) AS Cluster FROM a4")
+
+_Z = [f"z.{c}" for c in _PROFILE]
+_MATRIX = "[" + ", ".join("[" + ", ".join(f"SUM({a} * {b}) / (COUNT(*) - 1)" for b in _Z) + "]" for a in _Z) + "]"
+_SQUARED = "[[list_dot_product(r, s) / t for s in m] for r in m]"
+
+
+def _leading(name: str, source: str) -> str:
+    """The leading eigenvector of a symmetric matrix, by squaring it again and again (scaled by its trace)."""
+    trace = " + ".join(f"list_dot_product(m[{i}], m[{i}])" for i in range(1, 7))
+    largest = "greatest(" + ", ".join(f"m[{i}][{i}]" for i in range(1, 7)) + ")"
+    column = "CASE " + " ".join(f"WHEN m[{i}][{i}] = {largest} THEN m[{i}]" for i in range(1, 7)) + " END"
+    return f""",
+{name}_pow AS (
+    SELECT 0 AS step, m FROM {source}
+    UNION ALL
+    SELECT step + 1, {_SQUARED} FROM (SELECT step, m, {trace} AS t FROM {name}_pow WHERE step < 16)
+),
+{name}_col AS (SELECT {column} AS v FROM {name}_pow WHERE step = 16),
+{name}_unit AS (SELECT [x / sqrt(list_dot_product(v, v)) for x in v] AS v FROM {name}_col),
+{name}_sign AS (SELECT CASE WHEN list_max(v) >= -list_min(v) THEN v ELSE [-x for x in v] END AS v FROM {name}_unit),
+{name} AS (SELECT v, list_dot_product(v, [list_dot_product(r, v) for r in m]) AS ev FROM {name}_sign CROSS JOIN {source})"""
+
+
+PCA = "RECURSIVE " + SEGMENTED.lstrip() + _scaled_cte("z", _PROFILE, "final", ", Cluster") + f""",
+cov AS (SELECT {_MATRIX} AS m FROM z)""" + _leading("e1", "cov") + """,
+rest AS (SELECT [[m[i][j] - ev * v[i] * v[j] for j in [1, 2, 3, 4, 5, 6]] for i in [1, 2, 3, 4, 5, 6]] AS m FROM cov CROSS JOIN e1)""" \
+    + _leading("e2", "rest") + """,
+total AS (SELECT """ + " + ".join(f"m[{i}][{i}]" for i in range(1, 7)) + """ AS t FROM cov)"""
+
+PCA_COMPONENTS = _with(PCA, "\nUNION ALL\n".join(
+    f"SELECT 'PC{p}' AS Component, '{c}' AS Feature, round(v[{i}], 6) AS Loading, round(ev / t, 6) AS ExplainedVarianceRatio"
+    f" FROM e{p} CROSS JOIN total" for p in (1, 2) for i, c in enumerate(_PROFILE, 1)))
+
+PCA_PROJECTION = _with(PCA, "\nSELECT CustomerID, " + ", ".join(
+    f"round(list_dot_product([{', '.join(_Z)}], e{p}.v), 6) AS PC{p}" for p in (1, 2)) + ", Cluster\nFROM z CROSS JOIN e1 CROSS JOIN e2")
+
 ORACLES: dict[str, str] = {
     "revenue_by_country": REVENUE_BY_COUNTRY,
     "monthly_revenue": MONTHLY_REVENUE,
@@ -480,6 +583,14 @@ ORACLES: dict[str, str] = {
     "segment_actions": SEGMENT_ACTIONS,
     "customer_actions": CUSTOMER_ACTIONS,
     "segment_kpis": SEGMENT_KPIS,
+    "csv_roundtrip": CLEAN_TRANSACTIONS,
+    "pipeline_export": PIPELINE_EXPORT,
+    "scaled_features": SCALED_FEATURES,
+    "standin_silhouette": STANDIN_SILHOUETTE,
+    "standin_inertia": STANDIN_INERTIA,
+    "kmeans_fixed_start": KMEANS_FIXED_START,
+    "pca_components": PCA_COMPONENTS,
+    "pca_projection": PCA_PROJECTION,
 }
 
 __all__ = ["ORACLES", "HALF_EVEN", "HALF_UP", "rr"]

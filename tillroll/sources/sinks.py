@@ -28,7 +28,8 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     writer = (_csv_ready(df) if fmt == "csv" else df).write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # doubled quotes, as spreadsheet programs and pandas write and read them
+        writer = writer.option("header", True).option("escape", '"')
     writer.format(fmt).save(path)
     return path
 

@@ -34,7 +34,7 @@ TRANSACTION_COLUMNS = [f.name for f in TRANSACTION_SCHEMA.fields]
 
 # Text layouts of dates in CSV exports, tried in this order.
 CSV_TIMESTAMP_FORMATS = (
-    "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy-MM-dd H:mm:ss", "yyyy-MM-dd H:mm", "yyyy-MM-dd'T'H:mm:ss", "yyyy-MM-dd",
+    "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy-MM-dd H:mm:ss", "yyyy-MM-dd H:mm", "yyyy-MM-dd'T'H:mm:ss[.SSS]", "yyyy-MM-dd",
 )
 #: Every column as text, for readers that need the columns before they see a file.
 CSV_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in TRANSACTION_COLUMNS])
