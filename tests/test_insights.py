@@ -100,3 +100,27 @@ def test_segment_sizes(spark):
     got = {(r.Level, r.Name): r.CustomerCount for r in insights.segment_sizes(_final(spark, rows)).collect()}
     assert got[("Segment", "S")] == 3 and got[("Segment", "T")] == 2
     assert sum(v for (lvl, _), v in got.items() if lvl == "Cluster") == 5
+
+
+def test_results_do_not_depend_on_the_partition_layout(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, f"S{i % 3}", rng.randint(1, 300), round(rng.uniform(1, 9000), 2)) for i in range(3000)]
+    final = _final(spark, rows).withColumn("AvgOrderValue", F.col("Monetary").cast("double") / 7) \
+        .withColumn("PredictedQuarterlyValue", F.col("Monetary").cast("double") / 3) \
+        .withColumn("GrowthPotentialScore", F.log1p(F.col("Monetary").cast("double")))
+    seen = set()
+    for layout in (final.repartition(1), final.repartition(13), final.repartition(5, "Monetary"), final.orderBy(F.desc("Monetary"))):
+        ins = insights.segment_insights(layout)
+        seen.add((str(ins.collect()), str(insights.segment_summary(ins).orderBy("Segment").collect()),
+                  str(insights.headline_kpis(ins).collect()), insights.dashboard_text(ins).first().Summary,
+                  str(playbook.segment_interpretation(ins).orderBy("Segment").collect())))
+    assert len(seen) == 1
+
+
+def test_size_table_is_ordered(spark):
+    rows = [(1, "B", 1, 1.0), (2, "A", 1, 1.0), (3, "C", 1, 1.0), (4, "C", 1, 1.0), (5, "A", 1, 1.0), (6, "C", 1, 1.0), (9, "B", 1, 1.0)]
+    got = [tuple(r) for r in insights.segment_sizes(_final(spark, rows)).collect()]
+    assert got == [("Cluster", "0", 3), ("Cluster", "1", 2), ("Cluster", "2", 2), ("Segment", "C", 3), ("Segment", "A", 2), ("Segment", "B", 2)]
+    assert [r.Segment for r in insights.segment_insights(_final(spark, rows)).collect()] == ["A", "B", "C"]

@@ -28,8 +28,10 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     writer = (_csv_ready(df) if fmt == "csv" else df).write.mode(mode)
     if fmt == "csv":
-        # doubled quotes, as spreadsheet programs and pandas write and read them
-        writer = writer.option("header", True).option("escape", '"')
+        # doubled quotes, as spreadsheet programs and pandas write and read
+        # them; blanks and line ends at the edges of a text are kept
+        writer = (writer.option("header", True).option("escape", '"')
+                  .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     writer.format(fmt).save(path)
     return path
 
