@@ -171,7 +171,7 @@ def customer_sample(final: DataFrame, n: int = 1000, seed: int = 42) -> DataFram
 
 
 def dashboard_text(insights: DataFrame) -> DataFrame:
-    """U20 text block (one row, column ``Summary``): the four headline
+    """U20 text block (one row, column ``Summary``; its wording is a fixed value): the four headline
     figures and a breakdown per segment in segment-name order, lines joined
     with newlines. Built from the <= 27-row insights table with
     ``collect_list`` + ``array_sort``; numbers formatted like Python's

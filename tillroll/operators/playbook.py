@@ -196,7 +196,7 @@ def _fmt(c: Column, places: int, grouping: bool = True) -> Column:
 
 
 def metrics_block(df: DataFrame) -> Column:
-    """Header and key-metrics block of the interpretation text."""
+    """Header and key-metrics block of the interpretation text (its wording is a fixed value too)."""
     return F.concat(
         F.lit("### "), F.col("Segment"), F.lit(" Segment Analysis\n\n"),
         F.lit("**Customer Base:** "), _fmt(F.col("CustomerCount"), 0), F.lit(" customers "),
