@@ -87,7 +87,7 @@ def in_this_process(rows, shard_bytes=lm_bloom.SHARD_BYTES, spark=None):
         keys = np.frombuffer(b"".join(by[i]["word_keys"] for i in range(a, b) if i in by), np.uint64)
         c = np.frombuffer(b"".join(by[i]["word_counts"] for i in range(a, b) if i in by), np.int64)
         shard = lm_bloom.Shard(bits, a, b, part("word", 0, 16), part("pair", a, b), keys, c, total, words, d, 0.4)
-        got = np.array(shard.score([t or "" for _, t in rows], lm_bloom._Hashes()))
+        got = np.array(shard.score([t or "" for _, t in rows]))
         sums = got if sums is None else np.vstack([got[:1], sums[1:] + got[1:]])
     return [(doc, doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2, int(n), int(k), total, b, s)
             for (doc, _), n, k, b, s in zip(rows, *sums)]
@@ -102,6 +102,18 @@ def test_model_equals_exact_counts(sure):
     check(in_this_process(ROWS), slow_scores(ROWS))
 
 
+def test_tokens_are_the_words():
+    texts = [t or "" for _, t in ROWS] + ["", " ", "a" * 5000 + " b", "x\x1cy z\x85w\u2003v"]
+    cur, before, sizes = lm_bloom.tokens(texts)
+    flat = [w for t in texts for w in slow_tokens(t)]
+    assert sizes.tolist() == [len(slow_tokens(t)) for t in texts]
+    name = {}
+    for w, h, b, i in zip(flat, cur.tolist(), before.tolist(), range(len(flat))):
+        assert name.setdefault(h, w) == w and h & 1 == 0
+        assert b == (lm_bloom.START if i == 0 or flat[i - 1] is None else cur[i - 1])
+    assert len(name) == len(set(flat))
+
+
 def test_filter_never_misses_and_rarely_errs():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 63, 40_000, np.uint64))

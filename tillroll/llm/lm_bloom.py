@@ -38,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from tillroll.llm._common import id_and_text, text_chunks
 from tillroll.session import materialize
@@ -47,7 +46,7 @@ MIX = 0.4
 PROBES = 7
 BITS_PER_KEY = 10.1  # PROBES / ln 2
 #: Keys that a segment has room for, about; and count rows that a task holds before it passes them on.
-SEGMENT_KEYS, HELD_KEYS, WORDS = 1 << 16, 3_000_000, 300_000
+SEGMENT_KEYS, HELD_KEYS = 1 << 16, 1_500_000
 SHARD_BYTES, WORD_FILTER_BYTES = 96 << 20, 512 << 20
 #: Class q of the quantised counts is [EDGES[q - 1], EDGES[q]): one by one, then by steps of a half.
 EDGES = [1]
@@ -63,45 +62,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """Word (bytes) to hash; the lowest bit is 0 for words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        got = self[word] = xxh64_intdigest(word) & ~1
-        return got
-
-
-# no word holds a space
-END, START = (xxh64_intdigest(w) & ~1 for w in (b" end", b" start"))
-
-
-def tokens(texts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts, each closed by END; the hash before each; the number of tokens of each text."""
-    get = hashes.__getitem__
-    flat, sizes = [], []
-    for t in texts:
-        words = t.encode("utf-8", "surrogatepass").lower().split()  # A-Z and the six ASCII spaces alone
-        flat += map(get, words)
-        flat.append(END)
-        sizes.append(len(words) + 1)
-    cur = np.array(flat, np.uint64)
-    before = np.empty_like(cur)
-    before[1:] = cur[:-1]
-    sizes = np.array(sizes, np.int64)
-    before[np.cumsum(sizes) - sizes] = START
-    return cur, before, sizes
+END, START = (int(x) & ~1 for x in _mix(np.array([0x1E4D, 0x57A7], np.uint64)))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_WEIGHTS = np.zeros(0, np.uint64)
+
+
+def _weights(n: int) -> np.ndarray:
+    """A random number for each place in a word, the same in every process."""
+    global _WEIGHTS
+    if n > len(_WEIGHTS):
+        _WEIGHTS = _mix(np.arange(1, max(64, 2 * n) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _WEIGHTS[:n]
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, each closed by END; the hash before each; the number of tokens of each text.
+
+    Words are parted by the six ASCII spaces, A-Z is taken as a-z. A word's hash is the
+    sum of its bytes, each times the random number of its place (multilinear hashing), mixed; its lowest bit is 0."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([*parts, b""]).lower(), np.uint8)  # a space ends every text
+    word = np.concatenate([[False], ~_SPACE[data]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    at = np.flatnonzero(word[1:])
+    before = np.cumsum(size) - size
+    place = np.arange(len(at)) - np.repeat(before, size)
+    sums = (data[at].astype(np.uint64) + np.uint64(1)) * _weights(int(size.max(initial=0)))[place]
+    hashes = _mix(np.add.reduceat(sums, before)) & np.uint64(0xFFFFFFFFFFFFFFFE) if len(size) else np.zeros(0, np.uint64)
+    first = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    doc = np.searchsorted(first, start, "right") - 1
+    sizes = np.bincount(doc, minlength=len(parts)) + 1
+    cur = np.full(len(start) + len(parts), END, np.uint64)
+    cur[np.arange(len(start)) + doc] = hashes
+    left = np.empty_like(cur)
+    left[1:] = cur[:-1]
+    left[np.cumsum(sizes) - sizes] = START
+    return cur, left, sizes
 
 
 def pair_keys(before: np.ndarray, cur: np.ndarray) -> np.ndarray:
     return _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(cur)) | np.uint64(1)
 
 
-def _positions(keys: np.ndarray, level: np.ndarray | int, n_bits: np.ndarray, j: int) -> np.ndarray:
+def _probes(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stride of a key's probes at a level."""
     g = _mix(keys + np.uint64(0xD1342543DE82EF95) * np.asarray(level, np.uint64))
-    low, high = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    return (low + np.uint64(j) * high) % n_bits
+    return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+
+
+def _position(low: np.ndarray, high: np.ndarray, n_bits: np.ndarray, j: int) -> np.ndarray:
+    return ((low + np.uint64(j) * high & np.uint64(0xFFFFFFFF)) * n_bits) >> np.uint64(32)
 
 
 def filter_bits(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
@@ -111,8 +123,9 @@ def filter_bits(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     level = np.arange(1, len(items) + 1) - np.repeat(np.cumsum(q) - q, q)
     n = max(64, math.ceil(len(items) * BITS_PER_KEY))
     bits = np.zeros(n, bool)
+    low, high = _probes(items, level)
     for j in range(PROBES):
-        bits[_positions(items, level, np.uint64(n), j)] = True
+        bits[_position(low, high, np.uint64(n), j)] = True
     return n, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -135,10 +148,13 @@ class Filter:
         level = 0
         while len(here):
             level += 1
+            low, high = _probes(keys[here], level)
+            bits, start = n[here], at[here]
             for j in range(PROBES):
-                p = _positions(keys[here], level, n[here], j)
-                hit = self.data[at[here] + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8) & 1
-                here = here[hit.astype(bool)]
+                p = _position(low, high, bits, j)
+                hit = (self.data[start + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                if not hit.all():
+                    here, low, high, bits, start = (x[hit] for x in (here, low, high, bits, start))
             got[here] = level
         return got
 
@@ -149,7 +165,7 @@ def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys and counts of words and pairs, summed up within the task as far as it can hold them."""
-    hashes, held, n = _Hashes(), [], 0
+    held, n = [], 0
 
     def merged():
         keys = np.concatenate([k for k, _ in held])
@@ -165,7 +181,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(keys[i:i + 100_000].view(np.int64)), pa.array(counts[i:i + 100_000])], ["key", "c"])
 
     for b in text_chunks(batches):
-        cur, before, _ = tokens(b.column("text").to_pylist(), hashes)
+        cur, before, _ = tokens(b.column("text").to_pylist())
         for part in (cur, pair_keys(before, cur)):
             keys, c = np.unique(part, return_counts=True)
             held.append((keys, c.astype(np.int64)))
@@ -221,16 +237,16 @@ def _build_rows(bits: int):
 class Shard:
     """What a pass over the texts needs: the word filter, and this shard's pairs and exact word counts."""
 
-    def __init__(self, bits: int, first: int, last: int, word_filter: Filter, pair_filter: Filter | None, word_keys: np.ndarray,
+    def __init__(self, bits: int, first: int, last: int, word_filter: Filter, pair_filter: Filter, word_keys: np.ndarray,
                  word_counts: np.ndarray, total: int, words: int, discount: float, mix: float):
         self.bits, self.first, self.last = bits, first, last
         self.word_filter, self.pair_filter = word_filter, pair_filter
         self.word_keys, self.word_counts = word_keys, word_counts
         self.total, self.words, self.discount, self.mix = total, words, discount, mix
 
-    def score(self, texts: list[str], hashes: _Hashes) -> list[np.ndarray]:
+    def score(self, texts: list[str]) -> list[np.ndarray]:
         """For each text: tokens; and from this shard's words and pairs: known tokens, base score, score."""
-        cur, before, sizes = tokens(texts, hashes)
+        cur, before, sizes = tokens(texts)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda which, x: np.bincount(doc[which], weights=x, minlength=len(sizes))
         word, at = np.unique(cur, return_inverse=True)
@@ -248,19 +264,17 @@ class Shard:
         pair = pair_keys(before, cur)
         seg = _segment(pair, self.bits)
         own = np.flatnonzero((seg >= self.first) & (seg < self.last))
-        pair, pick, back = np.unique(pair[own], return_index=True, return_inverse=True)
-        w = at[own][pick]
-        h = before[own][pick]
-        h = np.searchsorted(word, np.where(h == np.uint64(START), np.uint64(END), h))  # a text's start is as frequent as its end
-        together = np.zeros(len(pair))
+        left = np.empty_like(at)
+        left[1:] = at[:-1]
+        left[np.cumsum(sizes) - sizes] = np.searchsorted(word, END)  # a text's start is as frequent as its end
+        w, h = at[own], left[own]
+        together = np.zeros(len(own))
         both = np.flatnonzero((q[w] > 0) & (q[h] > 0))
-        if self.pair_filter is not None and len(both):
-            qp = np.minimum(self.pair_filter.classes(pair[both]), np.minimum(q[w], q[h])[both])
+        if len(both):
+            qp = np.minimum(self.pair_filter.classes(pair[own[both]]), np.minimum(q[w], q[h])[both])
             together[both] = np.concatenate([[0], EDGES])[qp] / (EDGES[q[h][both]] - 1)
-        p = np.log10(self.mix * together + (1 - self.mix) * single[w])
-        if not self.total:
-            p[:] = 0.0
-        return [sizes, known, base, add(own, p[back])]
+        p = np.log10(self.mix * together + (1 - self.mix) * single[w]) if self.total else np.zeros(len(own))
+        return [sizes, known, base, add(own, p)]
 
 
 def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, word_filter_bytes: int = WORD_FILTER_BYTES,
@@ -315,9 +329,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sent, total = spark.sparkContext.broadcast(shard), shard.total
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            hashes = _Hashes()
             for b in text_chunks(batches):
-                got = sent.value.score(b.column("text").to_pylist(), hashes)
+                got = sent.value.score(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *map(pa.array, got)],
                                                  ["doc_id", "text_hash", "n", "known", "base", "score"])
 
