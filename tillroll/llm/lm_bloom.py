@@ -36,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,12 +133,13 @@ def filter_bits(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
 class Filter:
     """Segments ``first`` and on, of 2^bits segments in all."""
 
-    def __init__(self, bits: int, first: int, n_bits: list[int], parts: list[bytes]):
+    def __init__(self, bits: int, first: int, n_bits: np.ndarray, sizes: np.ndarray, data: bytes):
+        """``n_bits`` and ``sizes``: bits, and bytes in ``data``, of each segment (0 where it has no keys)."""
         self.bits, self.first = bits, first
-        self.n_bits = np.array(n_bits, np.uint64)
-        sizes = np.array([len(p) for p in parts], np.uint64)
+        self.n_bits = np.asarray(n_bits, np.uint64)
+        sizes = np.asarray(sizes, np.uint64)
         self.offset = (np.cumsum(sizes) - sizes).astype(np.uint64)
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
+        self.data = np.frombuffer(data, np.uint8)
 
     def classes(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key, 0 for keys that are not there."""
@@ -297,18 +299,29 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, word_filter_bytes: i
     discount = once / (once + 2 * twice) if once and twice else 0.5
     n = 1 << bits
 
+    def fetch(first: int, last: int, *columns: str) -> pa.Table:
+        own = segments.where(F.col("seg").between(first, last - 1))
+        return own.select("seg", *columns).orderBy("seg").toArrow()
+
+    def joined(column: pa.ChunkedArray) -> bytes:
+        """The bytes of all rows, one after the other."""
+        return b"".join(x.as_buffer() for x in column)
+
     def parts(what: str, first: int, last: int) -> Filter:
-        rows = {r.seg: r for r in segments.where(F.col("seg").between(first, last - 1)).select("seg", f"{what}_n", f"{what}_bits").collect()}
-        return Filter(bits, first, [rows[i][1] if i in rows else 0 for i in range(first, last)],
-                      [bytes(rows[i][2]) if i in rows else b"" for i in range(first, last)])
+        rows = fetch(first, last, f"{what}_n", f"{what}_bits")
+        n, size = np.zeros(last - first, np.uint64), np.zeros(last - first, np.uint64)
+        at = rows.column("seg").to_numpy() - first
+        n[at] = rows.column(f"{what}_n").to_numpy()
+        size[at] = pc.binary_length(rows.column(f"{what}_bits")).to_numpy()
+        return Filter(bits, first, n, size, joined(rows.column(f"{what}_bits")))
 
     word_filter = parts("word", 0, n)
     shards = min(n, max(1, math.ceil(other_bytes / shard_bytes)))
     for i in range(shards):
         first, last = n * i // shards, n * (i + 1) // shards
-        rows = segments.where(F.col("seg").between(first, last - 1)).select("seg", "word_keys", "word_counts").orderBy("seg").collect()
-        keys = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint64)
-        counts = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.int64)
+        rows = fetch(first, last, "word_keys", "word_counts")
+        keys = np.frombuffer(joined(rows.column("word_keys")), np.uint64)
+        counts = np.frombuffer(joined(rows.column("word_counts")), np.int64)
         if len(counts) and counts.max() < 1 << 32:
             counts = counts.astype(np.uint32)
         del rows
@@ -334,9 +347,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *map(pa.array, got)],
                                                  ["doc_id", "text_hash", "n", "known", "base", "score"])
 
-        # the pass of a shard ends before the next one is broadcast
+        # the pass of a shard ends, and its data go, before the next one is fetched
         parts.append(materialize(rows.mapInArrow(run, schema).withColumn("shard", F.lit(i)), "scores"))
-        sent.unpersist()
+        sent.destroy()
+        del shard, sent, run
     one = (reduce(DataFrame.unionAll, parts).groupBy("doc_id", "text_hash", "shard")
            .agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "known", "base", "score")]))
     out = one.groupBy("doc_id", "text_hash").agg(
