@@ -28,10 +28,11 @@ null ids of documents are kept; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,7 @@ PART_CHARS, PARTS, PAIRS = 48, 400_000, 400_000
 #: Positions between two looks for a common boundary.
 STRIDE = 64
 #: Texts of about this size are encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 6_000_000
 
 
 class PieceModel:
@@ -69,11 +70,7 @@ class PieceModel:
         self.known = _Parts(self)
         self.pairs: dict[int, bool] = {}
         self.latest: tuple = ("", [0], [0], [0.0])
-        # lengths of the pieces that end in these two characters (or are this one), the longest first
-        ends: dict[str, set[int]] = {}
-        for p in self.ids:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {e: sorted(x | ({1} if e[-1] in self.ids else set()), reverse=True) for e, x in ends.items()}
+        self.lengths = _Lengths(self.ids)
         self.surface = [b"" if i in set(control) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.surface[unk] = " ⁇ ".encode()
         for b, i in self.byte_ids.items():
@@ -108,23 +105,22 @@ class PieceModel:
         """Ids of each text; new parts are searched in order first, as neighbours begin alike."""
         mark = MARK if self.dummy_prefix else ""
         split = [self.parts.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {p for x in split for p in x if len(p) <= PART_CHARS} - self.known.keys()
-        if len(new) + len(self.known) > PARTS:
+        here = {p for x in split for p in x if len(p) <= PART_CHARS}
+        new = here - self.known.keys()
+        if len(new) + len(self.known) > PARTS:  # those that these texts have too are the likeliest to come again
+            kept = {p: self.known[p] for p in here & self.known.keys()}
             self.known.clear()
+            self.known.update(kept)
         for p in sorted(new):
             self.known[p]
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), np.int32) for x in split]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        n = len(self.surface)
-        try:
-            out = b"".join([self.surface[i] for i in ids]) if min(ids, default=0) >= 0 else None
-        except IndexError:
-            out = None
-        if out is None:
-            out = b"".join(self.surface[i if 0 <= i < n else self.unk] for i in ids)
-        text = out.decode("utf-8", "replace")
+    def decode(self, ids: Sequence[int]) -> str:
+        ids = np.asarray(ids, np.int64)
+        surface = self.surface
+        known = np.where((ids < 0) | (ids >= len(surface)), self.unk, ids).tolist()
+        text = b"".join([surface[i] for i in known]).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     def search(self, part: str) -> list[int]:
@@ -146,7 +142,7 @@ class PieceModel:
         bpe, ids, scores, pairs, lengths = self.kind == "bpe", self.ids, self.scores, self.pairs, self.lengths
         for end in range(same + 1, n + 1):
             best, best_id, best_score = None, 0, 0.0
-            for size in lengths.get(part[max(0, end - 2):end], ()):
+            for size in lengths[part[end - 3 if end > 3 else 0:end]]:
                 begin = end - size
                 if begin < 0:
                     continue
@@ -169,12 +165,13 @@ class PieceModel:
             if best is None or (not bpe and best < end - 1 and part[end - 1] not in ids):
                 # a character by itself: a piece, or outside the vocabulary (numbered below zero)
                 i = ids.get(part[end - 1], -1 - ord(part[end - 1]))
-                s = score[end - 1 - base] + (scores[i] if i >= 0 else self.unk_score)
+                s = 0.0 if bpe else score[end - 1 - base] + (scores[i] if i >= 0 else self.unk_score)
                 if best is None or s > best_score:
                     best, best_id, best_score = end - 1, i, s
             back.append(best)
             piece.append(best_id)
-            score.append(best_score)
+            if not bpe:
+                score.append(best_score)
             if end - base >= far + STRIDE:
                 # later pieces begin at one of the last max_len positions: follow them to a common boundary
                 ways = set(range(end - far + 1, end + 1))
@@ -225,6 +222,24 @@ class PieceModel:
         return s
 
 
+class _Lengths(dict):
+    """Lengths of the pieces that may end where these last (three, or fewer at the start) characters stand, the longest first."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+        self.by_end: dict[str, set[int]] = {}
+        for p in ids:
+            if len(p) > 2:
+                self.by_end.setdefault(p[-3:], set()).add(len(p))
+
+    def __missing__(self, end: str) -> tuple[int, ...]:
+        if len(self) >= PAIRS:
+            self.clear()
+        short = [n for n in (2, 1) if n <= len(end) and end[-n:] in self.ids]
+        got = self[end] = (*sorted(self.by_end.get(end, ()), reverse=True), *short)
+        return got
+
+
 class _Parts(dict):
     """Ids (as bytes) of parts seen before; a bounded number of short ones is kept."""
 
@@ -288,7 +303,9 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
         model = _model(sent.value)
         for b in text_chunks(batches, ids_col):
             lists = b.column(ids_col)
-            texts = [None if x is None else model.decode([model.unk if i is None else i for i in x]) for x in lists.to_pylist()]
+            flat = pc.fill_null(lists.values, model.unk).to_numpy()
+            ends = lists.offsets.to_numpy()
+            texts = [model.decode(flat[i:j]) if ok else None for i, j, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     names = [*encoded.columns, out]
