@@ -194,7 +194,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """One row per whole record: its fields, ``payload`` and ``complete``. ``records`` is best a written table, as it is read twice."""
+    """One row per whole record: its fields, ``payload`` and ``complete``. ``records`` is read twice: parsing
+    archives again costs less than a copy of all blocks."""
     keep = ["record_id", "record_type", "page", "uri", "digest", "refers_to"]
     whole = records.where("segment IS NULL").select(*keep, F.array("block").alias("parts"), F.lit(True).alias("joined"))
     own = records.where("segment IS NOT NULL").withColumn("key", F.coalesce("origin", "record_id"))
@@ -225,7 +226,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """One row per response and revisit: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``,
     ``refers_to``, ``payload`` (null for revisits) and ``complete``; a revisit has the length of the response it refers to."""
-    whole = reassemble(materialize(read_records(spark, path), "warc-records")).where("record_type IN ('response', 'revisit')")
+    whole = reassemble(read_records(spark, path)).where("record_type IN ('response', 'revisit')")
     rows = whole.select(
         F.url_decode("page").cast(id_type).alias("page_id"), F.octet_length("payload").cast("long").alias("own_bytes"),
         F.coalesce(F.sha1("payload"), "digest").alias("payload_digest"), "record_type",
