@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, graph_ann, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_edits, warc
+from tillroll.llm import decontaminate, dialogue_repair, graph_ann, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_edits, warc
 from tillroll.llm._common import read_table
 
 
@@ -59,6 +59,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_graph_neighbours": op9_graph_neighbours,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
