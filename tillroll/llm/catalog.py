@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, dialogue_repair, graph_ann, lm_bloom, quality_kn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_edits, warc
+from tillroll.llm import decontaminate, dialogue_repair, graph_ann, lm_bloom, phrase_mining, quality_kn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_edits, warc
 from tillroll.llm._common import read_table
 
 
@@ -63,6 +63,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue_repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(read_table(spark, sf_dir, "documents"), min_count=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_graph_neighbours": op9_graph_neighbours,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_phrase_mining": op12_phrase_mining,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,4 +91,28 @@ ORACLES: dict[str, str] = {
                CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
         FROM t
     """,
+    "op12_phrase_mining": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+             p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+             w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+             u AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) AS s(k) WHERE len(ws) >= k),
+             f AS (SELECT lang, k, ws[i:i + k - 1] AS ws, count(*) AS a FROM u GROUP BY ALL HAVING count(*) >= 100),
+             n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+             c AS (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+             s AS (SELECT c.lang, c.k, c.ws, c.cut, c.a, l.a AS l, r.a AS r, n.n,
+                          (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+                   FROM c JOIN n ON n.lang = c.lang
+                   JOIN f AS l ON l.lang = c.lang AND l.ws = c.ws[:c.cut]
+                   JOIN f AS r ON r.lang = c.lang AND r.ws = c.ws[c.cut + 1:]),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+             x AS (SELECT lang, k, a, ws[g:g + m - 1] AS inner_ws
+                   FROM (SELECT *, unnest(range(1, k - m + 2)) AS g FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2))),
+             kept AS (SELECT * FROM b WHERE NOT EXISTS (
+                          SELECT 1 FROM x WHERE x.lang = b.lang AND x.inner_ws = b.ws AND 100 * x.a >= 100 * b.a)),
+             o AS (SELECT *, array_to_string(ws, ' ') AS phrase FROM kept)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+               n::BIGINT AS n, score::BIGINT AS score
+        FROM o QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
 }
