@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, dialogue_repair, graph_ann, lm_bloom, phrase_mining, quality_kn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_edits, warc
+from tillroll.llm import decontaminate, dialogue_repair, graph_ann, hnsw_dedup, lm_bloom, phrase_mining, quality_kn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_edits, warc
 from tillroll.llm._common import read_table
 
 
@@ -67,6 +67,10 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(read_table(spark, sf_dir, "documents"), min_count=100, longest=5, top=2000)
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_copies(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,4 +120,17 @@ ORACLES: dict[str, str] = {
                n::BIGINT AS n, score::BIGINT AS score
         FROM o QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
     """,
+    "op13_embedding_near_dedup": """
+        WITH RECURSIVE
+             e AS (SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                                        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS v FROM embeddings),
+             u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE v IS NOT NULL),
+             p AS (SELECT a.vec_id, b.vec_id AS other FROM u AS a JOIN u AS b
+                   ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+             r AS (SELECT vec_id, vec_id AS reached FROM e UNION SELECT r.vec_id, p.other FROM r JOIN p ON p.vec_id = r.reached),
+             c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+             n AS (SELECT vec_id, count(*) AS n_links FROM p GROUP BY vec_id)
+        SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM e JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
+    """,
 }
