@@ -71,3 +71,22 @@ def test_release_tables_deletes_materialized_tables(spark):
     assert release_tables(spark) == 1
     assert not os.path.exists(path)
     assert release_tables(spark) == 0
+
+
+def test_queries_load_without_a_library_of_the_training_operators():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry_mod.__file__))
+    code = ("import sys; sys.modules['xxhash'] = None\n"
+            "import __spark_entry__ as e; from tillroll.plans.catalog import QUERIES\n"
+            "assert set(e.queries()) == set(QUERIES), set(e.queries()) ^ set(QUERIES)")
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_empty_partitioned_tables_can_be_read(spark):
+    from tillroll.session import materialize
+
+    df = spark.range(3).selectExpr("id", "id % 2 AS part")
+    assert materialize(df.where("id < 0"), "none", partition_by=["part"]).count() == 0
+    assert sorted(map(tuple, materialize(df, "some", partition_by=["part"]).select("id", "part").collect())) == [(0, 0), (1, 1), (2, 0)]

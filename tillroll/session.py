@@ -152,7 +152,8 @@ def materialize(df, name: str | None = None, partition_by: list[str] | None = No
     spark = df.sparkSession
     path = new_path(spark, name or "table")
     df.write.mode("error").parquet(path, partitionBy=partition_by)
-    return spark.read.parquet(path)
+    # an empty partitioned table has no file that would name the columns
+    return (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
