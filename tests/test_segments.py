@@ -124,3 +124,12 @@ def test_pca_matches_numpy_svd(spark, features):
         want = Z @ v
         have = scores.select("CustomerID", f"PC{j + 1}").toPandas().sort_values("CustomerID")[f"PC{j + 1}"]
         assert np.allclose(have.to_numpy(), want, atol=1e-8)
+
+
+def test_silhouette_of_coinciding_clusters_is_zero(spark):
+    rows = [(i, 0.5, 1.0, i % 2) for i in range(6)] + [(9, 4.0, 4.0, 2), (10, 4.5, 4.0, 2)]
+    scaled = spark.createDataFrame(rows, "CustomerID long, x double, y double, Cluster int")
+    same = segments.cluster_silhouette(scaled.where("Cluster < 2"), ["x", "y"]).first().Silhouette
+    assert same == 0.0  # as kmeans.silhouettes
+    apart = segments.cluster_silhouette(scaled, ["x", "y"]).first().Silhouette
+    assert 0 < apart < 0.25  # two of eight customers lie well, the others score 0

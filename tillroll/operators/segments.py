@@ -203,7 +203,8 @@ def cluster_silhouette(scaled: DataFrame, features: list[str], cluster_col: str
         size = F.when(here, F.lit(r["n"])).otherwise(size)
     if len(b) < 2:
         return scaled.agg(F.max(F.lit(None).cast("double")).alias("Silhouette"))
-    score = F.when(F.col("size") <= 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    score = F.when(F.col("size") <= 1, 0.0).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))  # coinciding clusters: 0
     return scaled.select(a.alias("a"), F.least(*b).alias("b"), size.alias("size")).agg(F.avg(score).alias("Silhouette"))
 
 
