@@ -113,6 +113,36 @@ def rfm(src: DataFrame | CustomerBase) -> DataFrame:
     )
 
 
+def _gaps_in_buckets(orders: DataFrame, bucket: str) -> DataFrame:
+    """Distinct order instants with their number of orders ``k`` and the ``gap`` to the one before in the same bucket."""
+    instants = (
+        orders.filter(F.col("InvoiceNo").isNotNull())
+        .groupBy("CustomerID", "OrderDate")
+        .agg(F.count(F.lit(1)).alias("k"))
+        .withColumn("Bucket", F.date_trunc(bucket, "OrderDate"))
+    )
+    inner = Window.partitionBy("CustomerID", "Bucket").orderBy("OrderDate")
+    return instants.withColumn("gap", whole_days(F.lag("OrderDate").over(inner), F.col("OrderDate")))
+
+
+def _edge() -> F.Column:
+    """Whole days from the last instant of the customer's bucket before to the first of this one."""
+    across = Window.partitionBy("CustomerID").orderBy("Bucket")
+    return whole_days(F.lag("LastAt").over(across), F.col("FirstAt"))
+
+
+def gap_rows(orders: DataFrame, bucket: str = "hour") -> DataFrame:
+    """CustomerID, GapDays and ``n``: how often so many whole days lie between consecutive orders of the customer.
+    Taken as in :func:`purchase_regularity`, without a window over all orders of a customer."""
+    gaps = _materialize(_gaps_in_buckets(orders, bucket), "order-gaps")
+    edges = gaps.groupBy("CustomerID", "Bucket").agg(F.min("OrderDate").alias("FirstAt"), F.max("OrderDate").alias("LastAt")).select(
+        "CustomerID", _edge().alias("GapDays"), F.lit(1).cast("long").alias("n"))
+    inside = gaps.select("CustomerID", F.explode(F.array(
+        F.struct(F.col("gap").alias("GapDays"), F.lit(1).cast("long").alias("n")),
+        F.struct(F.lit(0).cast("long").alias("GapDays"), (F.col("k") - 1).alias("n")))).alias("g")).select("CustomerID", "g.GapDays", "g.n")
+    return edges.union(inside).where("GapDays IS NOT NULL AND n > 0").groupBy("CustomerID", "GapDays").agg(F.sum("n").alias("n"))
+
+
 def purchase_regularity(orders: DataFrame, bucket: str = "hour") -> DataFrame:
     """Population standard deviation of the whole-day gaps between a
     customer's consecutive purchases (0 with fewer than two gaps).
@@ -128,23 +158,14 @@ def purchase_regularity(orders: DataFrame, bucket: str = "hour") -> DataFrame:
     squares are integers, so the variance ``(n*S2 - S1^2) / n^2`` is exact
     up to the final division and square root.
     """
-    instants = (
-        orders.filter(F.col("InvoiceNo").isNotNull())
-        .groupBy("CustomerID", "OrderDate")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .withColumn("Bucket", F.date_trunc(bucket, "OrderDate"))
-    )
-    inner = Window.partitionBy("CustomerID", "Bucket").orderBy("OrderDate")
-    gaps = instants.withColumn("gap", whole_days(F.lag("OrderDate").over(inner), F.col("OrderDate")))
-    per_bucket = gaps.groupBy("CustomerID", "Bucket").agg(
+    per_bucket = _gaps_in_buckets(orders, bucket).groupBy("CustomerID", "Bucket").agg(
         F.min("OrderDate").alias("FirstAt"),
         F.max("OrderDate").alias("LastAt"),
         (F.sum("k") - F.count(F.lit(1)) + F.count("gap")).alias("n"),
         F.coalesce(F.sum("gap"), F.lit(0)).alias("s1"),
         F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("s2"),
     )
-    across = Window.partitionBy("CustomerID").orderBy("Bucket")
-    edged = per_bucket.withColumn("edge", whole_days(F.lag("LastAt").over(across), F.col("FirstAt")))
+    edged = per_bucket.withColumn("edge", _edge())
     moments = edged.groupBy("CustomerID").agg(
         (F.sum("n") + F.count("edge")).cast("decimal(38,0)").alias("n"),
         (F.sum("s1") + F.coalesce(F.sum("edge"), F.lit(0))).cast("decimal(38,0)").alias("s1"),

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import customers, insights, kmeans, playbook, reports, segments
+from tillroll.functions.columns import first_word
+from tillroll.operators import affinity, customers, insights, kmeans, lifecycle, penetration, playbook, reports, segments
 from tillroll.plans.pipeline import EXPORT_PREFIX, export
 from tillroll.session import materialize, new_path, tune
 from tillroll.sources.sinks import write_table
@@ -259,6 +260,57 @@ def q_pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(scores, ["PC1", "PC2"])
 
 
+# ---- purchase patterns and customer lifecycle (X2-X8) ----
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(spark, sf_dir).orders
+
+
+def _orders_and_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The orders, and the (stand-in) segment of each customer, from one pass over the lines."""
+    base = _base(spark, sf_dir)
+    clustered = standin_clusters(materialize(customers.customer_features(base), "features"))
+    return base.orders, segments.attach_segments(clustered, segments.label_clusters(clustered)).select("CustomerID", "Segment")
+
+
+def q_product_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affinity.product_affinity(_clean(spark, sf_dir))
+
+
+def q_category_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of two and three categories that share at least ten baskets."""
+    sets = affinity.product_sets(_clean(spark, sf_dir), first_word(F.col("Description")), min_support=10, max_size=3)
+    return sets.select(F.array_join("Items", ", ").alias("Items"), F.size("Items").alias("Size"), "Together")
+
+
+def q_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.cohort_retention(_orders(spark, sf_dir))
+
+
+def q_segment_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decimals_to_double(lifecycle.segment_migration(_orders(spark, sf_dir)))
+
+
+TRENDS = ["FrequencyGrowth", "SpendGrowth", "OrderValueGrowth"]
+
+
+def q_value_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(lifecycle.value_growth(_orders(spark, sf_dir)), TRENDS)
+
+
+def q_category_penetration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, own = _orders_and_segments(spark, sf_dir)
+    return decimals_to_double(penetration.category_penetration(_clean(spark, sf_dir), own))
+
+
+def q_second_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.second_purchase(*_orders_and_segments(spark, sf_dir))
+
+
+def q_time_between_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.time_between_purchases(*_orders_and_segments(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "revenue_by_country": _report(reports.revenue_by_country),
     "monthly_revenue": _report(reports.monthly_revenue),
@@ -290,6 +342,14 @@ QUERIES: dict[str, Query] = {
     "standin_inertia": q_standin_inertia,
     "kmeans_fixed_start": q_kmeans_fixed_start,
     "pca_components": q_pca_components,
+    "product_affinity": q_product_affinity,
+    "category_sets": q_category_sets,
+    "cohort_retention": q_cohort_retention,
+    "segment_migration": q_segment_migration,
+    "value_growth": q_value_growth,
+    "category_penetration": q_category_penetration,
+    "second_purchase": q_second_purchase,
+    "time_between_purchases": q_time_between_purchases,
     "kmeans_segments": q_kmeans_segments,
     "k_selection": q_k_selection,
     "pca_projection": q_pca_projection,

@@ -559,6 +559,148 @@ PCA_COMPONENTS = _with(PCA, "\nUNION ALL\n".join(
 PCA_PROJECTION = _with(PCA, "\nSELECT CustomerID, " + ", ".join(
     f"round(list_dot_product([{', '.join(_Z)}], e{p}.v), 6) AS PC{p}" for p in (1, 2)) + ", Cluster\nFROM z CROSS JOIN e1 CROSS JOIN e2")
 
+# ---- purchase patterns and customer lifecycle ----
+
+BASKETS = CLEAN + """,
+items AS (SELECT DISTINCT InvoiceNo, StockCode AS Item FROM clean WHERE InvoiceNo IS NOT NULL AND StockCode IS NOT NULL),
+support AS (SELECT Item, COUNT(*) AS n FROM items GROUP BY Item)"""
+
+PRODUCT_AFFINITY = _with(BASKETS + """,
+pairs AS (
+    SELECT a.Item AS ItemA, b.Item AS ItemB, COUNT(*) AS Together
+    FROM items a JOIN items b ON a.InvoiceNo = b.InvoiceNo AND a.Item < b.Item
+    GROUP BY ALL HAVING COUNT(*) >= 2
+),
+total AS (SELECT COUNT(DISTINCT InvoiceNo) AS Baskets FROM items)""", f"""
+SELECT ItemA, ItemB, Together, a.n AS SupportA, b.n AS SupportB, Baskets,
+       {rr('Together', 'a.n', 4)} AS ConfidenceAB, {rr('Together', 'b.n', 4)} AS ConfidenceBA,
+       {rr('CAST(Together AS HUGEINT) * Baskets', 'CAST(a.n AS HUGEINT) * b.n', 4)} AS Lift
+FROM pairs JOIN support a ON a.Item = ItemA JOIN support b ON b.Item = ItemB CROSS JOIN total""")
+
+CATEGORY_SETS = _with(CLEAN + """,
+items AS (SELECT DISTINCT InvoiceNo, split_part(Description, ' ', 1) AS Item FROM clean WHERE InvoiceNo IS NOT NULL AND Description IS NOT NULL),
+sets AS (
+    SELECT a.Item || ', ' || b.Item AS Items, 2 AS Size FROM items a JOIN items b ON a.InvoiceNo = b.InvoiceNo AND a.Item < b.Item
+    UNION ALL
+    SELECT a.Item || ', ' || b.Item || ', ' || c.Item AS Items, 3 AS Size
+    FROM items a JOIN items b ON a.InvoiceNo = b.InvoiceNo AND a.Item < b.Item JOIN items c ON a.InvoiceNo = c.InvoiceNo AND b.Item < c.Item
+)""", """
+SELECT Items, Size, COUNT(*) AS Together FROM sets GROUP BY ALL HAVING COUNT(*) >= 10""")
+
+# The orders, a customer's months with orders, and the last month of the data.
+MONTHLY = FEATURES + """,
+known AS (SELECT *, 12 * year(OrderDate) + month(OrderDate) - 1 AS Month FROM ord WHERE InvoiceNo IS NOT NULL),
+monthly AS (SELECT CustomerID, Month, COUNT(*) AS Orders, SUM(OrderTotal) AS Spend, MAX(LastDate) AS LastDate FROM known GROUP BY ALL),
+lastm AS (SELECT MAX(Month) AS LastMonth FROM monthly),
+firstm AS (SELECT CustomerID, MIN(Month) AS First FROM monthly GROUP BY CustomerID)"""
+
+
+def month_text(c: str) -> str:
+    return f"lpad(CAST({c} // 12 AS VARCHAR), 4, '0') || '-' || lpad(CAST({c} % 12 + 1 AS VARCHAR), 2, '0')"
+
+
+COHORT_RETENTION = _with(MONTHLY + """,
+cells AS (
+    SELECT CustomerID, First, unnest(range(0, (SELECT LastMonth FROM lastm) - First + 1)) AS k FROM firstm
+),
+states AS (
+    SELECT c.First, c.k, now.Month IS NOT NULL AS here, before.Month IS NOT NULL AS there
+    FROM cells c
+    LEFT JOIN monthly now ON now.CustomerID = c.CustomerID AND now.Month = c.First + c.k
+    LEFT JOIN monthly before ON before.CustomerID = c.CustomerID AND before.Month = c.First + c.k - 1
+),
+counts AS (
+    SELECT First, k, COUNT(*) AS Customers, COUNT(*) FILTER (WHERE here) AS Active, COUNT(*) FILTER (WHERE here AND there) AS Retained,
+           COUNT(*) FILTER (WHERE there AND NOT here) AS Churned, COUNT(*) FILTER (WHERE here AND NOT there AND k > 0) AS Returned
+    FROM states GROUP BY ALL
+)""", f"""
+SELECT {month_text('First')} AS Cohort, CAST(k AS INTEGER) AS "Offset", Customers, Active, Retained, Churned, Returned,
+       {rr('Active', 'Customers', 4)} AS RetentionRate, {rr('Churned', 'Churned + Retained', 4)} AS ChurnRate
+FROM counts""")
+
+VALUE_GROWTH = _with(MONTHLY + """,
+series AS (
+    SELECT f.CustomerID, f.First, g.Month - f.First AS x, COALESCE(m.Orders, 0) AS Orders, COALESCE(m.Spend, 0) AS Spend,
+           CAST(CAST(m.Spend AS DOUBLE) / m.Orders AS DECIMAL(20,6)) AS Value
+    FROM (SELECT CustomerID, First, unnest(range(First, (SELECT LastMonth FROM lastm) + 1)) AS Month FROM firstm) g
+    JOIN firstm f USING (CustomerID) LEFT JOIN monthly m ON m.CustomerID = g.CustomerID AND m.Month = g.Month
+)""", f"""
+SELECT CustomerID, {month_text('MIN(First)')} AS FirstMonth, COUNT(*) AS Months, COUNT(Value) AS ActiveMonths, CAST(SUM(Orders) AS BIGINT) AS Orders,
+       round(regr_slope(CAST(Orders AS DOUBLE), CAST(x AS DOUBLE)), 6) AS FrequencyGrowth,
+       round(regr_slope(CAST(Spend AS DOUBLE), CAST(x AS DOUBLE)), 6) AS SpendGrowth,
+       round(regr_slope(CAST(Value AS DOUBLE), CAST(x AS DOUBLE)), 6) AS OrderValueGrowth
+FROM series GROUP BY CustomerID""")
+
+
+def _label(state: str, month: str) -> str:
+    recency = f"date_sub('day', {state}_last, make_timestamp(({month} + 1) // 12, ({month} + 1) % 12 + 1, 1, 0, 0, 0))"
+    return (f"CASE WHEN {state}_orders IS NULL THEN '(new)' ELSE "
+            f"CASE WHEN {recency} < 90 THEN 'Active' WHEN {recency} < 180 THEN 'Recent' ELSE 'Inactive' END || ' ' || "
+            f"CASE WHEN {state}_orders > 8 THEN 'Loyal' WHEN {state}_orders > 4 THEN 'Regular' ELSE 'Occasional' END || ' ' || "
+            f"CASE WHEN {state}_spend > 100000 THEN 'High-Value' WHEN {state}_spend > 40000 THEN 'Mid-Value' ELSE 'Low-Value' END END")
+
+
+SEGMENT_MIGRATION = _with(MONTHLY + f""",
+states AS (
+    SELECT CustomerID, LastMonth,
+           COUNT(*) AS a_orders, SUM(OrderTotal) AS a_spend, MAX(LastDate) AS a_last,
+           NULLIF(COUNT(*) FILTER (WHERE Month <= LastMonth - 12), 0) AS b_orders,
+           SUM(OrderTotal) FILTER (WHERE Month <= LastMonth - 12) AS b_spend, MAX(LastDate) FILTER (WHERE Month <= LastMonth - 12) AS b_last
+    FROM known CROSS JOIN lastm GROUP BY ALL
+),
+moves AS (
+    SELECT {_label('b', '(LastMonth - 12)')} AS FromSegment, {_label('a', 'LastMonth')} AS ToSegment, COUNT(*) AS Customers,
+           CAST(COALESCE(SUM(b_spend), 0) AS DOUBLE) AS MonetaryBefore, CAST(SUM(a_spend) AS DOUBLE) AS MonetaryNow
+    FROM states GROUP BY ALL
+)""", f"""
+SELECT m.*, {rr('Customers', 'n', 4)} AS ShareOfFrom
+FROM moves m JOIN (SELECT FromSegment, SUM(Customers) AS n FROM moves GROUP BY ALL) t USING (FromSegment)""")
+
+CATEGORY_PENETRATION = _with(SEGMENTED + """,
+own AS (SELECT CustomerID, Segment FROM final),
+bought AS (
+    SELECT CustomerID, Segment, COALESCE(split_part(Description, ' ', 1), '(none)') AS Category, TotalAmount
+    FROM clean JOIN own USING (CustomerID)
+),
+cube AS (
+    SELECT GROUPING(Segment, Category) AS g, Segment, Category, COUNT(DISTINCT CustomerID) AS Customers, SUM(TotalAmount) AS Revenue
+    FROM bought GROUP BY CUBE (Segment, Category)
+),
+sizes AS (SELECT Segment, COUNT(*) AS Size FROM own GROUP BY Segment),
+grid AS (
+    SELECT 0 AS Level, Segment, Category, Size FROM sizes CROSS JOIN (SELECT DISTINCT Category FROM bought)
+    UNION ALL SELECT 1, Segment, NULL, Size FROM sizes
+    UNION ALL SELECT 2, NULL, Category, SUM(Size) FROM sizes CROSS JOIN (SELECT DISTINCT Category FROM bought) GROUP BY Category
+    UNION ALL SELECT 3, NULL, NULL, SUM(Size) FROM sizes
+)""", f"""
+SELECT Level, g.Segment, g.Category, COALESCE(Customers, 0) AS Customers, CAST(Size AS BIGINT) AS SegmentCustomers,
+       {rr('COALESCE(Customers, 0)', 'Size', 4)} AS Penetration, CAST(COALESCE(Revenue, 0) AS DOUBLE) AS Revenue
+FROM grid g LEFT JOIN cube c
+  ON c.g = CASE Level WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END
+ AND c.Segment IS NOT DISTINCT FROM g.Segment AND c.Category IS NOT DISTINCT FROM g.Category""")
+
+SECOND_PURCHASE = _with(SEGMENTED + """,
+placed AS (
+    SELECT CustomerID, OrderDate, ROW_NUMBER() OVER (PARTITION BY CustomerID ORDER BY OrderDate, InvoiceNo) AS no FROM ord WHERE InvoiceNo IS NOT NULL
+),
+two AS (
+    SELECT CustomerID, MIN(OrderDate) FILTER (WHERE no = 1) AS first, MIN(OrderDate) FILTER (WHERE no = 2) AS second FROM placed GROUP BY CustomerID
+),
+days AS (SELECT Segment, second, date_sub('day', first, second) AS d FROM two JOIN final USING (CustomerID)),
+per AS (
+    SELECT Segment, COUNT(*) AS Customers, COUNT(second) AS RepeatCustomers, SUM(d) AS Days,
+           COUNT(*) FILTER (WHERE d <= 30) AS Within30, COUNT(*) FILTER (WHERE d <= 90) AS Within90, COUNT(*) FILTER (WHERE d <= 365) AS Within365
+    FROM days GROUP BY Segment
+)""", f"""
+SELECT Segment, Customers, RepeatCustomers, {rr('RepeatCustomers', 'Customers', 4)} AS RepeatRate, {rr('Days', 'RepeatCustomers', 2)} AS MeanDaysToSecond,
+       Within30, Within90, Within365, {rr('Within30', 'Customers', 4)} AS Within30Rate, {rr('Within90', 'Customers', 4)} AS Within90Rate,
+       {rr('Within365', 'Customers', 4)} AS Within365Rate
+FROM per""")
+
+TIME_BETWEEN_PURCHASES = _with(SEGMENTED, f"""
+SELECT Segment, COUNT(g) AS Gaps, {rr('SUM(g)', 'COUNT(g)', 2)} AS MeanDays, MIN(g) AS MinDays, MAX(g) AS MaxDays, quantile_disc(g, 0.5) AS MedianDays
+FROM gaps JOIN final USING (CustomerID) WHERE g IS NOT NULL GROUP BY Segment""")
+
 ORACLES: dict[str, str] = {
     "revenue_by_country": REVENUE_BY_COUNTRY,
     "monthly_revenue": MONTHLY_REVENUE,
@@ -578,6 +720,14 @@ ORACLES: dict[str, str] = {
     "segment_ranking": SEGMENT_RANKING,
     "headline_kpis": HEADLINE_KPIS,
     "customer_sample": CUSTOMER_SAMPLE,
+    "product_affinity": PRODUCT_AFFINITY,
+    "category_sets": CATEGORY_SETS,
+    "cohort_retention": COHORT_RETENTION,
+    "segment_migration": SEGMENT_MIGRATION,
+    "value_growth": VALUE_GROWTH,
+    "category_penetration": CATEGORY_PENETRATION,
+    "second_purchase": SECOND_PURCHASE,
+    "time_between_purchases": TIME_BETWEEN_PURCHASES,
     "dashboard_text": DASHBOARD_TEXT,
     "segment_interpretation": SEGMENT_INTERPRETATION,
     "segment_actions": SEGMENT_ACTIONS,
