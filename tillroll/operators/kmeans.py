@@ -13,14 +13,19 @@ map-side and the driver receives at most ``n_models * k_max`` rows (540 for
 the reference settings). Centres are the only state the driver keeps. They
 are bounded by the model count and the feature count, not by the data.
 
-* Seeding is k-means++ (D^2 sampling), one pass per centre for all models.
-  The sample is an exponential race: each point draws a key
+* Seeding is greedy k-means++: for each further centre ``2 + ln k`` candidates
+  are drawn by D^2 sampling, and the one that leaves the least summed D^2
+  stays. A draw is an exponential race: each point has a key
   ``-log(u) / D^2`` and the smallest key wins, so a partition only reports
-  its local winner. ``u`` hashes (point id, seed, step), which makes a
-  re-executed task draw the same numbers.
+  its local winners. ``u`` hashes (point id, seed, step, trial), which makes a
+  re-executed task draw the same numbers. One pass weighs the candidates of a
+  step for all models and at once draws those of the next step for each case
+  of which one stays, so there is a pass per centre, and one more.
 * Lloyd iterations stop per model when the summed squared centre shift is
   at most ``tol * mean feature variance`` (scikit-learn's rule) or after
-  ``max_iter``. An empty cluster keeps its centre (as Spark ML does). Once
+  ``max_iter``. Empty clusters move to the points farthest from their own
+  centres, as in scikit-learn: a further pass, only when there are any, finds
+  the first few of each model by a top-n per task. Once
   a model has converged, one more pass gives its inertia, cluster sizes,
   sums and summed squared norms for the final centres.
 * The silhouette is Spark's squared-Euclidean definition (the one
@@ -37,7 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -119,40 +124,125 @@ def _sum_partials(partials: DataFrame, key: str, columns: list[str]) -> pd.DataF
     return partials.groupBy(key).agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
 
 
-def _seed_step(vectors: DataFrame, cols: list[str], seeds: list[int], chosen: list[np.ndarray],
-               step: int) -> list[np.ndarray]:
-    """One k-means++ draw for each model: returns the new centre per model."""
+TRIAL_SPAN = 64  # steps of the hash between one centre and the next
+
+
+def trials_for(k: int) -> int:
+    """Candidates a greedy draw weighs against each other (scikit-learn's number)."""
+    return 2 + int(np.log(k))
+
+
+def _winner(key: np.ndarray, ids: np.ndarray) -> int:
+    """The place of the smallest key; of equal keys that of the smaller id."""
+    ties = np.flatnonzero(key == key.min())
+    return int(ties[ids[ties].argmin()])
+
+
+def _seed_step(vectors: DataFrame, cols: list[str], seeds: list[int], chosen: list[np.ndarray], candidates: list[np.ndarray],
+               trials: list[int], step: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per model: the summed D^2 that each of its ``candidates`` for centre ``step - 1`` leaves, and for each of
+    them the points drawn for centre ``step`` (``trials`` of them, 0 for none). Without candidates the draw
+    follows ``chosen`` alone; centre 0 is drawn from all points alike."""
     d = len(cols)
-    schema = "mid int, key double, cid long, " + ", ".join(f"x{j} double" for j in range(d))
+    xs = [f"x{j}" for j in range(d)]
+    schema = "mid int, c int, t int, cost double, key double, cid long, " + ", ".join(f"{x} double" for x in xs)
 
     def draw(frames):
-        best_key = np.full(len(seeds), np.inf)
-        best_id = np.zeros(len(seeds), dtype=np.int64)
-        best_pt = np.zeros((len(seeds), d))
-        found = np.zeros(len(seeds), dtype=bool)
+        costs: dict[tuple[int, int], float] = {}
+        best: dict[tuple[int, int, int], tuple] = {}
         for pdf, X in _batches(frames, cols):
             ids = pdf["CustomerID"].to_numpy()
             for m, seed in enumerate(seeds):
-                u = uniform_hash(ids, seed, step)
-                if step == 0:
-                    key = u
-                else:
-                    diff = X[:, None, :] - chosen[m][None, :, :]
-                    d2 = np.einsum("ijk,ijk->ij", diff, diff).min(axis=1)
-                    with np.errstate(divide="ignore"):
-                        key = np.where(d2 > 0, -np.log(u) / np.where(d2 > 0, d2, 1.0), np.inf)
-                i = int(np.lexsort((ids, key))[0])  # equal keys: the smaller id
-                if not found[m] or (key[i], ids[i]) < (best_key[m], best_id[m]):
-                    best_key[m], best_id[m], best_pt[m], found[m] = key[i], ids[i], X[i], True
-        rows = [(m, float(best_key[m]), int(best_id[m]), *map(float, best_pt[m])) for m in range(len(seeds)) if found[m]]
-        yield pd.DataFrame(rows, columns=["mid", "key", "cid"] + [f"x{j}" for j in range(d)])
-
-    partials = vectors.mapInPandas(draw, schema)
-    xs = [f"x{j}" for j in range(d)]
-    winners = (partials.groupBy("mid").agg(F.min(F.struct("key", "cid", *xs)).alias("p"))
-               .select("mid", *[F.col(f"p.{x}").alias(x) for x in xs]).toPandas())
-    out = {int(r.mid): np.array([r[x] for x in xs], dtype=np.float64) for _i, r in winners.iterrows()}
-    return [out[m] for m in range(len(seeds))]
+                u = [uniform_hash(ids, seed, step * TRIAL_SPAN + t) for t in range(trials[m])]
+                races = u if step == 0 else [-np.log(x) for x in u]
+                near = np.full(len(X), np.inf)
+                for centre in chosen[m]:
+                    near = np.minimum(near, ((X - centre) ** 2).sum(axis=1))
+                for c, extra in enumerate(candidates[m] if len(candidates[m]) else [None]):
+                    left = near if extra is None else np.minimum(near, ((X - extra) ** 2).sum(axis=1))
+                    if extra is not None:
+                        costs[m, c] = costs.get((m, c), 0.0) + float(left.sum())
+                    for t, race in enumerate(races):
+                        with np.errstate(divide="ignore"):
+                            key = race if step == 0 else np.where(left > 0, race / np.where(left > 0, left, 1.0), np.inf)
+                        i = _winner(key, ids)
+                        own = (float(key[i]), int(ids[i]), *map(float, X[i]))
+                        best[m, c, t] = min(best.get((m, c, t), own), own)
+        rows = [(m, c, -1, cost, None, None, *[None] * d) for (m, c), cost in costs.items()]
+        rows += [(m, c, t, None, *own) for (m, c, t), own in best.items()]
+        frame = pd.DataFrame(rows, columns=["mid", "c", "t", "cost", "key", "cid", *xs])
+        yield frame.astype({"cid": "Int64", **dict.fromkeys(["cost", "key", *xs], "float64")})
+
+    merged = (vectors.mapInPandas(draw, schema).groupBy("mid", "c", "t")
+              .agg(F.sum("cost").alias("cost"), F.min(F.when(F.col("t") >= 0, F.struct("key", "cid", *xs))).alias("p"))
+              .select("mid", "c", "t", "cost", *[F.col(f"p.{x}").alias(x) for x in xs]).collect())
+    costs = [np.zeros(len(candidates[m])) for m in range(len(seeds))]
+    points = [np.zeros((max(1, len(candidates[m])), trials[m], d)) for m in range(len(seeds))]
+    for r in merged:
+        if r.t < 0:
+            costs[r.mid][r.c] = r.cost
+        else:
+            points[r.mid][r.c, r.t] = [r[x] for x in xs]
+    return costs, points
+
+
+def _seed_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]], trials: int | None) -> list[np.ndarray]:
+    """First centres of every model."""
+    d = len(cols)
+    n_trials = [trials or trials_for(k) for k, _s in specs]
+    _, first = _seed_step(vectors, cols, [s for _k, s in specs], [np.zeros((0, d))] * len(specs), [np.zeros((0, d))] * len(specs), [1] * len(specs), 0)
+    chosen = [p[0, :1] for p in first]
+    drawn = [np.zeros((0, d))] * len(specs)
+    for step in range(1, max(k for k, _s in specs) + 1):
+        active = [m for m, (k, _s) in enumerate(specs) if k > 1 and step <= k]
+        if not active:
+            break
+        costs, points = _seed_step(
+            vectors, cols, [specs[m][1] for m in active], [chosen[m] for m in active], [drawn[m] for m in active],
+            [n_trials[m] if step < specs[m][0] else 0 for m in active], step)
+        for m, cost, point in zip(active, costs, points):
+            pick = int(cost.argmin()) if len(cost) else 0
+            if len(cost):
+                chosen[m] = np.vstack([chosen[m], drawn[m][pick]])
+            drawn[m] = point[pick]
+    return chosen
+
+
+def _farthest(vectors: DataFrame, cols: list[str], layout: _Layout, wanted: list[int]) -> list[list[tuple]]:
+    """For each model in ``layout`` the ``wanted`` points farthest from their own centres: (squared distance, cluster, point),
+    farthest first, of equal ones the smaller id. A task reports its own first few, the rest is a top-n of those."""
+    xs = [f"x{j}" for j in range(len(cols))]
+    schema = "mid int, d2 double, cid long, label int, " + ", ".join(f"{x} double" for x in xs)
+
+    def local(frames):
+        rows: list[list[tuple]] = [[] for _ in wanted]
+        for pdf, X in _batches(frames, cols):
+            ids = pdf["CustomerID"].to_numpy()
+            labels, best, _xx = layout.assign(X)
+            for m, n in enumerate(wanted):
+                if n:
+                    first = np.lexsort((ids, -best[:, m]))[:n]
+                    rows[m] += [(m, float(best[i, m]), int(ids[i]), int(labels[i, m]), *map(float, X[i])) for i in first]
+                    rows[m] = sorted(rows[m], key=lambda r: (-r[1], r[2]))[:n]
+        yield pd.DataFrame([r for own in rows for r in own], columns=["mid", "d2", "cid", "label", *xs])
+
+    order = Window.partitionBy("mid").orderBy(F.desc("d2"), F.asc("cid"))
+    first = vectors.mapInPandas(local, schema).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(wanted))
+    out: list[list[tuple]] = [[] for _ in wanted]
+    for r in sorted(first.collect(), key=lambda r: r.place):
+        out[r.mid].append((r.d2, r.label, np.array([r[x] for x in xs])))
+    return [own[:n] for own, n in zip(out, wanted)]
+
+
+def _relocate(n: np.ndarray, s: np.ndarray, far: list[tuple]) -> None:
+    """Gives each empty cluster one of the farthest points, taken from the sums of the cluster it was in."""
+    for cluster, (d2, label, point) in zip(np.flatnonzero(n == 0), far):
+        if d2 <= 0:  # fewer distinct points than clusters
+            break
+        s[label] -= point
+        n[label] -= 1
+        s[cluster] = point
+        n[cluster] = 1
 
 
 def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout):
@@ -198,9 +288,12 @@ def _cluster_stats(vectors: DataFrame, cols: list[str], layout: _Layout):
 
 
 def fit_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]], max_iter: int = 300,
-             tol: float = 1e-4, mean_variance: float = 1.0) -> list[FittedModel]:
+             tol: float = 1e-4, mean_variance: float = 1.0, trials: int | None = None) -> list[FittedModel]:
     """Fit one K-means model per ``(k, seed)`` in ``specs``, all together.
 
+    ``trials`` is the number of candidates of a seeding draw (1: plain
+    k-means++; default: :func:`trials_for`).
+
     ``vectors`` needs ``CustomerID`` (the id hashed for seeding) and the
     feature columns ``cols``; it should be a materialised table because it
     is read once per seeding step and once per iteration. It is also kept
@@ -209,32 +302,24 @@ def fit_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]],
     vectors = vectors.select(F.col("CustomerID").cast("long").alias("CustomerID"), *cols)
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit_persisted(vectors, cols, specs, max_iter, tol, mean_variance)
+        centers = _seed_many(vectors, cols, specs, trials)
+        models = [FittedModel(k=k, seed=seed, centers=c) for (k, seed), c in zip(specs, centers)]
+        return _iterate(vectors, cols, models, max_iter, tol * mean_variance)
     finally:
         vectors.unpersist()
 
 
-def _fit_persisted(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]], max_iter: int,
-                   tol: float, mean_variance: float) -> list[FittedModel]:
-    seeds = [s for _k, s in specs]
-    k_max = max(k for k, _s in specs)
-    chosen: list[list[np.ndarray]] = [[] for _ in specs]
-    for step in range(k_max):
-        active = [m for m, (k, _s) in enumerate(specs) if k > step]
-        draws = _seed_step(
-            vectors, cols, [seeds[m] for m in active],
-            [np.array(chosen[m]) if chosen[m] else np.zeros((0, len(cols))) for m in active], step,
-        )
-        for m, point in zip(active, draws):
-            chosen[m].append(point)
-    models = [FittedModel(k=k, seed=s, centers=np.array(chosen[m])) for m, (k, s) in enumerate(specs)]
-
-    threshold = tol * mean_variance
+def _iterate(vectors: DataFrame, cols: list[str], models: list[FittedModel], max_iter: int, threshold: float) -> list[FittedModel]:
+    """Lloyd iterations of all models from their centres until each has converged."""
     converged = [False] * len(models)
     pending = list(range(len(models)))
     while pending:
         layout = _Layout.of([models[m].centers for m in pending])
         n, cost, q, s = _cluster_stats(vectors, cols, layout)
+        empty = [0 if converged[m] else int((n[o:o + k] == 0).sum()) for m, o, k in zip(pending, layout.offsets, layout.ks)]
+        if any(empty):
+            for o, k, far in zip(layout.offsets, layout.ks, _farthest(vectors, cols, layout, empty)):
+                _relocate(n[o:o + k], s[o:o + k], far)
         still = []
         for m, o, k in zip(pending, layout.offsets, layout.ks):
             model = models[m]
