@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import first_word
-from tillroll.operators import affinity, customers, insights, kmeans, lifecycle, penetration, playbook, reports, segments
+from tillroll.operators import affinity, alignment, customers, insights, kmeans, lifecycle, penetration, playbook, reports, segments
 from tillroll.plans.pipeline import EXPORT_PREFIX, export
 from tillroll.session import materialize, new_path, tune
+from tillroll.sources.quarantine import load_transactions_csv
 from tillroll.sources.sinks import write_table
+from tillroll.sources.tables import bucketed_table, save_bucketed
 from tillroll.sources.transactions import (
     TRANSACTION_COLUMNS,
     clean_transactions,
@@ -311,6 +313,50 @@ def q_time_between_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.time_between_purchases(*_orders_and_segments(spark, sf_dir))
 
 
+def q_csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines written as CSV, some with a bad date, quantity, price or customer, and loaded with the bad ones set aside:
+    lines, quantity and revenue per outcome."""
+    tx = _tx(spark, sf_dir)
+    kind = F.col("InvoiceNo").cast("long") * 31 + F.col("StockCode").cast("long")
+    spoilt = tx.select(
+        "InvoiceNo", "StockCode", "Description",
+        F.when(kind % 17 == 1, "a few").otherwise(F.col("Quantity").cast("string")).alias("Quantity"),
+        F.when(kind % 17 == 0, "soon").otherwise(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss")).alias("InvoiceDate"),
+        F.when(kind % 17 == 2, "1.23456").when(kind % 17 == 3, "free").otherwise(F.col("UnitPrice").cast("string")).alias("UnitPrice"),
+        F.when(kind % 17 == 4, "12.5").otherwise(F.col("CustomerID").cast("string")).alias("CustomerID"), "Country")
+    path = new_path(spark, "csv")
+    write_table(spoilt, path, "csv")
+    loaded = load_transactions_csv(spark, path)
+    good = loaded.good.groupBy(F.lit("good").alias("Outcome")).agg(
+        F.count(F.lit(1)).alias("Lines"), F.sum("Quantity").alias("Units"), F.sum(F.col("Quantity") * F.col("UnitPrice")).cast("double").alias("Revenue"))
+    bad = loaded.rejected.groupBy(F.col("Reason").alias("Outcome")).agg(
+        F.count(F.lit(1)).alias("Lines"), F.lit(0).cast("long").alias("Units"), F.lit(0).cast("double").alias("Revenue"))
+    read = spark.range(1).select(F.lit("all").alias("Outcome"), F.lit(loaded.lines).cast("long").alias("Lines"),
+                                 F.lit(0).cast("long").alias("Units"), F.lit(0).cast("double").alias("Revenue"))
+    return good.union(bad).union(read)
+
+
+def q_bucketed_customer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer report on a named table, bucketed by customer."""
+    path = new_path(spark, "bucketed")
+    name = "bucketed_" + path[-8:]
+    save_bucketed(_tx(spark, sf_dir), name, path=path)
+    return reports.customer_frequency(bucketed_table(spark, name))
+
+
+def q_customer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' first years, last years and returns side by side; each part lacks some customers."""
+    lines = materialize(_tx(spark, sf_dir).where("CustomerID IS NOT NULL").withColumn("Value", F.col("Quantity") * F.col("UnitPrice")), "lines")
+    year = F.year("InvoiceDate")
+    bounds = F.broadcast(lines.agg(F.min(year).alias("FirstYear"), F.max(year).alias("LastYear")))
+    dated = lines.crossJoin(bounds)
+    early = dated.where((year == F.col("FirstYear")) & (F.col("Quantity") > 0)).groupBy("CustomerID").agg(F.sum("Value").alias("EarlySpend"))
+    late = dated.where((year == F.col("LastYear")) & (F.col("Quantity") > 0)).groupBy("CustomerID").agg(F.sum("Value").alias("LateSpend"))
+    returns = lines.where("Quantity < 0").groupBy("CustomerID").agg(F.count(F.lit(1)).alias("ReturnLines"), F.sum("Value").alias("Returned"))
+    rows = alignment.align({"Early": early, "Late": late, "Returns": returns}, "CustomerID")
+    return decimals_to_double(rows.fillna(0, ["ReturnLines"]))
+
+
 QUERIES: dict[str, Query] = {
     "revenue_by_country": _report(reports.revenue_by_country),
     "monthly_revenue": _report(reports.monthly_revenue),
@@ -350,6 +396,9 @@ QUERIES: dict[str, Query] = {
     "category_penetration": q_category_penetration,
     "second_purchase": q_second_purchase,
     "time_between_purchases": q_time_between_purchases,
+    "csv_quarantine": q_csv_quarantine,
+    "bucketed_customer_frequency": q_bucketed_customer_frequency,
+    "customer_alignment": q_customer_alignment,
     "kmeans_segments": q_kmeans_segments,
     "k_selection": q_k_selection,
     "pca_projection": q_pca_projection,

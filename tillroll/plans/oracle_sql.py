@@ -701,6 +701,29 @@ TIME_BETWEEN_PURCHASES = _with(SEGMENTED, f"""
 SELECT Segment, COUNT(g) AS Gaps, {rr('SUM(g)', 'COUNT(g)', 2)} AS MeanDays, MIN(g) AS MinDays, MAX(g) AS MaxDays, quantile_disc(g, 0.5) AS MedianDays
 FROM gaps JOIN final USING (CustomerID) WHERE g IS NOT NULL GROUP BY Segment""")
 
+CSV_QUARANTINE = _with(TX + """,
+marked AS (
+    SELECT *, CASE (CAST(InvoiceNo AS BIGINT) * 31 + CAST(StockCode AS BIGINT)) % 17
+                WHEN 0 THEN 'InvoiceDate is in none of the known layouts' WHEN 1 THEN 'Quantity is no whole number'
+                WHEN 2 THEN 'UnitPrice has more than 4 decimal places' WHEN 3 THEN 'UnitPrice is no number'
+                WHEN 4 THEN 'CustomerID is no whole number' ELSE 'good' END AS Outcome
+    FROM online_retail
+)""", """
+SELECT Outcome, COUNT(*) AS Lines, CAST(COALESCE(SUM(Quantity) FILTER (WHERE Outcome = 'good'), 0) AS BIGINT) AS Units,
+       CAST(COALESCE(SUM(Quantity * UnitPrice) FILTER (WHERE Outcome = 'good'), 0) AS DOUBLE) AS Revenue
+FROM marked GROUP BY Outcome
+UNION ALL SELECT 'all', COUNT(*), 0, 0 FROM marked""")
+
+CUSTOMER_ALIGNMENT = _with(TX + """,
+known AS (SELECT *, Quantity * UnitPrice AS Value, year(InvoiceDate) AS Year FROM online_retail WHERE CustomerID IS NOT NULL),
+bounds AS (SELECT MIN(Year) AS FirstYear, MAX(Year) AS LastYear FROM known),
+early AS (SELECT CustomerID, CAST(SUM(Value) AS DOUBLE) AS EarlySpend FROM known, bounds WHERE Year = FirstYear AND Quantity > 0 GROUP BY CustomerID),
+late AS (SELECT CustomerID, CAST(SUM(Value) AS DOUBLE) AS LateSpend FROM known, bounds WHERE Year = LastYear AND Quantity > 0 GROUP BY CustomerID),
+returns AS (SELECT CustomerID, COUNT(*) AS ReturnLines, CAST(SUM(Value) AS DOUBLE) AS Returned FROM known WHERE Quantity < 0 GROUP BY CustomerID)""", """
+SELECT CustomerID, EarlySpend, LateSpend, COALESCE(ReturnLines, 0) AS ReturnLines, Returned, e.CustomerID IS NOT NULL AS InEarly, l.CustomerID IS NOT NULL AS InLate,
+       r.CustomerID IS NOT NULL AS InReturns
+FROM early e FULL OUTER JOIN late l USING (CustomerID) FULL OUTER JOIN returns r USING (CustomerID)""")
+
 ORACLES: dict[str, str] = {
     "revenue_by_country": REVENUE_BY_COUNTRY,
     "monthly_revenue": MONTHLY_REVENUE,
@@ -720,6 +743,9 @@ ORACLES: dict[str, str] = {
     "segment_ranking": SEGMENT_RANKING,
     "headline_kpis": HEADLINE_KPIS,
     "customer_sample": CUSTOMER_SAMPLE,
+    "csv_quarantine": CSV_QUARANTINE,
+    "bucketed_customer_frequency": CUSTOMER_FREQUENCY,
+    "customer_alignment": CUSTOMER_ALIGNMENT,
     "product_affinity": PRODUCT_AFFINITY,
     "category_sets": CATEGORY_SETS,
     "cohort_retention": COHORT_RETENTION,
