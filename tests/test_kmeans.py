@@ -224,7 +224,7 @@ def test_empty_clusters_move_to_the_farthest_points(blobs, start):
     threshold = 1e-4 * float(X.var(axis=0).mean())
     for max_iter in (1, 2, 300):
         model = kmeans.FittedModel(k=len(start), seed=0, centers=start.copy())
-        (got,) = kmeans._iterate(df, COLS, [model], max_iter, threshold)
+        (got,) = kmeans.iterate(df, COLS, [model], max_iter, threshold)
         centres, lab, inertia, it = brute_lloyd_var(X, start, threshold, max_iter, ids)
         assert got.iterations == it and np.allclose(got.centers, centres, atol=1e-9)
         assert np.isclose(got.inertia, inertia) and list(got.counts) == list(np.bincount(lab, minlength=len(start)))

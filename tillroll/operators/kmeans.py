@@ -304,13 +304,13 @@ def fit_many(vectors: DataFrame, cols: list[str], specs: list[tuple[int, int]],
     try:
         centers = _seed_many(vectors, cols, specs, trials)
         models = [FittedModel(k=k, seed=seed, centers=c) for (k, seed), c in zip(specs, centers)]
-        return _iterate(vectors, cols, models, max_iter, tol * mean_variance)
+        return iterate(vectors, cols, models, max_iter, tol * mean_variance)
     finally:
         vectors.unpersist()
 
 
-def _iterate(vectors: DataFrame, cols: list[str], models: list[FittedModel], max_iter: int, threshold: float) -> list[FittedModel]:
-    """Lloyd iterations of all models from their centres until each has converged."""
+def iterate(vectors: DataFrame, cols: list[str], models: list[FittedModel], max_iter: int, threshold: float) -> list[FittedModel]:
+    """Lloyd iterations of all models from their centres until each has converged (a negative ``threshold``: ``max_iter`` of them)."""
     converged = [False] * len(models)
     pending = list(range(len(models)))
     while pending:

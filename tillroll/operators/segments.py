@@ -133,15 +133,29 @@ def kmeans_sweep(vectors: DataFrame, features: list[str], ks=range(2, 11), n_ini
     for m in models:
         if m.k not in best_per_k or m.inertia < best_per_k[m.k].inertia:
             best_per_k[m.k] = m
-    chosen = [best_per_k[k] for k in ks]
-    scores = kmeans.silhouettes(vectors, features, chosen)
-    curve = [(k, float(sc), float(m.inertia)) for k, sc, m in zip(ks, scores, chosen)]
+    return _scored(vectors, features, [best_per_k[k] for k in ks])
+
+
+def sweep_from_starts(vectors: DataFrame, features: list[str], starts: list[np.ndarray], iterations: int) -> SweepResult:
+    """The sweep with given first centres, one model for each, and a given number of Lloyd iterations: repeatable in any engine."""
+    models = [kmeans.FittedModel(k=len(c), seed=0, centers=np.array(c, dtype=np.float64)) for c in starts]
+    return _scored(vectors, features, kmeans.iterate(vectors, features, models, iterations, threshold=-1.0))
+
+
+def best_k(curve: list[tuple[int, float, float]]) -> int:
+    """The k of the highest silhouette, the smallest on ties (A17); NaN scores don't take part."""
     valid = [(sc, k) for k, sc, _ in curve if sc == sc]
     if not valid:
         raise ValueError("no k produced two or more clusters")
     best_score = max(sc for sc, _ in valid)
-    best_k = min(k for sc, k in valid if sc == best_score)
-    return SweepResult(best_k=best_k, centers=best_per_k[best_k].centers, curve=curve)
+    return min(k for sc, k in valid if sc == best_score)
+
+
+def _scored(vectors: DataFrame, features: list[str], models: list[kmeans.FittedModel]) -> SweepResult:
+    scores = kmeans.silhouettes(vectors, features, models)
+    curve = [(m.k, float(sc), float(m.inertia)) for m, sc in zip(models, scores)]
+    best = best_k(curve)
+    return SweepResult(best_k=best, centers=next(m.centers for m in models if m.k == best), curve=curve)
 
 
 def k_selection_frame(spark: SparkSession, sweep: SweepResult) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import first_word
 from tillroll.operators import affinity, alignment, customers, insights, kmeans, lifecycle, penetration, playbook, reports, segments
-from tillroll.plans.pipeline import EXPORT_PREFIX, export
+from tillroll.plans.pipeline import EXPORT_PREFIX, export, run_pipeline
 from tillroll.session import materialize, new_path, tune
 from tillroll.sources.quarantine import load_transactions_csv
 from tillroll.sources.sinks import write_table
@@ -200,6 +200,38 @@ def q_pipeline_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(back, LOG_DERIVED)
 
 
+#: For each export a figure that its values add up to.
+EXPORT_TOTALS = {
+    "customers": "SUM(CAST(Monetary AS DECIMAL(20,4)))",
+    "segment_profiles": "SUM(CAST(Monetary AS DECIMAL(20,2)) + CustomerCount)",
+    "date_dimension": "SUM(Day + Weekday)",
+    "segment_summary": "SUM(CAST(TotalRevenue AS DECIMAL(20,2)))",
+    "segment_interpretations": "SUM(LENGTH(Interpretation))",
+    "segment_recommendations": "SUM(LENGTH(Action) + LENGTH(Detail))",
+    "segment_kpis": "SUM(LENGTH(Kpi))",
+}
+
+
+def q_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_pipeline over the stand-in clusters, every CSV export read back: its rows and what its values add up to."""
+    def standin(features: DataFrame):
+        clustered = standin_clusters(features)
+        labels = segments.label_clusters(clustered)
+        return segments.attach_segments(clustered, labels), labels, None
+
+    path = new_path(spark, "run")
+    results = run_pipeline(_tx(spark, sf_dir), out_dir=path, fmt="csv", segmenter=standin)
+    frames = {"customers": "final", "segment_profiles": "segment_insights", "date_dimension": "date_dimension", "segment_summary": "segment_summary",
+              "segment_interpretations": "interpretations", "segment_recommendations": "recommendations", "segment_kpis": "kpis"}
+    rows = None
+    for name, total in EXPORT_TOTALS.items():
+        back = (spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(results[frames[name]].schema)
+                .csv(f"{path}/{EXPORT_PREFIX}{name}"))
+        own = back.agg(F.count(F.lit(1)).alias("Rows"), F.expr(total).cast("double").alias("Total")).select(F.lit(name).alias("Table"), "Rows", "Total")
+        rows = own if rows is None else rows.union(own)
+    return rows
+
+
 # ---- scaling, cluster scores, Lloyd iterations and PCA over the real customer table ----
 
 def _scaled(feats: DataFrame, *keep: str) -> DataFrame:
@@ -236,6 +268,18 @@ def q_kmeans_fixed_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("CustomerID", kmeans.nearest_center([F.col(n) for n in names], centers).alias("Cluster"))
 
 
+SWEEP_KS, SWEEP_ITERATIONS = (2, 3, 4, 5), 3
+
+
+def q_k_selection_fixed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k sweep, each k from the customers with the k smallest ids: inertia, silhouette and the chosen k."""
+    names = list(segments.CLUSTER_FEATURES)
+    scaled = materialize(_scaled(_features(spark, sf_dir)), "vectors")
+    first = [[r[n] for n in names] for r in scaled.orderBy("CustomerID").limit(max(SWEEP_KS)).collect()]
+    sweep = segments.sweep_from_starts(scaled, names, [first[:k] for k in SWEEP_KS], SWEEP_ITERATIONS)
+    return round_columns(segments.k_selection_frame(spark, sweep), ["silhouette", "inertia"])
+
+
 def q_pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     _scores, components = segments.pca_projection(standin_final(spark, sf_dir))
     return round_columns(components, ["Loading", "ExplainedVarianceRatio"])
@@ -387,6 +431,8 @@ QUERIES: dict[str, Query] = {
     "standin_silhouette": q_standin_silhouette,
     "standin_inertia": q_standin_inertia,
     "kmeans_fixed_start": q_kmeans_fixed_start,
+    "k_selection_fixed_starts": q_k_selection_fixed_starts,
+    "pipeline_run": q_pipeline_run,
     "pca_components": q_pca_components,
     "product_affinity": q_product_affinity,
     "category_sets": q_category_sets,

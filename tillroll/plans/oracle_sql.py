@@ -507,23 +507,53 @@ ab AS (
 SELECT round(AVG(CASE WHEN n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS Silhouette FROM ab""")
 
 
-def _lloyd(k: int, iterations: int) -> str:
+def _lloyd(k: int, iterations: int, p: str = "") -> str:
     """Lloyd's iterations, one after the other: centres c0.., assignments a0.. (the nearest centre, the smaller number on ties)."""
     ctes = f""",
-c0 AS (SELECT row_number() OVER (ORDER BY CustomerID) - 1 AS g, {', '.join(_CLUSTERED)} FROM scaled ORDER BY CustomerID LIMIT {k})"""
+{p}c0 AS (SELECT row_number() OVER (ORDER BY CustomerID) - 1 AS g, {', '.join(_CLUSTERED)} FROM scaled ORDER BY CustomerID LIMIT {k})"""
     dist = " + ".join(f"(s.{c} - c.{c}) * (s.{c} - c.{c})" for c in _CLUSTERED)
     for i in range(iterations + 1):
         ctes += f""",
-a{i} AS (SELECT s.CustomerID, arg_min(c.g, {{'d': {dist}, 'g': c.g}}) AS g FROM scaled s CROSS JOIN c{i} c GROUP BY s.CustomerID)"""
+{p}a{i} AS (SELECT s.CustomerID, arg_min(c.g, {{'d': {dist}, 'g': c.g}}) AS g FROM scaled s CROSS JOIN {p}c{i} c GROUP BY s.CustomerID)"""
         if i < iterations:
             ctes += f""",
-m{i} AS (SELECT g, {', '.join(f'AVG({c}) AS {c}' for c in _CLUSTERED)} FROM scaled JOIN a{i} USING (CustomerID) GROUP BY g),
-c{i + 1} AS (SELECT o.g, {', '.join(f'COALESCE(m{i}.{c}, o.{c}) AS {c}' for c in _CLUSTERED)} FROM c{i} o LEFT JOIN m{i} USING (g))"""
+{p}m{i} AS (SELECT g, {', '.join(f'AVG({c}) AS {c}' for c in _CLUSTERED)} FROM scaled JOIN {p}a{i} USING (CustomerID) GROUP BY g),
+{p}c{i + 1} AS (SELECT o.g, {', '.join(f'COALESCE(m.{c}, o.{c}) AS {c}' for c in _CLUSTERED)} FROM {p}c{i} o LEFT JOIN {p}m{i} m USING (g))"""
     return ctes
 
 
 KMEANS_FIXED_START = _with(SCALED + _lloyd(3, 4), "\nSELECT CustomerID, CAST(g AS INTEGER) AS Cluster FROM a4")
 
+
+
+def _sweep_score(k: int, iterations: int) -> str:
+    """Inertia and silhouette of the clusters that ``iterations`` from the first k customers end in."""
+    p = f"k{k}"
+    square = " + ".join(f"s.{c} * s.{c}" for c in _CLUSTERED)
+    to_center = " + ".join(f"(s.{c} - c.{c}) * (s.{c} - c.{c})" for c in _CLUSTERED)
+    return _lloyd(k, iterations, p) + f""",
+{p}own AS (SELECT s.*, a.g, {square} AS xx FROM scaled s JOIN {p}a{iterations} a USING (CustomerID)),
+{p}st AS (SELECT g, COUNT(*) AS n, SUM(xx) AS q, {', '.join(f'SUM({c}) AS s_{c}' for c in _CLUSTERED)} FROM {p}own GROUP BY g),
+{p}d AS (
+    SELECT s.CustomerID, s.g AS own, t.g AS other, t.n AS n, s.xx + t.q / t.n - 2 * ({' + '.join(f's.{c} * t.s_{c}' for c in _CLUSTERED)}) / t.n AS dist
+    FROM {p}own s CROSS JOIN {p}st t
+),
+{p}ab AS (
+    SELECT CustomerID, MAX(CASE WHEN own = other THEN n END) AS n, MAX(CASE WHEN own = other THEN dist * n / greatest(n - 1, 1) END) AS a,
+           MIN(CASE WHEN own <> other THEN dist END) AS b
+    FROM {p}d GROUP BY CustomerID
+),
+{p}score AS (
+    SELECT {k} AS k, (SELECT AVG(CASE WHEN n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END) FROM {p}ab) AS silhouette,
+           (SELECT SUM({to_center}) FROM {p}own s JOIN {p}c{iterations} c USING (g)) AS inertia
+)"""
+
+
+K_SELECTION_FIXED_STARTS = _with(SCALED + "".join(_sweep_score(k, 3) for k in (2, 3, 4, 5)) + """,
+curve AS (""" + " UNION ALL ".join(f"SELECT * FROM k{k}score" for k in (2, 3, 4, 5)) + ")", """
+SELECT k, round(silhouette, 6) AS silhouette, round(inertia, 6) AS inertia, k = (SELECT arg_max(k, {'s': silhouette, 'k': -k}) FROM curve) AS chosen
+FROM curve""")
+
 _Z = [f"z.{c}" for c in _PROFILE]
 _MATRIX = "[" + ", ".join("[" + ", ".join(f"SUM({a} * {b}) / (COUNT(*) - 1)" for b in _Z) + "]" for a in _Z) + "]"
 _SQUARED = "[[list_dot_product(r, s) / t for s in m] for r in m]"
@@ -559,6 +589,16 @@ PCA_COMPONENTS = _with(PCA, "\nUNION ALL\n".join(
 PCA_PROJECTION = _with(PCA, "\nSELECT CustomerID, " + ", ".join(
     f"round(list_dot_product([{', '.join(_Z)}], e{p}.v), 6) AS PC{p}" for p in (1, 2)) + ", Cluster\nFROM z CROSS JOIN e1 CROSS JOIN e2")
 
+PIPELINE_RUN = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS \"Table\", COUNT(*) AS \"Rows\", CAST({total} AS DOUBLE) AS \"Total\" FROM ({sql})" for name, total, sql in (
+        ("customers", "SUM(CAST(Monetary AS DECIMAL(20,4)))", PIPELINE_EXPORT),
+        ("segment_profiles", "SUM(CAST(Monetary AS DECIMAL(20,2)) + CustomerCount)", SEGMENT_INSIGHTS),
+        ("date_dimension", "SUM(Day + Weekday)", DATE_DIMENSION),
+        ("segment_summary", "SUM(CAST(TotalRevenue AS DECIMAL(20,2)))", SEGMENT_SUMMARY),
+        ("segment_interpretations", "SUM(LENGTH(Interpretation))", SEGMENT_INTERPRETATION),
+        ("segment_recommendations", "SUM(LENGTH(Action) + LENGTH(Detail))", SEGMENT_ACTIONS),
+        ("segment_kpis", "SUM(LENGTH(Kpi))", SEGMENT_KPIS)))
+
 # ---- purchase patterns and customer lifecycle ----
 
 BASKETS = CLEAN + """,
@@ -765,6 +805,8 @@ ORACLES: dict[str, str] = {
     "standin_silhouette": STANDIN_SILHOUETTE,
     "standin_inertia": STANDIN_INERTIA,
     "kmeans_fixed_start": KMEANS_FIXED_START,
+    "k_selection_fixed_starts": K_SELECTION_FIXED_STARTS,
+    "pipeline_run": PIPELINE_RUN,
     "pca_components": PCA_COMPONENTS,
     "pca_projection": PCA_PROJECTION,
 }

@@ -13,6 +13,8 @@ per-cluster sums (at most 90 models x 10 centres) and the PCA loadings (6 x 2).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from tillroll.operators import customers, insights, playbook, segments
@@ -32,6 +34,7 @@ def run_pipeline(
     n_init: int = 10,
     seed: int = 42,
     max_iter: int = 300,
+    segmenter: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame | None]] | None = None,
 ) -> dict[str, DataFrame]:
     """Run the whole analysis on invoice lines ``tx``.
 
@@ -43,6 +46,10 @@ def run_pipeline(
     ``customer_sample``, ``date_dimension``, ``interpretations``,
     ``recommendations``, ``customer_actions`` and ``kpis``.
 
+    ``segmenter`` takes the place of the K-means sweep: from the customer
+    features it makes the customers with Cluster and Segment, the label table
+    and a k-selection table (or None).
+
     With ``out_dir`` the export tables are written there (one directory per
     table, ``fmt`` = 'parquet' or 'csv'); ``out_dir=None`` skips exports.
 
@@ -53,9 +60,12 @@ def run_pipeline(
     tune(tx.sparkSession)
     clean = clean_transactions(tx)
     features = materialize(customers.customer_features(customers.customer_base(clean)), "features")
-    segmented, labels, k_selection = segments.enhanced_segmentation(
-        features, ks=ks, n_init=n_init, seed=seed, max_iter=max_iter,
-    )
+    if segmenter is not None:
+        segmented, labels, k_selection = segmenter(features)
+    else:
+        segmented, labels, k_selection = segments.enhanced_segmentation(
+            features, ks=ks, n_init=n_init, seed=seed, max_iter=max_iter,
+        )
     final = materialize(customers.value_projection(segmented), "final")
     seg_insights = materialize(insights.segment_insights(final))
     pca_scores, pca_components = segments.pca_projection(final)
@@ -78,6 +88,8 @@ def run_pipeline(
         "customer_actions": playbook.customer_actions(final),
         "kpis": playbook.segment_kpis(seg_insights),
     }
+    if k_selection is None:
+        del results["k_selection"]
     export(results, out_dir, prefix, fmt)
     return results
 
