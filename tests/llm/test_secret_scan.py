@@ -25,8 +25,11 @@ def slow_spans(text):
     out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    masked = text
+    for word in sorted(secret_scan.ALLOW_WORDS, key=len, reverse=True):
+        masked = re.sub(word, " " * len(word), masked, flags=re.IGNORECASE | re.ASCII)
     for rank, c in enumerate(secret_scan.CLASSES, 3):
-        for m in re.finditer(c.run_class + "+", text):
+        for m in re.finditer(c.run_class + "+", masked):
             s = m[0]
             if (len(s) >= c.window and all(re.search(p, s) for p in c.must_have)
                     and not any(re.search(p, s) for p in secret_scan.ALLOW) and window_bits(s, c.window) >= c.least_bits - 1e-6):
@@ -38,8 +41,8 @@ def slow_digest(doc_id, text):
     spans = slow_spans(text)
     told = lambda x: ",".join(f"{k}:{s}:{e}" for s, _, k, e in x)
     base = [x for x in spans if x[1] <= 2]
-    return (doc_id, *[sum(x[1] == r for x in base) for r in range(3)], len(spans) - len(base),
-            hashlib.sha256(told(base).encode()).hexdigest(), told(spans))
+    return (doc_id, *[sum(x[1] == r for x in base) for r in range(3)],
+            hashlib.sha256(told(base).encode()).hexdigest(), told(spans), len(spans) - len(base))
 
 
 def rows(df):
@@ -50,7 +53,7 @@ def test_query_equals_plain_scan(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = rows(catalog.op4_secret_scan(spark, SF))
     assert got == sorted((slow_digest(*d) for d in docs), key=str)
-    assert sum(r[1] for r in got) and sum(r[3] for r in got) and sum(r[4] for r in got)
+    assert sum(r[1] for r in got) and sum(r[3] for r in got) and sum(r[6] for r in got)
 
 
 CASES = [
@@ -60,6 +63,7 @@ CASES = [
     "0123456789abcdef01234567 0123456789abcdef0123456", "deadbeef" * 5 + "G" + "0" * 30,
     "3fJ9xQ2mZ7vK1pR8sT4wY6bN0cL5dH", "Aa1" + "b" * 40, "aZ9+/kQ3_x-W7=" * 3, "550e8400-e29b-41d4-a716-446655440000",
     "sha512-Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA==", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "Key tokensecret apiKey=abcdefg",
+    "sample-service/3fJ9xQ2mZ7vK1pR8sT4wY6bN0cL5dH", "3fJ9xQ2mZ7vK1pR8sT4wYDummy6bN0cL5dH8uE2gA7iO1kM9", "changemeEXAMPLE0123456789", "abcdefghqwertyui01234567",
     "x" * 300_000 + " token=abcdefghi " + "y1" * 5_000, "token" + " " * 2000 + "= 'abcdefgh", "it's \\ 'quoted' token='a\\b'",
 ]
 
@@ -95,3 +99,26 @@ def test_cases(spark):
 def test_plan_has_no_python(spark):
     plan = catalog.op4_secret_scan(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+KEY40 = "q7R2xK9mT4vB8nZ1pL6sD3fG0hJ5wC7yE2uA9iO4"
+
+
+def kinds(spark, text):
+    (row,) = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    return [(x.kind, text[x.start:x.end]) for x in row.spans]
+
+
+def test_allowed_words_hide_only_the_windows_that_touch_them(spark):
+    assert kinds(spark, KEY40) == [("entropy_base64", KEY40)]
+    assert kinds(spark, f"sample-service/{KEY40}") == [("entropy_base64", f"-service/{KEY40}")]
+    assert kinds(spark, f"{KEY40[:22]}dummy{KEY40[22:]}") == [("entropy_base64", KEY40[:22])]
+    assert kinds(spark, f"{KEY40}/example") == [("entropy_base64", f"{KEY40}/")]
+    for quiet in ("sample-placeholder-0123456789-changeme", "sha512-" + KEY40, "550e8400-e29b-41d4-a716-446655440000", f"{KEY40[:15]}dummy{KEY40[15:30]}"):
+        assert kinds(spark, quiet) == []
+    df = spark.createDataFrame([(1, f"see sample-service/{KEY40}.")], "doc_id long, text string")
+    assert secret_scan.redact(df).first().text == f"see sample{secret_scan.MARK}."
+
+
+def test_contract_columns_come_first(spark):
+    assert catalog.op4_secret_scan(spark, SF).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]

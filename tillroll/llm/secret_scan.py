@@ -5,8 +5,10 @@ that fails its length check is dropped after it has been passed over. The
 entropy kinds look at candidate strings (maximal runs of a character class):
 a window slides over the candidate, the counts of its characters are updated
 by the one that enters and the one that leaves, and the candidate is a finding
-if some window reaches the class's Shannon entropy, unless the allow-list
-names it. Positions are code points, the end exclusive.
+if some window reaches the class's Shannon entropy. The allow-list has patterns
+that name a candidate as a whole, and words: a candidate ends where one
+begins and a new one begins behind it, so only windows that touch the word are
+suppressed. Positions are code points, the end exclusive.
 
 Edge cases: a null text counts as empty; a text without findings has empty
 arrays; repeated rows and null ids give one row each; an empty table gives no
@@ -52,13 +54,14 @@ CLASSES = (
     CharClass("entropy_hex", "[0-9A-Fa-f]", _DIGITS + "abcdefABCDEF", 20, 3.0, ("[0-9]", "[A-Fa-f]")),
     CharClass("entropy_base64", "[A-Za-z0-9+/_=-]", _UPPER + _LOWER + _DIGITS + "+/_=-", 20, 3.9, ("[0-9]", "[A-Za-z]")),
 )
-#: Patterns of strings that look random and are no secrets.
+#: Patterns of whole candidates that look random and are no secrets.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^(sha1|sha256|sha384|sha512|md5)[-_=]",
-    r"(?i)example|sample|placeholder|changeme|dummy",
-    r"(?i)abcdefgh|01234567|qwertyui",
 )
+#: Words (in any case) that no window may touch.
+ALLOW_WORDS = ("placeholder", "changeme", "abcdefgh", "01234567", "qwertyui", "example", "sample", "dummy")
+_GAP = " "  # in no class
 
 
 def _lit(s: str) -> str:
@@ -113,6 +116,16 @@ def _reaches(cand: str, c: CharClass) -> str:
         a -> least(a.low, a.t)) <= {most}L"""
 
 
+def _masked(text: str, words: tuple[str, ...]) -> str:
+    """SQL: ``text`` with a gap of the same length for each of the words (letters, digits), so that positions stay."""
+    if not words:
+        return text
+    masked = text
+    for n in sorted({len(w) for w in words}, reverse=True):
+        masked = f"regexp_replace({masked}, {_lit('(?i)' + '|'.join(w for w in words if len(w) == n))}, '{_GAP * n}')"
+    return f"CASE WHEN {text} RLIKE {_lit('(?i)' + '|'.join(words))} THEN {masked} ELSE {text} END"
+
+
 def _entropy_keep(c: CharClass, allow: tuple[str, ...]) -> str:
     tests = [f"x.m RLIKE {_lit(p)}" for p in c.must_have] + [f"NOT x.m RLIKE {_lit(p)}" for p in allow]
     # the window sum is looked at only where the cheaper tests hold
@@ -120,18 +133,20 @@ def _entropy_keep(c: CharClass, allow: tuple[str, ...]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+         classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW,
+         allow_words: tuple[str, ...] = ALLOW_WORDS) -> DataFrame:
     """``doc_id``, ``text`` and an array ``spans`` of (start, rank, kind, end), sorted.
 
     Kinds rank as assign, access, hex, then ``classes`` in their order.
     """
-    return id_and_text(docs, id_col, text_col).withColumn("spans", F.expr(_all_spans("text", classes, allow)))
+    found = id_and_text(docs, id_col, text_col).withColumn("masked", F.expr(_masked("text", allow_words)))
+    return found.withColumn("spans", F.expr(_all_spans("text", "masked", classes, allow))).drop("masked")
 
 
-def _all_spans(text: str, classes: tuple[CharClass, ...], allow: tuple[str, ...]) -> str:
+def _all_spans(text: str, masked: str, classes: tuple[CharClass, ...], allow: tuple[str, ...]) -> str:
     kinds = [("assign", _spans(text, ASSIGN, f"length(x.g) >= {ASSIGN_LEAST}", 2)),
              ("access", _spans(text, ACCESS, "true")), ("hex", _spans(text, HEX, "true"))]
-    kinds += [(c.kind, _spans(text, f"{c.run_class}{{{c.window},}}", _entropy_keep(c, allow))) for c in classes]
+    kinds += [(c.kind, _spans(masked, f"{c.run_class}{{{c.window},}}", _entropy_keep(c, allow))) for c in classes]
     parts = [f"transform({sql}, y -> named_struct('start', y.s, 'rank', {rank}, 'kind', '{kind}', 'end', y.e))"
              for rank, (kind, sql) in enumerate(kinds)]
     return f"array_sort(concat({', '.join(parts)}))"
@@ -144,22 +159,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         *[F.expr(count.format(f"= {r}")).alias(f"n_{k}") for r, k in enumerate(("assign", "access", "hex"))],
-        F.expr(count.format("> 2")).alias("n_entropy"),
         F.sha2(F.expr(told.format("filter(spans, y -> y.rank <= 2)")), 256).alias("base_sha256"),
         F.expr(told.format("spans")).alias("spans"),
+        F.expr(count.format("> 2")).alias("n_entropy"),
     )
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars",
-           classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, mark: str = MARK) -> DataFrame:
+           classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW,
+           allow_words: tuple[str, ...] = ALLOW_WORDS, mark: str = MARK) -> DataFrame:
     """``docs`` with every found span (overlapping ones as one) replaced by ``mark``.
 
     All rows and columns stay; a row without findings is left as it is (a
     null text stays null). ``length_col``, where the table has it, follows the new text.
     """
-    spans, own = free_name(docs, "found_spans"), free_name(docs, "own_text")
-    df = docs.withColumn(own, F.col(f"`{text_col}`").cast("string"))
-    df = df.withColumn(spans, F.expr(f"CASE WHEN `{own}` IS NOT NULL THEN {_all_spans(f'`{own}`', classes, allow)} END"))
+    spans, own, masked = free_name(docs, "found_spans"), free_name(docs, "own_text"), free_name(docs, "masked_text")
+    df = docs.withColumn(own, F.col(f"`{text_col}`").cast("string")).withColumn(masked, F.expr(_masked(f"`{own}`", allow_words)))
+    df = df.withColumn(spans, F.expr(f"CASE WHEN `{own}` IS NOT NULL THEN {_all_spans(f'`{own}`', f'`{masked}`', classes, allow)} END"))
     clean = F.expr(f"""aggregate(`{spans}`,
         named_struct('at', 0, 'out', CAST(array() AS array<string>)),
         (a, y) -> CASE WHEN y.start < a.at THEN named_struct('at', greatest(a.at, y.end), 'out', a.out)
