@@ -1,10 +1,7 @@
 """The pipeline's rows against each stage done over in plain Python."""
 
-from collections import defaultdict
-
 import __spark_entry__
 import corpus_pipeline
-import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from tillroll.llm._common import tokenizer_path
 from tillroll.llm.sentencepiece_viterbi import MODEL
 
 from test_decontaminate import slow_hits
-from test_quality_kn import slow_model
+from test_quality_kn import slow_deviation, slow_limits, slow_model
 from test_secret_scan import slow_spans
 from test_simhash import slow_groups
 
@@ -25,15 +22,15 @@ def slow_pipeline(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 AND toxic = 0").select(
         "doc_id", (F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(3)) == 0).alias("held")).collect()
     held = {r.doc_id: r.held for r in labels}
-    score = slow_model([d["text"] for d in docs if held.get(d["doc_id"]) is False])
-    ppl = lambda t: np.exp(-score(t)[0] / score(t)[1])
-    known = defaultdict(list)
-    for d in docs:
-        if held.get(d["doc_id"]):
-            known[d["lang"]].append(ppl(d["text"]))
-    every = [x for v in known.values() for x in v]
-    limit = {lang: np.quantile(v if len(v) >= 30 else every, 0.995) for lang, v in known.items()}
-    docs = [d for d in docs if ppl(d["text"]) <= limit.get(d["lang"], np.quantile(every, 0.995)) * (1 + 1e-6)]
+    trusted = [d for d in docs if len(d["text"]) <= quality_kn.MAX_CHARS]
+    score = slow_model([d["text"] for d in trusted if held.get(d["doc_id"]) is False])
+    limits = slow_limits(score, [(d["lang"], d["text"]) for d in trusted if held.get(d["doc_id"])])
+
+    def clean(d):
+        middle, low, high = limits(d["lang"])
+        return low * (1 + 1e-9) <= slow_deviation(score, d["text"], middle) <= high * (1 + 1e-9)
+
+    docs = [d for d in docs if clean(d)]
     docs = [d for d, g in zip(sorted(docs, key=lambda d: d["doc_id"]),
                               sorted(slow_groups([(d["doc_id"], d["text"]) for d in docs]), key=lambda g: g[0])) if g[0] == g[2]]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
@@ -58,7 +55,7 @@ def test_pipeline_equals_plain_python(spark):
     want = slow_pipeline(spark)
     assert rows == want
     assert 0 < len(rows) < spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and quality_kn.ALPHABET == 128
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
 
 
 def test_stages_take_empty_and_odd_documents(spark):

@@ -46,7 +46,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored, own = quality_kn.score_documents(docs.select("doc_id", "text", "lang"), labels)
-    return scored.select("doc_id", "lang", *[own[c] for c in ("n_tokens", "perplexity", "threshold", "keep")])
+    return scored.select("doc_id", "lang", *[own[c] for c in ("n_tokens", "perplexity", "deviation", "lowest", "highest", "keep")])
 
 
 def op9_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
