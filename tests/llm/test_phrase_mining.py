@@ -73,7 +73,14 @@ def test_trie_with_very_many_children():
     assert len(trie.base) < 8 * own.size
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 200}, {"trie_cells": 60}, {"chunk_bytes": 300, "trie_cells": 500}])
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(9)
+    for numbers in ([], [0], [0, 0, 255, 256], [1 << 40, 3], [-1, 5, -(1 << 50)], rng.integers(0, 1 << 62, 1000)):
+        assert np.array_equal(phrase_mining._unpack(phrase_mining._pack(np.array(numbers, np.int64))), np.array(numbers, np.int64))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 200}, {"trie_cells": 60}, {"chunk_bytes": 300, "trie_cells": 500, "bucket_words": 7},
+                                   {"chunk_bytes": 500, "bucket_pairs": 50, "held_pairs": 8}])
 def test_chunks_and_tries_of_any_size_give_the_same_rows(spark, sizes):
     table = random_texts(5)
     df = spark.createDataFrame(table, SCHEMA).repartition(3)

@@ -1,8 +1,10 @@
 """Phrase collocation mining: counts of frequent phrases by broadcast tries, scored by their weakest cut.
 
-Texts are cut into chunks, each with a dictionary of its words; word counts are
-sums over the dictionaries, and a join gives each chunk's frequent words their
-numbers. From then on a text is an array of numbers with breaks (a piece's end
+Texts are cut into chunks, each with a dictionary of its words in the order of a
+hash. A range of the hash is a bucket: the slices that all dictionaries have there
+meet in one task, which counts their words and numbers the frequent ones
+(buckets hold about ``BUCKET_WORDS`` entries, so their number grows with the
+corpus). From then on a text is an array of numbers with breaks (a piece's end
 or a rarer word, which no frequent phrase holds).
 
 Level by level, the frequent phrases of ``k - 1`` words become double-array
@@ -29,16 +31,24 @@ not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.session import materialize
 
 #: About so many bytes of text share a dictionary.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
+#: Entries of dictionaries that a task counts together.
+BUCKET_WORDS = 500_000
+#: Candidates that a task holds; a bucket with more gives partial counts, which an aggregate then sums.
+HELD = 4_000_000
+#: A bucket gets about so many candidates, and there are no more buckets than that.
+BUCKET_PAIRS, MOST_BUCKETS = 4_000_000, 4096
 #: Cells of a trie (8 bytes each).
 TRIE_CELLS = 4_000_000
 #: A word's number is read in digits of this base.
@@ -48,6 +58,21 @@ _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _ONE_END = bytes.maketrans(_PIECE_ENDS, b"." * len(_PIECE_ENDS))
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers, compressed: first bytes first, then all second bytes ..."""
+    numbers = np.ascontiguousarray(numbers, np.int64)
+    planes = numbers.view(np.uint8).reshape(-1, 8).T
+    used = 8 - int(np.argmax(planes[::-1].any(axis=1))) if planes.any() else 1  # a negative number uses all
+    return len(numbers).to_bytes(8, "little") + bytes([used]) + pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n, used = int.from_bytes(packed[:8], "little"), packed[8]
+    planes = np.zeros((8, n), np.uint8)
+    planes[:used] = np.frombuffer(pa.decompress(packed[9:], n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(-1)
+
+
 def tokens(texts: list[bytes]) -> list[bytes]:
     """Words of the texts in lower case (A-Z alone), with ``.`` at each end of a piece."""
     # no word holds a dot; bytes.split cuts at spaces and tabs, as all its other characters are piece ends
@@ -55,17 +80,24 @@ def tokens(texts: list[bytes]) -> list[bytes]:
 
 
 def _chunk(lang: str, texts: list[bytes]) -> tuple | None:
-    """Language, words, their counts and the chunk's text as numbers of its words (-1: end of a piece)."""
+    """Language, number of words, dictionary (a line each, in the order of their hash), its counts and the chunk's text as numbers
+    of its words (from 1; 0: end of a piece)."""
     coded = pa.array([*tokens(texts), b"."], pa.binary()).dictionary_encode()
     words = coded.dictionary.to_pylist()
     codes = coded.indices.to_numpy()
     counts = np.bincount(codes, minlength=len(words))
     dot = words.index(b".")
-    codes = np.where(codes == dot, -1, codes - (codes > dot)).astype(np.int32)
-    del words[dot]
-    if not words:
+    order = np.argsort(_hashes(words), kind="stable")
+    order = order[order != dot]
+    if not len(order):
         return None
-    return lang, [w.decode("utf-8", "replace") for w in words], np.delete(counts, dot), codes.tobytes()
+    place = np.zeros(len(words), np.int64)
+    place[order] = np.arange(1, len(order) + 1)
+    return lang, int(counts[order].sum()), b"\n".join(words[i] for i in order), _pack(counts[order]), _pack(place[codes])
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words))
 
 
 def _chunks(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int) -> DataFrame:
@@ -80,10 +112,8 @@ def _chunks(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int) ->
             made = _chunk(lang, held.pop(lang))
             sizes.pop(lang)
             if made:
-                lang, words, counts, codes = made
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes], pa.binary())],
-                    ["lang", "words", "counts", "codes"])
+                kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], ["lang", "n", "words", "counts", "codes"])
 
         for b in batches:
             for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
@@ -95,7 +125,7 @@ def _chunks(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int) ->
         for lang in list(held):
             yield from close(lang)
 
-    made = slim.mapInArrow(run, "lang string, words array<string>, counts array<long>, codes binary")
+    made = slim.mapInArrow(run, "lang string, n long, words binary, counts binary, codes binary")
     return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "token-chunks")
 
 
@@ -110,29 +140,90 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
         "sid", (F.col("first") + F.col("at").bitwiseAND(F.lit(low))).cast("int")).drop("at", "p", "first")
 
 
-def _numbers(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """Each chunk's text in the numbers of ``words`` (-1: a break; single words between breaks are left out)."""
-    own = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "phrase"))
-    found = own.join(words.select("lang", "phrase", "sid"), ["lang", "phrase"]).groupBy("chunk").agg(
-        F.collect_list(F.struct("code", "sid")).alias("found"))
+def _counted(chunks: DataFrame, min_count: int, bucket_words: int) -> tuple[DataFrame, DataFrame]:
+    """The words in at least ``min_count`` places (``sid`` from 0, ``lang``, ``phrase``, ``a``), and for each chunk and bucket the
+    ``sid`` of the chunk's words there and 1 (0: rarer), packed, in the order of its dictionary, beginning at word ``start``."""
+    n = chunks.agg(F.sum("n")).first()[0] or 0  # at least as many as entries
+    buckets = max(1, -(-n // bucket_words))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, lang, words, counts in zip(*(b.column(c).to_pylist() for c in ("chunk", "lang", "words", "counts"))):
+                each = words.split(b"\n")
+                cuts = np.searchsorted(_hashes(each) * buckets >> 32, np.arange(buckets + 1))
+                ends = np.cumsum([0, *(len(w) + 1 for w in each)])
+                counts, some = _unpack(counts), np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([lang] * len(some)), pa.array(cuts[some], pa.int32()),
+                    pa.array([words[ends[cuts[i]]:ends[cuts[i + 1]] - 1] for i in some], pa.binary()),
+                    pa.array([_pack(counts[cuts[i]:cuts[i + 1]]) for i in some], pa.binary()),
+                ], ["bucket", "chunk", "lang", "start", "words", "counts"])
+
+    def count(t: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("bucket", "chunk", "start", "ids", "lang", "words", "counts")}
+        numbered = 0  # the words of the bucket's languages, one after the other
+
+        def put(*row) -> None:
+            for own, value in zip(out.values(), row):
+                own.append(value)
+
+        for lang in t.column("lang").unique():
+            own = t.filter(pc.equal(t.column("lang"), lang))
+            counts = [_unpack(c) for c in own.column("counts").to_pylist()]
+            coded = pa.array(b"\n".join(own.column("words").to_pylist()).split(b"\n"), pa.binary()).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            places = np.bincount(codes, weights=np.concatenate(counts), minlength=len(coded.dictionary))
+            frequent = np.flatnonzero(places >= min_count)
+            sid = np.full(len(places), -1, np.int64)
+            sid[frequent] = numbered + np.arange(len(frequent))
+            ends = np.cumsum([len(c) for c in counts])
+            bucket = own.column("bucket")[0].as_py()
+            for chunk, start, ids in zip(own.column("chunk").to_pylist(), own.column("start").to_pylist(), np.split(sid[codes], ends[:-1])):
+                if (ids >= 0).any():
+                    put(bucket, chunk, start, _pack(ids + 1), None, None, None)
+            names = [w.decode("utf-8", "replace") for w in coded.dictionary.take(pa.array(frequent)).to_pylist()]
+            put(bucket, None, numbered, None, lang.as_py(), names, places[frequent].astype(np.int64))
+            numbered += len(frequent)
+        return pa.table(out, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("start", pa.int32()), ("ids", pa.binary()), ("lang", pa.string()),
+                                        ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
+
+    dealt = chunks.select("chunk", "lang", "words", "counts").mapInArrow(
+        deal, "bucket int, chunk long, lang string, start int, words binary, counts binary")
+    counted = materialize(dealt.groupBy("bucket").applyInArrow(
+        count, "bucket int, chunk long, start int, ids binary, lang string, words array<string>, counts array<long>"), "counted-words")
+    # a task numbers its bucket's words from 0, over its languages one after the other
+    names = counted.where("chunk IS NULL")
+    sizes = {r["bucket"]: r["n"] for r in names.groupBy("bucket").agg(F.sum(F.size("words")).alias("n")).collect()}
+    first = dict(zip(sorted(sizes), np.concatenate([[0], np.cumsum([sizes[b] for b in sorted(sizes)])]).tolist()))
+    first = chunks.sparkSession.createDataFrame(list(first.items()), "bucket int, first int")
+    words = names.join(F.broadcast(first), "bucket").select(
+        "lang", (F.col("first") + F.col("start")).alias("low"), F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
+        (F.col("low") + F.col("at")).alias("sid"), "lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("a"))
+    parts = counted.where("chunk IS NOT NULL").join(F.broadcast(first), "bucket").select("chunk", "start", "first", "ids")
+    return words, parts
+
+
+def _numbers(chunks: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each chunk's text in the numbers of the frequent words (-1: a break; single words between breaks are left out)."""
+    found = parts.groupBy("chunk").agg(F.collect_list(F.struct("start", "first", "ids")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for codes, n, pairs in zip(*(b.column(c) for c in ("codes", "n", "found"))):
-                known = np.full(n.as_py() + 1, -1, np.int32)  # code -1 reads the last cell
-                known[pairs.values.field("code").to_numpy()] = pairs.values.field("sid").to_numpy()
-                ids = known[np.frombuffer(codes.as_buffer(), np.int32)]
+            for codes, slices in zip(b.column("codes"), b.column("found")):
+                codes = _unpack(codes.as_py())
+                known = np.full(int(codes.max()) + 1, -1, np.int64)
+                for start, first, ids in zip(*(slices.values.field(c).to_pylist() for c in ("start", "first", "ids"))):
+                    own = _unpack(ids)
+                    known[start + 1:start + 1 + len(own)] = np.where(own > 0, own - 1 + first, -1)
+                ids = known[codes]
                 # breaks in a row become one, and a word between two breaks starts no pair
-                ids = np.concatenate([[-1], ids, [-1]])
-                alone = (ids[1:-1] < 0) | ((ids[:-2] < 0) & (ids[2:] < 0))
-                ids = np.where(alone, -1, ids[1:-1])
-                ids = ids[(ids >= 0) | (np.concatenate([[-1], ids[:-1]]) >= 0)].astype(np.int32)
-                out.append(np.append(ids, np.int32(-1)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+                before, after = np.append(-1, ids[:-1]), np.append(ids[1:], -1)
+                ids = np.where((before < 0) & (after < 0), -1, ids)
+                ids = np.append(ids[(ids >= 0) | (np.append(-1, ids[:-1]) >= 0)], -1)
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(ids + 1)], pa.binary()), pa.array([len(ids)])], ["ids", "n"])
 
-    joined = chunks.select("chunk", "codes", F.size("words").alias("n")).join(found, "chunk").select("codes", "n", "found")
-    return materialize(joined.mapInArrow(run, "ids binary"), "phrase-numbers")
+    joined = chunks.select("chunk", "codes").join(found, "chunk").select("codes", "found")
+    return materialize(joined.mapInArrow(run, "ids binary, n long"), "phrase-numbers")
 
 
 class Trie:
@@ -274,26 +365,86 @@ def _states(ids: np.ndarray, tries: list, length: int) -> np.ndarray:
     return states
 
 
-def _pair_counts(numbers: DataFrame, tries: list | None, length: int) -> DataFrame:
-    """``l``, ``r`` (neighbouring phrases of ``length`` words) and how often they follow at one word's distance."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and the sums of their counts."""
+    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(of, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in b.column("ids")] or [np.zeros(0, np.int32)])
-            states = ids.astype(np.int64) if tries is None else _states(ids, tries, length)
-            at = np.flatnonzero((states[:-1] >= 0) & (states[1:] >= 0))
-            pairs, of = np.unique(states[at] << 32 | states[at + 1], return_inverse=True)
-            counts = np.bincount(of, minlength=len(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()), pa.array(counts, pa.int64())],
-                                             ["l", "r", "n"])
 
-    return numbers.mapInArrow(run, "l int, r int, n long").groupBy("l", "r").agg(F.sum("n").alias("a"))
+def _pair_counts(numbers: DataFrame, tries: list | None, length: int, min_count: int, bucket_pairs: int, held_pairs: int) -> DataFrame:
+    """``l``, ``r`` (neighbouring phrases of ``length`` words) that follow at one word's distance in ``a >= min_count`` places.
 
+    The tasks' counts go to buckets as packed slices. A bucket's task sums
+    them and knows the frequent ones; one that would have to hold more than ``held_pairs``
+    passes on partial counts, and the last aggregate sums those.
+    """
+    buckets = min(MOST_BUCKETS, max(1, -(-(numbers.agg(F.sum("n")).first()[0] or 0) // bucket_pairs)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            key, n = _summed(keys, counts)
+            keys.clear()
+            counts.clear()
+            of = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            part = [order[cuts[i]:cuts[i + 1]] for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pack(np.diff(key[p], prepend=0)) for p in part], pa.binary()),
+                                               pa.array([_pack(n[p]) for p in part], pa.binary())], ["bucket", "keys", "counts"])
 
-def _next_level(shorter: DataFrame, pairs: DataFrame, min_count: int, k: int) -> DataFrame:
+        for b in batches:
+            for packed in b.column("ids"):
+                ids = _unpack(packed.as_py()) - 1
+                states = ids if tries is None else _states(ids, tries, length)
+                at = np.flatnonzero((states[:-1] >= 0) & (states[1:] >= 0))
+                pairs, of = np.unique(states[at] << 32 | states[at + 1], return_inverse=True)
+                keys.append(pairs)
+                counts.append(np.bincount(of, minlength=len(pairs)))
+                if sum(map(len, keys)) > held_pairs // 2:
+                    yield out()
+        if keys:
+            yield out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keys, counts, partial = None, [], [], False
+
+        def out(least: int) -> pa.RecordBatch:
+            key, n = _summed(keys, counts)
+            keys.clear()
+            counts.clear()
+            key, n = key[n >= least], n[n >= least]
+            return pa.RecordBatch.from_arrays([pa.array(key >> 32, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()), pa.array(n)], ["l", "r", "n"])
+
+        for b in batches:
+            for own, key, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
+                if own != bucket:
+                    if keys:
+                        yield out(1 if partial else min_count)
+                    bucket, partial = own, False
+                keys.append(np.cumsum(_unpack(key)))
+                counts.append(_unpack(n))
+                if sum(map(len, keys)) > held_pairs:
+                    key, n = _summed(keys, counts)
+                    keys[:], counts[:] = [key], [n]
+                    if len(key) > held_pairs // 2:
+                        partial = True
+                        yield out(1)
+        if keys:
+            yield out(1 if partial else min_count)
+
+    dealt = numbers.select("ids").mapInArrow(count, "bucket int, keys binary, counts binary")
+    sums = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "l int, r int, n long")
+    return sums.groupBy("l", "r").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+
+
+def _next_level(shorter: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Frequent phrases of ``k`` words with their own count and those of their two parts of ``k - 1`` words."""
     l, r = shorter.alias("l"), shorter.alias("r")  # noqa: E741
-    named = (pairs.where(F.col("a") >= min_count).alias("p")
+    named = (pairs.alias("p")
              .join(l, F.expr("p.l = l.sid")).join(r, F.expr("p.r = r.sid"))
              .select("l.lang", F.expr("concat(l.ids, slice(r.ids, -1, 1))").alias("ids"),
                      F.expr("concat(l.phrase, ' ', substring_index(r.phrase, ' ', -1))").alias("phrase"),
@@ -302,22 +453,22 @@ def _next_level(shorter: DataFrame, pairs: DataFrame, min_count: int, k: int) ->
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, longest: int = 5,
-                     chunk_bytes: int = CHUNK_BYTES, trie_cells: int = TRIE_CELLS) -> tuple[DataFrame, list[DataFrame]]:
+                     chunk_bytes: int = CHUNK_BYTES, bucket_words: int = BUCKET_WORDS,
+                     trie_cells: int = TRIE_CELLS, bucket_pairs: int = BUCKET_PAIRS, held_pairs: int = HELD) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each language (``lang``, ``n``), and for each length from 1 a table of the phrases that occur
     ``min_count`` times: ``lang``, ``ids``, ``phrase``, ``a`` and, from two words on, the counts ``left_a`` and
     ``right_a`` of the phrase without its last and its first word."""
     chunks = _chunks(docs, text_col, lang_col, chunk_bytes)
-    totals = materialize(chunks.select("lang", F.explode("counts").alias("c")).groupBy("lang").agg(F.sum("c").alias("n")), "word-totals")
-    words = (chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-             .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a")).where(F.col("a") >= min_count))
-    words = _numbered(words, "phrases-1").withColumn("ids", F.array("sid"))
+    totals = materialize(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
+    words, parts = _counted(chunks, min_count, bucket_words)
+    words = materialize(words.withColumn("ids", F.array("sid")), "phrases-1")
     levels, n_words = [words], words.count()
     if not n_words or longest < 2:
         return totals, levels
-    numbers = _numbers(chunks, words)
+    numbers = _numbers(chunks, parts)
     for k in range(2, longest + 1):
         sent = None if k == 2 else _tries(levels[-1], k - 1, n_words, trie_cells)
-        level = _next_level(levels[-1], _pair_counts(numbers, sent, k - 1), min_count, k)
+        level = _next_level(levels[-1], _pair_counts(numbers, sent, k - 1, min_count, bucket_pairs, held_pairs), k)
         for b in sent or ():
             if b is not None:
                 b.destroy()
