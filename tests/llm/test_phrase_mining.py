@@ -9,6 +9,7 @@ import pytest
 
 from tests.oracle_harness import duck_connection, frame_hash
 from tillroll.llm import catalog, phrase_mining
+from tillroll.llm._common import pack, unpack
 from tillroll.llm.phrase_mining import RADIX, Trie
 
 SF = "/root/testdata/sf0.01"
@@ -76,7 +77,7 @@ def test_trie_with_very_many_children():
 def test_packed_numbers_come_back():
     rng = np.random.default_rng(9)
     for numbers in ([], [0], [0, 0, 255, 256], [1 << 40, 3], [-1, 5, -(1 << 50)], rng.integers(0, 1 << 62, 1000)):
-        assert np.array_equal(phrase_mining._unpack(phrase_mining._pack(np.array(numbers, np.int64))), np.array(numbers, np.int64))
+        assert np.array_equal(unpack(pack(np.array(numbers, np.int64))), np.array(numbers, np.int64))
 
 
 @pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 200}, {"trie_cells": 60}, {"chunk_bytes": 300, "trie_cells": 500, "bucket_words": 7},

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,26 @@ def hex64(value: Column) -> Column:
 def tokenizer_path(name: str) -> str:
     """The place of a public tokenizer file; ``TOKENIZER_DIR`` names another folder."""
     return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers, compressed: first bytes first, then all second bytes ..."""
+    numbers = np.ascontiguousarray(numbers, np.int64)
+    planes = numbers.view(np.uint8).reshape(-1, 8).T
+    used = 8 - int(np.argmax(planes[::-1].any(axis=1))) if planes.any() else 1  # a negative number uses all
+    return len(numbers).to_bytes(8, "little") + bytes([used]) + pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n, used = int.from_bytes(packed[:8], "little"), packed[8]
+    planes = np.zeros((8, n), np.uint8)
+    planes[:used] = np.frombuffer(pa.decompress(packed[9:], n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(-1)
+
+
+def one_by_one(sent: list) -> Iterator:
+    """The values of broadcasts; of several, each goes before the next one comes."""
+    for b in sent:
+        yield b.value
+        if len(sent) > 1:
+            b.__dict__.pop("_value", None)

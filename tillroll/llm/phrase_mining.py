@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.llm._common import pack, unpack
 from tillroll.session import materialize
 
 #: About so many bytes of text share a dictionary.
@@ -58,21 +59,6 @@ _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _ONE_END = bytes.maketrans(_PIECE_ENDS, b"." * len(_PIECE_ENDS))
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers, compressed: first bytes first, then all second bytes ..."""
-    numbers = np.ascontiguousarray(numbers, np.int64)
-    planes = numbers.view(np.uint8).reshape(-1, 8).T
-    used = 8 - int(np.argmax(planes[::-1].any(axis=1))) if planes.any() else 1  # a negative number uses all
-    return len(numbers).to_bytes(8, "little") + bytes([used]) + pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    n, used = int.from_bytes(packed[:8], "little"), packed[8]
-    planes = np.zeros((8, n), np.uint8)
-    planes[:used] = np.frombuffer(pa.decompress(packed[9:], n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
-    return np.ascontiguousarray(planes.T).view(np.int64).reshape(-1)
-
-
 def tokens(texts: list[bytes]) -> list[bytes]:
     """Words of the texts in lower case (A-Z alone), with ``.`` at each end of a piece."""
     # no word holds a dot; bytes.split cuts at spaces and tabs, as all its other characters are piece ends
@@ -93,7 +79,7 @@ def _chunk(lang: str, texts: list[bytes]) -> tuple | None:
         return None
     place = np.zeros(len(words), np.int64)
     place[order] = np.arange(1, len(order) + 1)
-    return lang, int(counts[order].sum()), b"\n".join(words[i] for i in order), _pack(counts[order]), _pack(place[codes])
+    return lang, int(counts[order].sum()), b"\n".join(words[i] for i in order), pack(counts[order]), pack(place[codes])
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -152,11 +138,11 @@ def _counted(chunks: DataFrame, min_count: int, bucket_words: int) -> tuple[Data
                 each = words.split(b"\n")
                 cuts = np.searchsorted(_hashes(each) * buckets >> 32, np.arange(buckets + 1))
                 ends = np.cumsum([0, *(len(w) + 1 for w in each)])
-                counts, some = _unpack(counts), np.flatnonzero(np.diff(cuts))
+                counts, some = unpack(counts), np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([lang] * len(some)), pa.array(cuts[some], pa.int32()),
                     pa.array([words[ends[cuts[i]]:ends[cuts[i + 1]] - 1] for i in some], pa.binary()),
-                    pa.array([_pack(counts[cuts[i]:cuts[i + 1]]) for i in some], pa.binary()),
+                    pa.array([pack(counts[cuts[i]:cuts[i + 1]]) for i in some], pa.binary()),
                 ], ["bucket", "chunk", "lang", "start", "words", "counts"])
 
     def count(t: pa.Table) -> pa.Table:
@@ -169,7 +155,7 @@ def _counted(chunks: DataFrame, min_count: int, bucket_words: int) -> tuple[Data
 
         for lang in t.column("lang").unique():
             own = t.filter(pc.equal(t.column("lang"), lang))
-            counts = [_unpack(c) for c in own.column("counts").to_pylist()]
+            counts = [unpack(c) for c in own.column("counts").to_pylist()]
             coded = pa.array(b"\n".join(own.column("words").to_pylist()).split(b"\n"), pa.binary()).dictionary_encode()
             codes = coded.indices.to_numpy()
             places = np.bincount(codes, weights=np.concatenate(counts), minlength=len(coded.dictionary))
@@ -180,7 +166,7 @@ def _counted(chunks: DataFrame, min_count: int, bucket_words: int) -> tuple[Data
             bucket = own.column("bucket")[0].as_py()
             for chunk, start, ids in zip(own.column("chunk").to_pylist(), own.column("start").to_pylist(), np.split(sid[codes], ends[:-1])):
                 if (ids >= 0).any():
-                    put(bucket, chunk, start, _pack(ids + 1), None, None, None)
+                    put(bucket, chunk, start, pack(ids + 1), None, None, None)
             names = [w.decode("utf-8", "replace") for w in coded.dictionary.take(pa.array(frequent)).to_pylist()]
             put(bucket, None, numbered, None, lang.as_py(), names, places[frequent].astype(np.int64))
             numbered += len(frequent)
@@ -210,17 +196,17 @@ def _numbers(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for codes, slices in zip(b.column("codes"), b.column("found")):
-                codes = _unpack(codes.as_py())
+                codes = unpack(codes.as_py())
                 known = np.full(int(codes.max()) + 1, -1, np.int64)
                 for start, first, ids in zip(*(slices.values.field(c).to_pylist() for c in ("start", "first", "ids"))):
-                    own = _unpack(ids)
+                    own = unpack(ids)
                     known[start + 1:start + 1 + len(own)] = np.where(own > 0, own - 1 + first, -1)
                 ids = known[codes]
                 # breaks in a row become one, and a word between two breaks starts no pair
                 before, after = np.append(-1, ids[:-1]), np.append(ids[1:], -1)
                 ids = np.where((before < 0) & (after < 0), -1, ids)
                 ids = np.append(ids[(ids >= 0) | (np.append(-1, ids[:-1]) >= 0)], -1)
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(ids + 1)], pa.binary()), pa.array([len(ids)])], ["ids", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([pack(ids + 1)], pa.binary()), pa.array([len(ids)])], ["ids", "n"])
 
     joined = chunks.select("chunk", "codes").join(found, "chunk").select("codes", "found")
     return materialize(joined.mapInArrow(run, "ids binary, n long"), "phrase-numbers")
@@ -393,12 +379,12 @@ def _pair_counts(numbers: DataFrame, tries: list | None, length: int, min_count:
             cuts = np.searchsorted(of[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cuts))
             part = [order[cuts[i]:cuts[i + 1]] for i in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pack(np.diff(key[p], prepend=0)) for p in part], pa.binary()),
-                                               pa.array([_pack(n[p]) for p in part], pa.binary())], ["bucket", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(np.diff(key[p], prepend=0)) for p in part], pa.binary()),
+                                               pa.array([pack(n[p]) for p in part], pa.binary())], ["bucket", "keys", "counts"])
 
         for b in batches:
             for packed in b.column("ids"):
-                ids = _unpack(packed.as_py()) - 1
+                ids = unpack(packed.as_py()) - 1
                 states = ids if tries is None else _states(ids, tries, length)
                 at = np.flatnonzero((states[:-1] >= 0) & (states[1:] >= 0))
                 pairs, of = np.unique(states[at] << 32 | states[at + 1], return_inverse=True)
@@ -425,8 +411,8 @@ def _pair_counts(numbers: DataFrame, tries: list | None, length: int, min_count:
                     if keys:
                         yield out(1 if partial else min_count)
                     bucket, partial = own, False
-                keys.append(np.cumsum(_unpack(key)))
-                counts.append(_unpack(n))
+                keys.append(np.cumsum(unpack(key)))
+                counts.append(unpack(n))
                 if sum(map(len, keys)) > held_pairs:
                     key, n = _summed(keys, counts)
                     keys[:], counts[:] = [key], [n]
