@@ -97,3 +97,18 @@ def test_edge_cases(spark):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(docs)
+
+
+def test_rows_scores_and_passages_do_not_depend_on_the_shards(spark):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    words = sum(len(re.findall(r"\w+", r.text)) for r in bench.collect())
+    seen = []
+    for shards in (1, 4, 16):
+        rows = decontaminate.find_contamination(docs, bench, shard_words=-(-words // shards)).collect()
+        seen.append(sorted(map(tuple, rows)))
+        made = len(decontaminate._indexes(bench, "item_id", "text", -(-words // shards), 0.5, 0.8))
+        assert shards * 3 // 4 <= made <= shards  # a shard may get no item
+    assert seen[0] and seen[0] == seen[1] == seen[2]
+    kept = [sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, shard_words=n).select("doc_id").collect()) for n in (words, words // 8)]
+    assert kept[0] == kept[1] == sorted({r.doc_id for r in docs.select("doc_id").collect()} - {r[0] for r in seen[0]})
+

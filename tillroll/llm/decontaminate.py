@@ -10,9 +10,11 @@ occur there. The answer is the last sentence of an item of several sentences,
 the question what stands before; an item of one sentence is question and
 answer at once. Words are runs of letters, digits and underscores, in lower case.
 
-The index is broadcast in shards of about ``shard_words`` words (a larger
-single item is a shard of its own), with one pass over the documents for each
-shard; the idf is that of the shard.
+Document frequencies, the number of items, their mean length and the longest one are aggregates over the whole
+benchmark. Items are dealt to shards of about ``shard_words`` words (a larger
+single item is a shard of its own); a task builds each shard's index with these figures, so rows, scores and
+passages do not depend on the shards. Indexes are broadcast one by one and the
+documents are passed once: a task takes a group of texts through one index after the other.
 
 Edge cases: null texts count as empty and empty texts have no hits; items
 without words are never found; equal items are found each; repeated rows of
@@ -23,11 +25,12 @@ no rows; other columns are not looked at (:func:`drop_contaminated` keeps them).
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tillroll.llm._common import free_name, id_and_text, text_chunks
+from tillroll.llm._common import free_name, id_and_text, one_by_one, text_chunks
+from tillroll.session import materialize
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+")
@@ -60,25 +64,39 @@ def _shingles(ids: list[int]) -> set[tuple[int, ...]]:
     return {tuple(ids[i:i + n]) for i in range(len(ids) - n + 1)}
 
 
+class Figures(NamedTuple):
+    """Of all items: their number, mean and greatest number of words, and (for the words at hand) in how many each word is."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, words: list[list[str]]) -> Figures:
+        sizes = [len(w) for w in words]
+        return cls(len(words), sum(sizes) / max(1, len(words)), max(sizes, default=0), Counter(w for ws in words for w in set(ws)))
+
+
 class ItemIndex:
     """Inverted index over items; impacts are shares of an item's own score."""
 
-    def __init__(self, texts: list[str], threshold: float = 0.5, overlap: float = 0.8):
+    def __init__(self, texts: list[str], threshold: float = 0.5, overlap: float = 0.8, figures: Figures | None = None):
         self.threshold, self.overlap = threshold, overlap
         split = [question_and_answer(t) for t in texts]
         words = [WORD.findall((t or "").lower()) for t in texts]
         self.term = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         ids = lambda ws: [self.term[w] for w in ws]
         self.parts = [(_shingles(ids(q)), _shingles(ids(a))) for q, a in split]
-        self.window = max(2 * max((len(w) for w in words), default=0), 64)
+        known = figures or Figures.of(words)
+        self.window = max(2 * known.longest, 64)
         tf = [Counter(ids(w)) for w in words]
-        df = Counter(t for c in tf for t in c)
-        mean = sum(map(len, words)) / max(1, len(words))
+        df = {t: known.df[w] for w, t in self.term.items()}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, c in enumerate(tf):
-            w = {t: math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1)
-                 / (n + K1 * (1 - B + B * len(words[i]) / mean)) for t, n in c.items()}
-            own = sum(w.values())
+            w = {t: math.log(1 + (known.items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1)
+                 / (n + K1 * (1 - B + B * len(words[i]) / known.mean)) for t, n in c.items()}
+            own = math.fsum(w.values())
             for t, x in w.items():
                 postings[t].append((i, x / own))
         self.items = {t: [i for i, _ in p] for t, p in postings.items()}
@@ -157,7 +175,7 @@ class ItemIndex:
             if block < least:
                 target = max(last, pivot + 1)  # no item of these blocks can reach the threshold
             elif cur[0][0] == pivot:
-                score = sum(self.impact[t][pos] for item, pos, t in cur[:p + 1])
+                score = math.fsum(self.impact[t][pos] for item, pos, t in cur[:p + 1])
                 if score >= least:
                     found.append((pivot, score))
                 target = pivot + 1
@@ -194,13 +212,44 @@ class ItemIndex:
         return len(own & seen[n]) / len(own)
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[DataFrame]:
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int, threshold: float, overlap: float) -> list:
+    """Broadcasts of (index, ids of its items), one a shard."""
+    item_type = benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("text"))
-    # a word takes two characters at least
-    n = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0
-    count = max(1, math.ceil(n / shard_words))
-    for i in range(count):
-        yield items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == i).orderBy("item_id", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches):
+            words = [WORD.findall(t.lower()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("text"), pa.array([len(w) for w in words], pa.int32()),
+                                              pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["item_id", "text", "n", "words"])
+
+    parsed = materialize(items.mapInArrow(cut, f"item_id {item_type}, text string, n int, words array<string>"), "items")
+    row = parsed.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    n_items, n_words, longest = row[0], row[1] or 0, row[2] or 0
+    if not n_items:
+        return []
+    shards = max(1, math.ceil(n_words / shard_words))
+    parsed = parsed.withColumn("shard", F.pmod(F.xxhash64("text", "item_id"), F.lit(shards)).cast("int"))
+    each = parsed.select("shard", F.explode("words").alias("word"))
+    # a shard's words with the number of items that have them, in all shards
+    known = each.distinct().join(each.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word").select(
+        F.col("shard").alias("part"), "word", "df")
+
+    def build(own: pa.Table, words: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"shard": pa.array([], pa.int32()), "index": pa.array([], pa.binary())})
+        rows = sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist()), key=lambda r: (r[0] is not None, r[0], r[1]))
+        df = dict(zip(words.column("word").to_pylist(), words.column("df").to_pylist()))
+        index = ItemIndex([t for _, t in rows], threshold, overlap, Figures(n_items, n_words / n_items, longest, df))
+        return pa.table({"shard": own.column("shard").slice(0, 1), "index": [pickle.dumps((index, [i for i, _ in rows]))]})
+
+    built = parsed.select("shard", "item_id", "text").groupBy("shard").cogroup(known.groupBy("part")).applyInArrow(build, "shard int, index binary")
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(pickle.loads(r["index"])) for r in materialize(built, "item-indexes").orderBy("shard").toLocalIterator()]
+
+
+#: Characters that a task takes through one index after the other.
+GROUP_CHARS = 4_000_000
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -209,16 +258,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """One row per document and item found in it: ``doc_id``, ``item_id``, ``passage_start`` (a word's
     number), ``score`` (share of the item's own BM25 score), ``question_overlap``, ``answer_overlap``."""
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    spark, slim, parts = docs.sparkSession, id_and_text(docs, id_col, text_col), []
+    slim = id_and_text(docs, id_col, text_col)
     schema = HIT_FIELDS.format(id=slim.schema["doc_id"].dataType.simpleString(), item=benchmark.schema[item_col].dataType.simpleString())
-    for shard in _shards(benchmark, item_col, item_text, shard_words):
-        rows = shard.collect()  # bounded by shard_words
-        sent = spark.sparkContext.broadcast((ItemIndex([r.text for r in rows], threshold, overlap), [r.item_id for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            index, names = sent.value
-            for b in text_chunks(batches):
-                found = [(row, *h) for row, t in enumerate(b.column("text").to_pylist()) for h in index.hits(t)]
+    sent = _indexes(benchmark, item_col, item_text, shard_words, threshold, overlap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, chars=GROUP_CHARS):
+            texts = b.column("text").to_pylist()
+            for index, names in one_by_one(sent):
+                found = [(row, *h) for row, t in enumerate(texts) for h in index.hits(t)]
                 if found:
                     row, item, start, *shares = zip(*found)
                     yield pa.RecordBatch.from_arrays(
@@ -226,27 +274,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                          pa.array(start, pa.int32()), *[pa.array(x, pa.float64()) for x in shares]],
                         ["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"])
 
-        parts.append(slim.mapInArrow(run, schema))
-    return reduce(DataFrame.unionAll, parts)
+    return slim.mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text: str = "text", threshold: float = 0.5, overlap: float = 0.8,
                       shard_words: int = 200_000) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their own columns."""
-    out, flag = docs, free_name(docs, "is_clean")
-    for shard in _shards(benchmark, item_col, item_text, shard_words):
-        clean = _is_clean(docs.sparkSession.sparkContext.broadcast(
-            ItemIndex([r.text for r in shard.collect()], threshold, overlap)))
-        out = out.withColumn(flag, clean(F.coalesce(out[text_col].cast("string"), F.lit("")))).where(F.col(flag))
-        out = out.select(*[F.col(f"`{c}`") for c in docs.columns])
-    return out
+    flag = free_name(docs, "is_clean")
+    clean = _is_clean(_indexes(benchmark, item_col, item_text, shard_words, threshold, overlap))
+    marked = docs.withColumn(flag, clean(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    return marked.where(F.col(f"`{flag}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _is_clean(sent):
+def _is_clean(sent: list):
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([not sent.value.hits(t.as_py()) for t in texts], pa.bool_())
+        for column in batches:
+            texts = column.to_pylist()
+            ok = [True] * len(texts)
+            for index, _ in one_by_one(sent):
+                ok = [x and not index.hits(t) for x, t in zip(ok, texts)]
+            yield pa.array(ok, pa.bool_())
 
     return clean
