@@ -74,3 +74,15 @@ def test_edge_cases_are_exact(spark):
     assert rows(graph_ann.nearest(df, queries.limit(0))) == []
     few = df.where("vec_id IN (0, 7)")
     same(rows(graph_ann.nearest(few, few)), brute([d for d in data if d[0] in (0, 7)], [d for d in data if d[0] in (0, 7)]))
+
+
+def test_repeated_query_ids_and_blocks(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(50)]
+    queries = data[:20] + [(0, [9.0, 9.0, 9.0]), (0, [-9.0, 9.0, 9.0]), (1, data[1][1])]
+    least = {}
+    for i, v in queries:
+        least[i] = min(least.get(i, v), v)
+    df, asked = (spark.createDataFrame(t, "vec_id long, embedding array<double>") for t in (data, queries))
+    for size in (1, 7, 100):
+        same(rows(graph_ann.nearest(df, asked, query_rows=size)), brute(data, list(least.items())))

@@ -10,11 +10,12 @@ again. Every query is searched in every shard by a beam; distances are then
 taken anew in double precision and the shards' answers merged.
 
 A shard has at most about ``shard_rows`` classes, a bound for its task's
-memory; the queries meet each shard in blocks.
+memory. Its graph is written once; the queries are cut into blocks of about ``query_rows``, and each
+(shard, block) is a task of its own that loads the graph.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite parts take no part, nor do
 queries with them; vectors of another length than the query's are no candidates; null ids take no part; repeated rows count
-once; fewer candidates than k give shorter answers; an empty table gives no
+once; of several vectors under one query id the least (component by component) is asked for; fewer candidates than k give shorter answers; an empty table gives no
 rows; ties go to the smaller id; other columns are not looked at.
 """
 
@@ -31,7 +32,7 @@ from tillroll.session import materialize
 
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
 BATCH = 512
-SHARD_ROWS, LEAST_SHARDS = 65_536, 6
+SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 65_536, 6, 256
 
 
 class Graph:
@@ -57,6 +58,18 @@ class Graph:
                     self._insert(order[i:i + BATCH], beam, a)
             self._join_up(beam)
 
+    def stored(self) -> dict:
+        return {"x": self.x.tobytes(), "edges": self.edges.tobytes(), "scale": self.scale, "start": self.start}
+
+    @classmethod
+    def loaded(cls, size: int, x: bytes, edges: bytes, scale: float, start: int) -> "Graph":
+        """A graph that :meth:`stored` gave, to be searched."""
+        out = cls.__new__(cls)
+        out.x = np.frombuffer(x, np.float32).reshape(-1, size)
+        out.edges = np.frombuffer(edges, np.int32).reshape(len(out.x), -1)
+        out.norm, out.scale, out.start = np.einsum("ij,ij->i", out.x, out.x), scale, start
+        return out
+
     def _join_up(self, beam: int) -> None:
         """Gives each node that no way leads to an edge from the nearest node that has one."""
         while True:
@@ -212,46 +225,63 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
             beam: int = SEARCH_BEAM, degree: int = DEGREE, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS,
-            least_shards: int = LEAST_SHARDS) -> DataFrame:
+            least_shards: int = LEAST_SHARDS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k nearest rows of ``vectors`` to each row of ``queries`` (which leaves out the row of its own id):
     ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (the Euclidean distance)."""
     id_type = vectors.schema[id_col].dataType.simpleString()
     classes = materialize(_classes(_usable(vectors, id_col, vector_col), k), "vector-classes")
-    asked = _usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    asked = materialize(_usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "queries")
     n = classes.count()
     shards = max(1, min(n, max(least_shards, -(-n // shard_rows))))
-    nodes = classes.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).select("shard", "h", "v", "ids")
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    schema = f"query_id {id_type}, vec_id {id_type}, score double"
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by([("h", "ascending")])
-            sizes = np.diff(left.column("v").combine_chunks().offsets.to_numpy())
-            asked_sizes = np.diff(right.column("v").combine_chunks().offsets.to_numpy())
-            for size in np.unique(sizes):
-                own, which = np.flatnonzero(sizes == size), np.flatnonzero(asked_sizes == size)
-                if len(which):
-                    found += _search_one(left.take(own), right.take(which), int(size), k, beam, degree, alpha)
+    blocks = max(1, -(-asked.count() // query_rows))
+    # vectors of one length in one shard; ranges of the key give each graph a task of its own
+    own = F.concat_ws(":", F.size("v"), F.pmod("h", F.lit(shards)))
+    nodes = classes.select(own.alias("graph"), "h", "v", "ids").repartitionByRange(4 * shards, "graph")
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending")])
+        size = len(t.column("v")[0])
+        graph = Graph(t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size), degree, alpha=alpha)
+        return pa.table({"graph": t.column("graph").slice(0, 1), "size": pa.array([size], pa.int32()), **{c: [v] for c, v in graph.stored().items()},
+                         "v": [t.column("v").combine_chunks().flatten().to_numpy().tobytes()],
+                         "ids": pa.array([t.column("ids").to_pylist()], pa.list_(t.schema.field("ids").type))}).select(GRAPH)
+
+    graphs = materialize(nodes.groupBy("graph").applyInArrow(
+        build, f"graph string, size int, x binary, edges binary, scale double, start long, v binary, ids array<array<{id_type}>>"), "graphs")
+    # a block of queries is a row for each graph of their length, and so is a graph for each block
+    packed = (asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+              .groupBy(F.size("v").alias("size"), "block").agg(F.collect_list(F.struct("id", "v")).alias("asked")))
+    packed = packed.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("graph", F.concat_ws(":", "size", "place")).drop("place")
+    both = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(packed, allowMissingColumns=True)
+    both = both.withColumn("task", F.concat_ws(":", "graph", "block")).drop("graph", "block")
+
+    def search(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        held, block = next((r for r in rows if r["x"] is not None), None), next((r for r in rows if r["asked"] is not None), None)
+        found: list[tuple] = []
+        if held and block:
+            graph = Graph.loaded(*(held[c] for c in ("size", "x", "edges", "scale", "start")))
+            asked = np.array([a["v"] for a in block["asked"]], np.float64)
+            found = _search_one(graph, np.frombuffer(held["v"], np.float64).reshape(-1, held["size"]), held["ids"],
+                                [a["id"] for a in block["asked"]], asked, k, beam)
         q, v, s = zip(*found) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, right.schema.field("id").type), "vec_id": pa.array(v, left.schema.field("ids").type.value_type),
-                         "score": pa.array(s, pa.float64())})
+        kind = t.schema.field("ids").type.value_type.value_type
+        return pa.table({"query_id": pa.array(q, kind), "vec_id": pa.array(v, kind), "score": pa.array(s, pa.float64())})
 
-    found = nodes.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(search, schema)
+    found = (both.repartitionByRange(min(4 * shards * blocks, 20_000), "task").groupBy("task")
+             .applyInArrow(search, f"query_id {id_type}, vec_id {id_type}, score double"))
     # a query has k rows from each shard at most
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
 
 
-def _search_one(nodes: pa.Table, asked: pa.Table, size: int, k: int, beam: int, degree: int, alpha: float) -> list[tuple]:
-    """(query, id, distance) of the k nearest rows of a shard's vectors of one length."""
-    v = nodes.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
-    ids = nodes.column("ids").to_pylist()
-    q_ids = asked.column("id").to_pylist()
-    q = asked.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
-    graph = Graph(v, degree, alpha=alpha)
+#: Columns of a stored graph.
+GRAPH = ["graph", "size", "x", "edges", "scale", "start", "v", "ids"]
+
+
+def _search_one(graph: Graph, v: np.ndarray, ids: list[list], q_ids: list, q: np.ndarray, k: int, beam: int) -> list[tuple]:
+    """(query, id, distance) of the k nearest rows of a shard's vectors."""
     out = []
     for i in range(0, len(q), BATCH):
         with np.errstate(over="ignore"):
