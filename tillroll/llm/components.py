@@ -15,16 +15,22 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _written(low: DataFrame) -> DataFrame:
+    """The minima as a table: behind an aggregate of its own, a join's partitions could not be split, and the
+    neighbours of one node may be a large part of all edges."""
+    return materialize(low, "least-neighbours")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node moves to the node's smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = _written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them. Edges come as u > v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = _written(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v")))
 
@@ -32,9 +38,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Columns ``node`` and ``component`` (its smallest node), for nodes with a link to another.
 
-    Each round is two aggregates with map-side minima and two joins (a node
-    with very many neighbours is one row on the other side, so AQE can split
-    it); the edges are written to the checkpoint folder after each round. The
+    Each round is two aggregates with map-side minima, whose results are
+    written, and two joins with them (a node with very many neighbours is one row
+    there, so AQE can split the neighbours); the edges are written to the checkpoint folder after each round. The
     driver sees a count and a checksum. Null ends and loops are ignored; no
     edges give no rows.
     """
