@@ -124,3 +124,12 @@ def test_size_table_is_ordered(spark):
     got = [tuple(r) for r in insights.segment_sizes(_final(spark, rows)).collect()]
     assert got == [("Cluster", "0", 3), ("Cluster", "1", 2), ("Cluster", "2", 2), ("Segment", "C", 3), ("Segment", "A", 2), ("Segment", "B", 2)]
     assert [r.Segment for r in insights.segment_insights(_final(spark, rows)).collect()] == ["A", "B", "C"]
+
+
+def test_segment_contribution_shares_are_exact(spark):
+    rows = [("A", Decimal("10.0000")), ("A", Decimal("0.0050")), ("B", Decimal("20.0100")), (None, Decimal("0.0000"))]
+    final = spark.createDataFrame(rows, "Segment string, Monetary decimal(12,4)")
+    got = {r.Segment: tuple(r)[1:] for r in insights.segment_contribution(final).collect()}
+    assert got == {"A": (2, Decimal("10.0050"), 0.5, 0.3333, 5.0), "B": (1, Decimal("20.0100"), 0.25, 0.6667, 20.01),
+                   None: (1, Decimal("0.0000"), 0.25, 0.0, 0.0)}
+    assert insights.segment_contribution(final.limit(0)).count() == 0

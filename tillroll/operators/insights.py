@@ -114,6 +114,19 @@ def segment_sizes(final: DataFrame) -> DataFrame:
     )
 
 
+def segment_contribution(final: DataFrame) -> DataFrame:
+    """Customers and revenue of each segment, their shares of all (exact, four places) and the revenue per customer.
+    The totals are a window over the segments, at most 27 rows."""
+    per = final.groupBy("Segment").agg(F.count(F.lit(1)).alias("Customers"), F.sum("Monetary").alias("Revenue"))
+    whole = Window.partitionBy(F.lit(1))
+    totals = per.withColumns({"AllCustomers": F.sum("Customers").over(whole), "AllRevenue": F.sum("Revenue").over(whole)})
+    scaled = f"cast({{}} * {10 ** MONEY_SCALE} as decimal(32,0))"
+    return totals.select(
+        "Segment", "Customers", "Revenue", round_ratio("Customers", "AllCustomers", 4).alias("CustomerShare"),
+        round_ratio(scaled.format("Revenue"), scaled.format("AllRevenue"), 4).alias("RevenueShare"),
+        round_ratio("Revenue", "Customers", 2, num_scale=MONEY_SCALE).alias("RevenuePerCustomer"))
+
+
 def segment_ranking(insights: DataFrame) -> DataFrame:
     """Segments ranked by each of six metrics (1 = highest value, ties
     by segment name), one long table (Metric, Segment, Value, Rank)."""

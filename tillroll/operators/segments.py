@@ -280,20 +280,31 @@ def attach_segments(segmented: DataFrame, labels: DataFrame, cluster_col: str =
 
 # ---------------------------------------------------------------- end to end
 
-def enhanced_segmentation(customers: DataFrame, ks=range(2, 11), n_init: int = 10, seed: int = 42,
-                          max_iter: int = 300, tol: float = 1e-4):
-    """Features -> scale -> sweep k -> assign -> label.
+def k_selection(customers: DataFrame, ks=range(2, 11), n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+    """The sweep's table alone (silhouette and inertia of each k, the chosen one marked), without assigning anyone."""
+    vectors, sweep, _scaled = _sweep(customers, ks, n_init, seed, max_iter, tol)
+    return k_selection_frame(vectors.sparkSession, sweep)
 
-    Returns ``(segmented, labels, k_selection)``. The assigned customers are
-    written once; labels and everything after read that table.
-    """
+
+def _sweep(customers: DataFrame, ks, n_init: int, seed: int, max_iter: int, tol: float) -> tuple[DataFrame, SweepResult, list]:
+    """The scaled vectors (written), the sweep over them, and the scaling as expressions on the customer rows."""
     feats = feature_columns(customers)
     names = list(CLUSTER_FEATURES)
     mus, sds, var = scaling_constants(feats, names)
     vectors = _materialize(feats.select("CustomerID", *scaled_columns(names, mus, sds)), "vectors")
     sweep = kmeans_sweep(vectors, names, ks, n_init, seed, max_iter, tol, var)
     # the same expressions (and constants) as the sweep's input, on the customer rows
-    scaled = [(feature_expr(n) - F.lit(mu)) / F.lit(sd) for n, mu, sd in zip(names, mus, sds)]
+    return vectors, sweep, [(feature_expr(n) - F.lit(mu)) / F.lit(sd) for n, mu, sd in zip(names, mus, sds)]
+
+
+def enhanced_segmentation(customers: DataFrame, ks=range(2, 11), n_init: int = 10, seed: int = 42,
+                          max_iter: int = 300, tol: float = 1e-4):
+    """Features -> scale -> sweep k -> assign -> label.
+
+    Returns ``(segmented, labels, k_selection)``. The assigned customers are
+    written once; labels and everything after read that table.
+    """
+    _vectors, sweep, scaled = _sweep(customers, ks, n_init, seed, max_iter, tol)
     clustered = _materialize(assign_clusters(customers, sweep.centers, scaled), "clustered")
     labels = label_clusters(clustered)
     segmented = attach_segments(clustered, labels)

@@ -153,6 +153,10 @@ def q_segment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.segment_sizes(standin_final(spark, sf_dir))
 
 
+def q_segment_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decimals_to_double(insights.segment_contribution(standin_final(spark, sf_dir)))
+
+
 def q_segment_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.segment_ranking(_insights(spark, sf_dir))
 
@@ -297,8 +301,7 @@ def q_kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_k_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _seg, _labels, curve = _kmeans(spark, sf_dir)
-    return curve
+    return segments.k_selection(_features(spark, sf_dir))
 
 
 def q_pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "cluster_profile": q_cluster_profile,
     "segment_sizes": q_segment_sizes,
     "segment_ranking": q_segment_ranking,
+    "segment_contribution": q_segment_contribution,
     "headline_kpis": q_headline_kpis,
     "customer_sample": q_customer_sample,
     "dashboard_text": q_dashboard_text,

@@ -297,6 +297,13 @@ SELECT 'Cluster' AS Level, CAST(Cluster AS VARCHAR) AS Name, COUNT(*) AS Custome
 UNION ALL
 SELECT 'Segment' AS Level, Segment AS Name, COUNT(*) AS CustomerCount FROM final GROUP BY Segment""")
 
+SEGMENT_CONTRIBUTION = _with(SEGMENTED + """,
+sums AS (SELECT Segment, COUNT(*) AS Customers, SUM(MonetaryDec) AS Revenue FROM final GROUP BY Segment),
+alls AS (SELECT SUM(Customers) AS c, SUM(Revenue) AS r FROM sums)""", f"""
+SELECT Segment, Customers, CAST(Revenue AS DOUBLE) AS Revenue, {rr('Customers', 'c', 4)} AS CustomerShare,
+       {rr('Revenue * 10000', 'r * 10000', 4)} AS RevenueShare, {rr('Revenue', 'Customers', 2, HALF_UP, 4)} AS RevenuePerCustomer
+FROM sums CROSS JOIN alls""")
+
 _RANKED = ["Monetary", "Frequency", "PredictedQuarterlyValue", "GrowthPotentialScore",
            "AvgOrderValue", "ProductDiversity"]
 
@@ -781,6 +788,7 @@ ORACLES: dict[str, str] = {
     "cluster_profile": CLUSTER_PROFILE,
     "segment_sizes": SEGMENT_SIZES,
     "segment_ranking": SEGMENT_RANKING,
+    "segment_contribution": SEGMENT_CONTRIBUTION,
     "headline_kpis": HEADLINE_KPIS,
     "customer_sample": CUSTOMER_SAMPLE,
     "csv_quarantine": CSV_QUARANTINE,
