@@ -78,19 +78,19 @@ def in_this_process(rows, shard_bytes=lm_bloom.SHARD_BYTES, spark=None):
     counts = counts.sort_by("key")
     segs = [b.to_pylist()[0] for b in lm_bloom._build_rows(bits)(iter(counts.to_batches(max_chunksize=50)))]
     by = {s["seg"]: s for s in segs}
-    total, words, once, twice = (sum(s[k] for s in segs) for k in ("tokens", "words", "once", "twice"))
+    total, distinct, once, twice = (sum(s[k] for s in segs) for k in ("tokens", "words", "once", "twice"))
     d = once / (once + 2 * twice) if once and twice else 0.5
     def part(what, a, b):
         own = [by.get(i, {f"{what}_n": 0, f"{what}_bits": b""}) for i in range(a, b)]
         return lm_bloom.Filter(bits, a, [x[f"{what}_n"] for x in own], [len(x[f"{what}_bits"]) for x in own], b"".join(x[f"{what}_bits"] for x in own))
 
-    sums = None
+    words, pairs = [], []
     for a, b in ((0, 5), (5, 16)):
         keys = np.frombuffer(b"".join(by[i]["word_keys"] for i in range(a, b) if i in by), np.uint64)
         c = np.frombuffer(b"".join(by[i]["word_counts"] for i in range(a, b) if i in by), np.int64)
-        shard = lm_bloom.Shard(bits, a, b, part("word", 0, 16), part("pair", a, b), keys, c, total, words, d, 0.4)
-        got = np.array(shard.score([t or "" for _, t in rows]))
-        sums = got if sums is None else np.vstack([got[:1], sums[1:] + got[1:]])
+        words.append(lm_bloom.Words(bits, a, b, part("word", a, b), keys, c))
+        pairs.append(lm_bloom.Pairs(bits, a, b, part("pair", a, b)))
+    sums = lm_bloom.score_texts([t or "" for _, t in rows], lm_bloom.Totals(total, distinct, d, 0.4), iter(words), iter(pairs))
     return [(doc, doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2, int(n), int(k), total, b, s)
             for (doc, _), n, k, b, s in zip(rows, *sums)]
 
@@ -146,11 +146,26 @@ def test_edge_cases_and_shards(spark):
     rows = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
     one = sorted((tuple(r) for r in lm_bloom.score_documents(df).collect()), key=str)
     assert [g[:5] for g in one] == [w[:5] for w in sorted(slow_scores(rows), key=str)]
-    many = sorted((tuple(r) for r in lm_bloom.score_documents(df, shard_bytes=150).collect()), key=str)
+    many = sorted((tuple(r) for r in lm_bloom.score_documents(df, shard_bytes=150, group_chars=500).collect()), key=str)
     assert [g[:5] for g in one] == [g[:5] for g in many]
     assert np.allclose([g[5:] for g in one], [g[5:] for g in many])
     assert lm_bloom.score_documents(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        lm_bloom.score_documents(df, word_filter_bytes=1)
     none = lm_bloom.score_documents(df.where("doc_id = 2")).collect()
     assert len(none) == 1
+
+
+def test_texts_are_passed_once_whatever_the_shards(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(d, t) for d, t in ROWS], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    scans = []
+    keep = lm_bloom.materialize
+
+    def written(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        return keep(df, name)
+
+    monkeypatch.setattr(lm_bloom, "materialize", written)
+    for size in (lm_bloom.SHARD_BYTES, 100):
+        scans.clear()
+        df = lm_bloom.score_documents(spark.read.parquet(str(tmp_path / "docs")), shard_bytes=size)
+        assert scans == [1] and df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # counted once, scored once
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

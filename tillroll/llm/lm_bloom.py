@@ -14,10 +14,10 @@ discounts leave; a pair counts only if both its words are known (their
 counts bound the pair's). Quantised counts are the lowest of their class
 above the line and the highest below it, so no context gives more than 1 in all.
 
-Broadcast bound: segments are dealt to shards of at most ``shard_bytes`` of
-pair filter and exact word counts; each shard is broadcast by itself and a
-pass over the texts adds what its keys give. The word filter (about two bytes
-a distinct word) goes with every shard and is bounded by ``word_filter_bytes``: beyond it the job stops with an error.
+Broadcast bound: segments are dealt to shards of at most ``shard_bytes``, of words (filter and exact counts) and of
+pairs (filter); each is broadcast by itself, and the driver holds one at a time. The texts are passed
+once, whatever the number of shards: a task takes them in groups of ``GROUP_CHARS``, cuts a group into words once
+and then goes through the shards, of which it holds one at a time.
 
 Exact counts: ``base_score`` uses the exact word counts, which lie beside the
 filter, by the 63-bit hash of the word.
@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm._common import id_and_text, text_chunks
+from tillroll.llm._common import id_and_text, one_by_one, text_chunks
 from tillroll.session import materialize
 
 MIX = 0.4
@@ -48,7 +47,9 @@ PROBES = 7
 BITS_PER_KEY = 10.1  # PROBES / ln 2
 #: Keys that a segment has room for, about; and count rows that a task holds before it passes them on.
 SEGMENT_KEYS, HELD_KEYS = 1 << 16, 1_500_000
-SHARD_BYTES, WORD_FILTER_BYTES = 96 << 20, 512 << 20
+SHARD_BYTES = 96 << 20
+#: Characters that a task scores together; with several shards, each is loaded once for so many.
+GROUP_CHARS = 4_000_000
 #: Class q of the quantised counts is [EDGES[q - 1], EDGES[q]): one by one, then by steps of a half.
 EDGES = [1]
 while EDGES[-1] < 1 << 60:
@@ -103,6 +104,19 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cur, left, sizes
 
 
+def group_tokens(texts: list[str], chars: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`tokens` of many texts, about ``chars`` characters at a time: what cutting takes besides is several times the text."""
+    parts, held, n = [], [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n > chars:
+            parts.append(tokens(held))
+            held, n = [], 0
+    parts.append(tokens(held))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def pair_keys(before: np.ndarray, cur: np.ndarray) -> np.ndarray:
     return _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(cur)) | np.uint64(1)
 
@@ -236,52 +250,72 @@ def _build_rows(bits: int):
     return run
 
 
-class Shard:
-    """What a pass over the texts needs: the word filter, and this shard's pairs and exact word counts."""
-
-    def __init__(self, bits: int, first: int, last: int, word_filter: Filter, pair_filter: Filter, word_keys: np.ndarray,
-                 word_counts: np.ndarray, total: int, words: int, discount: float, mix: float):
-        self.bits, self.first, self.last = bits, first, last
-        self.word_filter, self.pair_filter = word_filter, pair_filter
-        self.word_keys, self.word_counts = word_keys, word_counts
-        self.total, self.words, self.discount, self.mix = total, words, discount, mix
-
-    def score(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text: tokens; and from this shard's words and pairs: known tokens, base score, score."""
-        cur, before, sizes = tokens(texts)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        add = lambda which, x: np.bincount(doc[which], weights=x, minlength=len(sizes))
-        word, at = np.unique(cur, return_inverse=True)
-        # exact counts of the words of this shard
-        i = np.minimum(np.searchsorted(self.word_keys, word), max(0, len(self.word_keys) - 1))
-        c = np.where(self.word_keys[i] == word, self.word_counts[i], 0) if len(self.word_keys) else np.zeros(len(word), np.int64)
+class Words:
+    """The words of the segments ``first`` to ``last``: their filter and exact counts."""
+
+    def __init__(self, bits: int, first: int, last: int, counts: Filter, keys: np.ndarray, exact: np.ndarray):
+        self.bits, self.first, self.last, self.filter, self.keys, self.exact = bits, first, last, counts, keys, exact
+
+    def look_up(self, word: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> None:
+        """Sets quantised and exact counts of the words that are in these segments."""
         seg = _segment(word, self.bits)
-        own = ((seg >= self.first) & (seg < self.last))[at]
-        base = np.log10((c + 1) / (self.total + self.words + 1))
-        known, base = add(own, (c > 0)[at][own].astype(float)), add(own, base[at][own])
-        # the model, by probes
-        q = self.word_filter.classes(word)
-        low = np.concatenate([[0], EDGES])[q]
-        single = np.where(q > 0, low - self.discount, self.discount * self.words) / self.total if self.total else np.ones(len(word))
-        pair = pair_keys(before, cur)
+        own = np.flatnonzero((seg >= self.first) & (seg < self.last))
+        classes[own] = self.filter.classes(word[own])
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, word[own]), len(self.keys) - 1)
+            counts[own] = np.where(self.keys[i] == word[own], self.exact[i], 0)
+
+
+class Pairs:
+    """The pairs of the segments ``first`` to ``last``."""
+
+    def __init__(self, bits: int, first: int, last: int, counts: Filter):
+        self.bits, self.first, self.last, self.filter = bits, first, last, counts
+
+    def look_up(self, pair: np.ndarray, classes: np.ndarray) -> None:
         seg = _segment(pair, self.bits)
         own = np.flatnonzero((seg >= self.first) & (seg < self.last))
-        left = np.empty_like(at)
-        left[1:] = at[:-1]
-        left[np.cumsum(sizes) - sizes] = np.searchsorted(word, END)  # a text's start is as frequent as its end
-        w, h = at[own], left[own]
-        together = np.zeros(len(own))
-        both = np.flatnonzero((q[w] > 0) & (q[h] > 0))
-        if len(both):
-            qp = np.minimum(self.pair_filter.classes(pair[own[both]]), np.minimum(q[w], q[h])[both])
-            together[both] = np.concatenate([[0], EDGES])[qp] / (EDGES[q[h][both]] - 1)
-        p = np.log10(self.mix * together + (1 - self.mix) * single[w]) if self.total else np.zeros(len(own))
-        return [sizes, known, base, add(own, p)]
-
-
-def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, word_filter_bytes: int = WORD_FILTER_BYTES,
-          mix: float = MIX) -> Iterator[Shard]:
-    """Counts the ``text`` column and yields the shards one by one."""
+        classes[own] = self.filter.classes(pair[own])
+
+
+class Totals:
+    """Tokens and distinct words learned from, the discount, the weight of pairs."""
+
+    def __init__(self, tokens: int, words: int, discount: float, mix: float):
+        self.tokens, self.words, self.discount, self.mix = tokens, words, discount, mix
+
+
+def score_texts(texts: list[str], totals: Totals, words: Iterator[Words], pairs: Iterator[Pairs]) -> list[np.ndarray]:
+    """For each text: tokens, known tokens, base score, score. The shards are taken one after the other."""
+    cur, before, sizes = group_tokens(texts)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    add = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
+    word, at = np.unique(cur, return_inverse=True)
+    q, c = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    for shard in words:
+        shard.look_up(word, q, c)
+    known, base = add((c > 0)[at].astype(float)), add(np.log10((c + 1) / (totals.tokens + totals.words + 1))[at])
+    if not totals.tokens:
+        return [sizes, known, base, np.zeros(len(sizes))]
+    # the model, by probes
+    low = np.concatenate([[0], EDGES])
+    single = np.where(q > 0, low[q] - totals.discount, totals.discount * totals.words) / totals.tokens
+    left = np.empty_like(at)
+    left[1:] = at[:-1]
+    left[np.cumsum(sizes) - sizes] = np.searchsorted(word, END)  # a text's start is as frequent as its end
+    both = np.flatnonzero((q[at] > 0) & (q[left] > 0))
+    pair, of = np.unique(pair_keys(before[both], cur[both]), return_inverse=True)
+    found = np.zeros(len(pair), np.int64)
+    for shard in pairs:
+        shard.look_up(pair, found)
+    w, h = at[both], left[both]
+    together = np.zeros(len(cur))
+    together[both] = low[np.minimum(found[of], np.minimum(q[w], q[h]))] / (EDGES[q[h]] - 1)
+    return [sizes, known, base, add(np.log10(totals.mix * together + (1 - totals.mix) * single[at]))]
+
+
+def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, mix: float = MIX) -> tuple[Totals, Iterator[Words], Iterator[Pairs]]:
+    """Counts the ``text`` column and gives the totals and the shards, which are fetched one by one."""
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     # about five characters a word, and a pair for each word
     bits = max(4, math.ceil(math.log2(max(1, chars / 3 / SEGMENT_KEYS))))
@@ -291,12 +325,8 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, word_filter_bytes: i
         .repartition(F.shiftrightunsigned("key", 64 - bits)).sortWithinPartitions("key")
         .mapInArrow(_build_rows(bits), SEGMENT), "ngram-segments")
     size = lambda *c: sum((F.sum(F.length(x)) for x in c[1:]), F.sum(F.length(c[0])))
-    s = segments.agg(F.sum("tokens"), F.sum("words"), F.sum("once"), F.sum("twice"), size("word_bits"),
-                     size("word_keys", "word_counts", "pair_bits")).first()
-    total, words, once, twice, word_bytes, other_bytes = (x or 0 for x in s)
-    if word_bytes > word_filter_bytes:
-        raise ValueError(f"the word filter takes {word_bytes} bytes; word_filter_bytes allows {word_filter_bytes}")
-    discount = once / (once + 2 * twice) if once and twice else 0.5
+    s = segments.agg(F.sum("tokens"), F.sum("words"), F.sum("once"), F.sum("twice"), size("word_keys", "word_counts", "word_bits"), size("pair_bits")).first()
+    total, distinct, once, twice, word_bytes, pair_bytes = (x or 0 for x in s)
     n = 1 << bits
 
     def fetch(first: int, last: int, *columns: str) -> pa.Table:
@@ -307,7 +337,7 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, word_filter_bytes: i
         """The bytes of all rows, one after the other."""
         return b"".join(x.as_buffer() for x in column)
 
-    def parts(what: str, first: int, last: int) -> Filter:
+    def counts(what: str, first: int, last: int) -> Filter:
         rows = fetch(first, last, f"{what}_n", f"{what}_bits")
         n, size = np.zeros(last - first, np.uint64), np.zeros(last - first, np.uint64)
         at = rows.column("seg").to_numpy() - first
@@ -315,47 +345,45 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, word_filter_bytes: i
         size[at] = pc.binary_length(rows.column(f"{what}_bits")).to_numpy()
         return Filter(bits, first, n, size, joined(rows.column(f"{what}_bits")))
 
-    word_filter = parts("word", 0, n)
-    shards = min(n, max(1, math.ceil(other_bytes / shard_bytes)))
-    for i in range(shards):
-        first, last = n * i // shards, n * (i + 1) // shards
-        rows = fetch(first, last, "word_keys", "word_counts")
-        keys = np.frombuffer(joined(rows.column("word_keys")), np.uint64)
-        counts = np.frombuffer(joined(rows.column("word_counts")), np.int64)
-        if len(counts) and counts.max() < 1 << 32:
-            counts = counts.astype(np.uint32)
-        del rows
-        yield Shard(bits, first, last, word_filter, parts("pair", first, last), keys, counts, total, words, discount, mix)
+    def ranges(size: int) -> list[tuple[int, int]]:
+        shards = min(n, max(1, math.ceil(size / shard_bytes)))
+        return [(n * i // shards, n * (i + 1) // shards) for i in range(shards)]
+
+    def words() -> Iterator[Words]:
+        for first, last in ranges(word_bytes):
+            rows = fetch(first, last, "word_keys", "word_counts")
+            keys = np.frombuffer(joined(rows.column("word_keys")), np.uint64)
+            exact = np.frombuffer(joined(rows.column("word_counts")), np.int64)
+            if len(exact) and exact.max() < 1 << 32:
+                exact = exact.astype(np.uint32)
+            del rows
+            yield Words(bits, first, last, counts("word", first, last), keys, exact)
+
+    def pairs() -> Iterator[Pairs]:
+        for first, last in ranges(pair_bytes):
+            yield Pairs(bits, first, last, counts("pair", first, last))
+
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    return Totals(total, distinct, discount, mix), words(), pairs()
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2,
-                    shard_bytes: int = SHARD_BYTES, word_filter_bytes: int = WORD_FILTER_BYTES, mix: float = MIX) -> DataFrame:
+                    shard_bytes: int = SHARD_BYTES, mix: float = MIX, group_chars: int = GROUP_CHARS) -> DataFrame:
     """One row per row of ``docs``, by a model of the rows whose crc32(id as text) mod ``folds`` is not ``held_fold``:
     ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    spark, slim = docs.sparkSession, id_and_text(docs, id_col, text_col)
+    context, slim = docs.sparkSession.sparkContext, id_and_text(docs, id_col, text_col)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
-    rows = slim.withColumn("text_hash", F.xxhash64("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, n long, known double, base double, score double"
-    parts, total = [], 0
-    for i, shard in enumerate(train(slim.where(~held).select("text"), shard_bytes, word_filter_bytes, mix)):
-        sent, total = spark.sparkContext.broadcast(shard), shard.total
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in text_chunks(batches):
-                got = sent.value.score(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *map(pa.array, got)],
-                                                 ["doc_id", "text_hash", "n", "known", "base", "score"])
-
-        # the pass of a shard ends, and its data go, before the next one is fetched
-        parts.append(materialize(rows.mapInArrow(run, schema).withColumn("shard", F.lit(i)), "scores"))
-        sent.destroy()
-        del shard, sent, run
-    one = (reduce(DataFrame.unionAll, parts).groupBy("doc_id", "text_hash", "shard")
-           .agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "known", "base", "score")]))
-    out = one.groupBy("doc_id", "text_hash").agg(
-        F.first("copies").cast("int").alias("copies"), F.first("n").alias("n_tokens"), F.sum("known").cast("long").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    # equal rows give a row each
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
-        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    totals, words, pairs = train(slim.where(~held).select("text"), shard_bytes, mix)
+    # a shard is on its way before the next one is fetched
+    sent_words, sent_pairs = [context.broadcast(x) for x in words], [context.broadcast(x) for x in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, chars=group_chars):
+            n, known, base, score = score_texts(b.column("text").to_pylist(), totals, one_by_one(sent_words), one_by_one(sent_pairs))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
