@@ -190,27 +190,27 @@ def value_growth(orders: DataFrame) -> DataFrame:
     Orders and spend are series over the whole calendar from the customer's
     first month to the last of the data, empty months as 0; the order value has
     a value only where there are orders. The slopes come from sums that merge
-    (n, Σx, Σx², Σy, Σxy). An empty month adds only to the sums of x, which are known from
+    (n, Σx, Σx², Σy, Σxy), one aggregate a customer. An empty month adds only to the sums of x, which are known from
     n, so the filled series (:func:`calendar_series`) is never built.
     """
     monthly = materialize(monthly_orders(orders), "monthly-orders")
     last = monthly.agg(F.max("Month").alias("LastMonth"))
-    first = monthly.groupBy("CustomerID").agg(F.min("Month").alias("First"))
-    exact = "decimal(38,6)"
-    x, value = F.col("Month") - F.col("First"), (F.col("Spend").cast("double") / F.col("Orders")).cast("decimal(20,6)")
-    rows = monthly.join(first, "CustomerID").select("CustomerID", "First", x.cast("long").alias("x"), "Orders", "Spend", value.alias("Value"))
-    sums = rows.groupBy("CustomerID", "First").agg(
-        F.count(F.lit(1)).alias("ActiveMonths"), F.sum("x").alias("ax"), F.sum(F.col("x") * F.col("x")).alias("axx"),
-        *[F.sum(c).cast(exact).alias(f"{c}_y") for c in ("Orders", "Spend", "Value")],
-        *[F.sum(F.col(c) * F.col("x")).cast(exact).alias(f"{c}_xy") for c in ("Orders", "Spend", "Value")])
-    n = F.col("Months")
-    sx, sxx = (n * (n - 1) / 2).cast("decimal(18,0)"), (n * (n - 1) * (2 * n - 1) / 6).cast("decimal(18,0)")
-    n_exact = n.cast("decimal(9,0)")
-    trend = lambda c: _slope(n_exact, sx, sxx, F.col(f"{c}_y").cast("decimal(24,6)"), F.col(f"{c}_xy").cast("decimal(26,6)"))
-    value_trend = _slope(F.col("ActiveMonths").cast("decimal(9,0)"), F.col("ax").cast("decimal(18,0)"), F.col("axx").cast("decimal(18,0)"),
-                         F.col("Value_y").cast("decimal(24,6)"), F.col("Value_xy").cast("decimal(26,6)"))
-    return sums.crossJoin(F.broadcast(last)).withColumn("Months", (F.col("LastMonth") - F.col("First") + 1).cast("long")).select(
-        "CustomerID", month_name(F.col("First")).alias("FirstMonth"), "Months", "ActiveMonths", F.col("Orders_y").cast("long").alias("Orders"),
+    exact, month = "decimal(38,6)", F.col("Month").cast("long")
+    series = {"Orders": F.col("Orders"), "Spend": F.col("Spend"), "Value": (F.col("Spend").cast("double") / F.col("Orders")).cast("decimal(20,6)")}
+    sums = monthly.groupBy("CustomerID").agg(
+        F.min(month).alias("First"), F.count(F.lit(1)).alias("ActiveMonths"), F.sum(month).alias("m"), F.sum(month * month).alias("mm"),
+        *[F.sum(y).cast(exact).alias(f"{c}_y") for c, y in series.items()], *[F.sum(y * month).cast(exact).alias(f"{c}_my") for c, y in series.items()])
+    # the sums count months from year 0; from here on x counts them from the customer's first
+    n, active, first = F.col("Months"), F.col("ActiveMonths"), F.col("First")
+    whole = lambda c: c.cast("decimal(18,0)")
+    y = lambda c: F.col(f"{c}_y").cast("decimal(24,6)")
+    xy = lambda c: (F.col(f"{c}_my") - first.cast("decimal(9,0)") * F.col(f"{c}_y").cast("decimal(27,6)")).cast("decimal(26,6)")
+    sx, sxx = whole(n * (n - 1) / 2), whole(n * (n - 1) * (2 * n - 1) / 6)
+    ax, axx = whole(F.col("m") - active * first), whole(F.col("mm") - 2 * first * F.col("m") + active * first * first)
+    trend = lambda c: _slope(n.cast("decimal(9,0)"), sx, sxx, y(c), xy(c))
+    value_trend = _slope(active.cast("decimal(9,0)"), ax, axx, y("Value"), xy("Value"))
+    return sums.crossJoin(F.broadcast(last)).withColumn("Months", (F.col("LastMonth") - first + 1).cast("long")).select(
+        "CustomerID", month_name(first).alias("FirstMonth"), "Months", "ActiveMonths", F.col("Orders_y").cast("long").alias("Orders"),
         trend("Orders").alias("FrequencyGrowth"), trend("Spend").alias("SpendGrowth"), value_trend.alias("OrderValueGrowth"))
 
 
