@@ -47,7 +47,7 @@ PROBES = 7
 BITS_PER_KEY = 10.1  # PROBES / ln 2
 #: Keys that a segment has room for, about; and count rows that a task holds before it passes them on.
 SEGMENT_KEYS, HELD_KEYS = 1 << 16, 1_500_000
-SHARD_BYTES = 96 << 20
+SHARD_BYTES = 48 << 20
 #: Characters that a task scores together; with several shards, each is loaded once for so many.
 GROUP_CHARS = 4_000_000
 #: Class q of the quantised counts is [EDGES[q - 1], EDGES[q]): one by one, then by steps of a half.
