@@ -36,7 +36,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm._common import pack, unpack
@@ -465,10 +465,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def _first(rows: DataFrame, by: str, order: list, n: int) -> DataFrame:
-    """The first ``n`` rows of each group with their ``rank``: those of a group's parts first, so no task sorts a whole group."""
-    part = F.pmod(F.xxhash64("phrase"), F.lit(256))
-    some = rows.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy(by, "part").orderBy(*order))).where(F.col("place") <= n)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+    """The first ``n`` rows of each group with their ``rank``. All rows are sorted over all partitions and numbered there, so
+    no task has a whole group: the rank is the distance from the group's first number."""
+    numbered = _numbered(rows.orderBy(by, *order), "ranked-phrases")
+    start = numbered.groupBy(F.col(by).alias("group")).agg(F.min("sid").alias("start"))
+    ranked = numbered.join(start, F.col(by) == F.col("group")).withColumn("rank", F.col("sid") - F.col("start") + 1)
+    return ranked.where(F.col("rank") <= n)
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, longest: int = 5,
