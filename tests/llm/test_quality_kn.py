@@ -161,3 +161,33 @@ def test_edge_cases(spark):
     assert 102 not in ids and all(i in ids for i in range(60))
     assert quality_kn.reject_low_quality(df.limit(0), labels).count() == 0
     assert quality_kn.reject_low_quality(df, labels.limit(0)).count() == len(rows)
+
+
+def test_all_trusted_rows_and_whole_texts_are_learned_from(spark):
+    texts = {i: chr(0x4E00 + i) + "ab" for i in range(6500)} | {7000: "long " * 7000}  # more rows, and a longer text, than a sample once held
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int")
+    held = {r.doc_id: r.held for r in labels.select(
+        "doc_id", (F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(2)) == 0).alias("held")).collect()}
+    assert not held[7000]
+    score = slow_model([t for i, t in texts.items() if not held[i]])
+    middle, low, high = slow_limits(score, [("en", t) for i, t in texts.items() if held[i]])("en")
+    scored, own = quality_kn.score_documents(docs, labels, holdout=2)
+    got = {r.doc_id: r for r in scored.collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        logp, n = score(t)
+        want = [math.exp(-logp / n), (-logp / n - middle) * math.sqrt(min(n, quality_kn.STEADY)), low, high]
+        assert np.allclose([got[i][own[c]] for c in ("perplexity", "deviation", "lowest", "highest")], want, rtol=1e-6, atol=1e-9)
+
+
+def test_quantiles_over_partitions_are_those_of_percentile(spark):
+    rows = spark.range(0, 5000, 1, 7).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 4990, "b").otherwise("c").alias("key"),
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("x"), F.xxhash64("id").alias("order"))
+    at = {"low": 0.002, "mid": 0.5, "high": 0.998}
+    got = {r.key: r for r in quality_kn._quantiles(rows, "x", at).collect()}
+    want = rows.groupBy("key").agg(*[F.percentile("x", F.lit(q)).alias(n) for n, q in at.items()]).collect()
+    assert len(got) == len(want) == 3
+    for r in want:
+        assert np.allclose([got[r.key][n] for n in at], [r[n] for n in at], rtol=1e-12)

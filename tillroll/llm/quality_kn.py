@@ -3,16 +3,15 @@
 The model is a character 4-gram model of trusted text (labelled good and not
 toxic), over all code points: there is no alphabet. Counts, continuation counts
 and context totals are Spark aggregates; the interpolated probabilities are joins of
-these count tables, order by order, sharded by context and character. The sample of trusted
-rows is bounded by ``max_trusted`` (the rows with the smallest hash of their id)
-and ``max_chars`` (longer texts are not learned from), and so are the tables: at most one n-gram a character.
+these count tables, order by order, sharded by context and character. All trusted
+rows take part, with their whole texts.
 
 The finished tables are dealt to shards of ``SHARD_GRAMS`` n-grams by a hash of the
 n-gram, each an open hash table that a task builds. Documents stay where they are: their n-grams
 are looked up shard by shard and the logarithms summed per document, so no
-document's n-grams (several times its text) are shuffled.
+document's n-grams (several times its text) are shuffled. A task holds one of several shards at a time.
 
-One in ``holdout`` of the sample is not learned from and gives the limits. Junk
+One in ``holdout`` of the trusted ids is not learned from and gives the limits, by exact quantiles from a sort over all partitions. Junk
 is off in both directions: marks are surprising, one word over and over is
 not surprising enough (or too much, always alike). A text's logarithm of perplexity is taken as its
 distance from the language's median, in units that shrink with the square root of
@@ -37,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm._common import free_name
+from tillroll.functions.numbering import dense_numbers
+from tillroll.llm._common import free_name, one_by_one, text_chunks, with_ids_of
 from tillroll.session import materialize
 
 ORDER = 4
 #: Marks beside the code points; a character takes 21 bits of a context.
 START, END, CODES, BITS = 0x110000, 0x110001, 0x110000, 21
-MAX_TRUSTED, MAX_CHARS = 6000, 30_000
+#: The longest text that Spark holds: none is left out.
+MAX_CHARS = (1 << 31) - 1
 SHARD_GRAMS = 4_000_000
 STEADY = 1024
 #: A task scores about so many characters at a time.
@@ -54,17 +55,17 @@ def _text(docs: DataFrame, text_col: str):
     return F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   lang_col: str = "lang", max_trusted: int = MAX_TRUSTED, holdout: int = 3,
-                   max_chars: int = MAX_CHARS) -> DataFrame:
-    """``text``, ``lang`` and ``held`` of at most ``max_trusted`` trusted ids, by the hash of the id; longer texts are left out."""
-    good = (labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 lang_col: str = "lang", holdout: int = 3) -> DataFrame:
+    """``text``, ``lang``, ``held`` and ``order`` (a hash of the id) of all rows with a trusted id. A bitmap of the trusted ids keeps
+    most other rows out of the join, whose plan does not depend on the number of labels: the texts that it shuffles grow with the trusted ones."""
+    good = materialize(labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
             .where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")
-            .select(F.col("doc_id").alias("trusted_id"), F.xxhash64("doc_id").alias("order"))
-            .orderBy("order", "trusted_id").limit(max_trusted))
+            .select(F.col("doc_id").alias("trusted_id"), F.xxhash64("doc_id").alias("order")), "trusted-ids")
     rows = docs.select(docs[id_col].alias("doc_id"), _text(docs, text_col).alias("text"), docs[lang_col].alias("lang"))
-    return rows.where(F.length("text") <= max_chars).join(F.broadcast(good), rows.doc_id == good.trusted_id).select(
-        "text", "lang", (F.pmod(F.xxhash64("order"), F.lit(holdout)) == 0).alias("held"))
+    rows = with_ids_of(rows, "doc_id", good.select(F.col("trusted_id").cast(rows.schema["doc_id"].dataType).alias("id")), "id")
+    return rows.join(good.hint("merge"), rows.doc_id == good.trusted_id).select(
+        "text", "lang", (F.pmod(F.xxhash64("order"), F.lit(holdout)) == 0).alias("held"), "order")
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,19 +136,25 @@ class Table:
 
 
 class Model:
-    """Shards of probabilities of seen n-grams and weights of seen contexts."""
+    """Shards of probabilities of seen n-grams and weights of seen contexts, as broadcasts (None: nothing in it)."""
 
-    def __init__(self, shards: list[Table]):
-        self.shards = shards
+    def __init__(self, sent: list):
+        self.shards = sent
+        self.table = self._load(sent[0].value if sent[0] is not None else None) if len(sent) == 1 else None
+
+    @staticmethod
+    def _load(value: tuple | None) -> Table:
+        return Table(*value) if value is not None else Table(np.zeros(1, np.uint64), np.zeros(1))
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        if len(self.shards) == 1:
-            return self.shards[0].get(keys)
+        if self.table is not None:
+            return self.table.get(keys)
         out = np.full(len(keys), np.nan)
         of = _shard(keys, len(self.shards))
-        for i, table in enumerate(self.shards):
-            mine = of == i
-            out[mine] = table.get(keys[mine])
+        some = [i for i, b in enumerate(self.shards) if b is not None]
+        for i, value in zip(some, one_by_one([self.shards[i] for i in some])):
+            mine = np.flatnonzero(of == i)
+            out[mine] = self._load(value).get(keys[mine])
         return out
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +164,14 @@ class Model:
             return np.zeros(0), np.zeros(0, np.int64)
         context, char = _grams(points)
         p, left = np.ones(len(char)), np.arange(len(char))
+        if self.table is None:  # all orders at once: each shard is loaded once for these texts
+            every = self.get(np.concatenate([_key(n, context, x) for n in range(ORDER, 0, -1) for x in (char, None)])).reshape(ORDER, 2, -1)
         for order in range(ORDER, 0, -1):
-            seen = self.get(_key(order, context[left], char[left]))
+            seen = self.get(_key(order, context[left], char[left])) if self.table is not None else every[ORDER - order, 0, left]
             known = ~np.isnan(seen)
             p[left[known]] *= seen[known]
             left = left[~known]
-            weight = self.get(_key(order, context[left], None))
+            weight = self.get(_key(order, context[left], None)) if self.table is not None else every[ORDER - order, 1, left]
             p[left] *= np.where(np.isnan(weight), 1.0, weight)  # an unseen context leaves all to the lower order
         p[left] /= CODES
         sizes = np.diff(first) - (ORDER - 1)
@@ -190,11 +199,12 @@ def _discounted(counts: DataFrame, d: list[float]) -> tuple[DataFrame, DataFrame
 
 
 def train(spark: SparkSession, sample: DataFrame, shard_grams: int = SHARD_GRAMS) -> list | None:
-    """Broadcast shards of the model of the rows of ``sample`` that are not held out; None if there are none."""
+    """Broadcast shards of the model of the rows of ``sample`` that are not held out; None if there are none.
+    The driver sees one shard after the other."""
     texts = sample.where("NOT held")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_chunks(batches):
             context, char = _grams(_points(b.column("text").to_pylist())[0])
             order = np.lexsort((char, context))
             context, char = context[order], char[order]
@@ -251,7 +261,7 @@ def train(spark: SparkSession, sample: DataFrame, shard_grams: int = SHARD_GRAMS
 
 
 def load(sent: list) -> Model:
-    return Model([Table(*b.value) if b is not None else Table(np.zeros(1, np.uint64), np.zeros(1)) for b in sent])
+    return Model(sent)
 
 
 def _scorer(sent: list):
@@ -274,14 +284,28 @@ def _scorer(sent: list):
     return score
 
 
+def _quantiles(rows: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """Per ``key`` of ``rows`` the named quantiles of ``value``, exactly as ``percentile`` interpolates them: by places in a sort over all
+    partitions, so that no task holds a group."""
+    placed = dense_numbers(rows.select("key", value, "order"), [F.col("key"), F.col(value), F.col("order")], "place")
+    whole = placed.groupBy("key").agg(F.min("place").alias("first"), (F.count(F.lit(1)) - 1).alias("last"))
+    place = {name: F.col("last") * F.lit(q) for name, q in at.items()}
+    value_at = lambda p: F.max(F.when(F.col("place") == F.col("first") + p, F.col(value)))
+    around = placed.join(F.broadcast(whole), "key").groupBy("key", "last").agg(
+        *[value_at(side(p)).alias(f"{name}_{n}") for name, p in place.items() for n, side in (("lo", F.floor), ("hi", F.ceil))])
+    return around.select("key", *[
+        F.when(F.floor(p) == F.ceil(p), F.col(f"{name}_lo")).otherwise(
+            (F.ceil(p) - p) * F.col(f"{name}_lo") + (p - F.floor(p)) * F.col(f"{name}_hi")).alias(name) for name, p in place.items()])
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     lang_col: str = "lang", quantile: float = 0.998, min_rows: int = 100,
-                    max_trusted: int = MAX_TRUSTED, holdout: int = 3) -> tuple[DataFrame, dict[str, str]]:
+                    holdout: int = 3) -> tuple[DataFrame, dict[str, str]]:
     """All rows and columns of ``docs`` with six more, whose names the mapping gives: ``n_tokens``, ``perplexity``,
     ``deviation``, ``lowest`` and ``highest`` (its limits) and ``keep`` (whether it lies between them)."""
     spark = docs.sparkSession
     own = {x: free_name(docs, x) for x in ("n_tokens", "perplexity", "deviation", "lowest", "highest", "keep", "scored", "middle")}
-    sample = materialize(trusted_sample(docs, labels, id_col, text_col, lang_col, max_trusted, holdout), "trusted")
+    sample = materialize(trusted_rows(docs, labels, id_col, text_col, lang_col, holdout), "trusted")
     sent = train(spark, sample)
     if sent is None:
         none = F.lit(None).cast("double")
@@ -292,14 +316,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def deviation(logp, n, middle):
         return (-logp / n - middle) * F.sqrt(F.least(n, F.lit(STEADY)).cast("double"))
 
-    held = materialize(sample.where("held").select("lang", score("text").alias("s")).select("lang", "s.logp", "s.n"), "held-out")
-    # one row a language of the bounded sample, and one for all
-    middle = F.percentile(-F.col("logp") / F.col("n"), F.lit(0.5)).alias("middle")
-    spread = [F.percentile(deviation(F.col("logp"), F.col("n"), F.col("middle")), F.lit(q)).alias(name)
-              for q, name in ((1 - quantile, "lowest"), (quantile, "highest"))]
-    langs = held.groupBy(F.col("lang").alias("limit_lang")).agg(middle, F.count("*").alias("rows")).where(F.col("rows") >= min_rows)
-    limits = held.join(F.broadcast(langs), F.col("lang").eqNullSafe(F.col("limit_lang"))).groupBy("limit_lang", "middle").agg(*spread)
-    overall = held.crossJoin(F.broadcast(held.agg(middle))).groupBy("middle").agg(*spread).first()
+    held = materialize(sample.where("held").select("lang", "order", score("text").alias("s")).select("lang", "order", "s.logp", "s.n"), "held-out")
+    # each language with rows enough has limits of its own, and all rows together have some
+    own_key = F.when(F.col("lang").isNull(), "none").otherwise(F.concat(F.lit("lang "), F.col("lang").cast("string")))
+    langs = materialize(held.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_rows).select(
+        F.col("lang").alias("limit_lang"), own_key.alias("key")), "languages")
+    grouped = held.join(F.broadcast(langs), F.col("lang").eqNullSafe(F.col("limit_lang"))).select("key", "order", "logp", "n").union(
+        held.select(F.lit("all").alias("key"), "order", "logp", "n"))
+    middle = materialize(_quantiles(grouped.withColumn("x", -F.col("logp") / F.col("n")), "x", {"middle": 0.5}), "middle")
+    off = grouped.join(F.broadcast(middle), "key").withColumn("off", deviation(F.col("logp"), F.col("n"), F.col("middle")))
+    limits = materialize(_quantiles(off, "off", {"lowest": 1 - quantile, "highest": quantile}).join(F.broadcast(middle), "key"), "limits")
+    overall = limits.where("key = 'all'").first()
+    limits = limits.join(F.broadcast(langs), "key").select("limit_lang", "middle", "lowest", "highest")
     names = {c: free_name(docs, c) for c in ("limit_lang", "middle", "lowest", "highest")}
     limits = limits.select(*[F.col(c).alias(n) for c, n in names.items()])
     out = docs.withColumn(own["scored"], score(_text(docs, text_col)))
