@@ -25,3 +25,12 @@ def test_configured_master_is_kept(tmp_path):
 
 def test_without_a_master_it_is_local():
     assert master(BENCH_CPUS="3") == "local[3]"
+
+
+def test_shuffle_partitions_stay_small_on_any_cluster():
+    from tillroll.session import cluster_sizing
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert cluster_sizing("yarn", 8000, set())[key] == "16m"  # of what a task reads, its sorts and tables take some 30 times
+    assert cluster_sizing("local-cluster[3,4,10240]", 12, set()) == {key: "16m"}
+    assert cluster_sizing("local-cluster[3,4,10240]", 12, {key}) == {}
