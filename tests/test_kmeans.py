@@ -235,3 +235,26 @@ def test_fewer_distinct_points_than_clusters(spark):
     df = spark.createDataFrame([(i, float(i % 2), 1.0, 0.0) for i in range(12)], "CustomerID long, a double, b double, c double").repartition(3)
     (model,) = kmeans.fit_many(df, COLS, [(4, 42)])
     assert model.inertia == 0 and sorted(c for c in model.counts if c) == [6, 6]
+
+
+def test_models_of_a_seed_share_their_draws(monkeypatch):
+    asked = []
+    centres = np.arange(70.0).reshape(10, 7)
+    monkeypatch.setattr(kmeans, "_seed_runs", lambda vectors, cols, specs, trials: asked.append((specs, trials)) or [centres[:k] for k, _s in specs])
+    got = kmeans._seed_many(None, [], [(k, s) for k in range(2, 11) for s in (1, 2)], None)
+    assert sorted(asked[0][0]) == [(2, 1), (2, 2), (7, 1), (7, 2), (10, 1), (10, 2)]  # one run a seed and number of trials
+    assert [len(c) for c in got] == [k for k in range(2, 11) for _ in (1, 2)]
+
+
+def test_sums_of_the_clusters_are_those_of_the_labels():
+    rng = np.random.default_rng(3)
+    X = np.concatenate([rng.normal(size=(4500, 3)), np.zeros((5, 3))])
+    twin = np.array([[1.0, 0, 0], [-1.0, 0, 0], [1.0, 0, 0]])  # equally near centres
+    layout = kmeans._Layout.of([rng.normal(size=(4, 3)), twin, rng.normal(size=(1, 3))])
+    labels, best, xx = layout.assign(X)
+    n, cost, q, s = layout.sums(X)
+    for m, (o, k) in enumerate(zip(layout.offsets, layout.ks)):
+        for j in range(k):
+            own = labels[:, m] == j
+            assert n[o + j] == own.sum()
+            assert np.allclose([cost[o + j], q[o + j], *s[o + j]], [best[own, m].sum(), xx[own].sum(), *X[own].sum(axis=0)])
