@@ -1,14 +1,16 @@
 """Piece search against the sentencepiece library and a plain Viterbi; round trips; edge cases."""
 
+import gc
 import random
+import weakref
 
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tillroll.llm import catalog
-from tillroll.llm._common import tokenizer_path
+from tillroll.llm import catalog, sentencepiece_viterbi
+from tillroll.llm._common import text_chunks, tokenizer_path
 from tillroll.llm.sentencepiece_viterbi import MARK, MODEL, PieceModel, decode, encode
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +112,11 @@ def test_edge_cases(spark):
     odd = spark.createDataFrame([([5, None, 40_000_000, 1, 2],), (None,), ([],), ([3 + 0xFF],)], "ids array<int>")
     assert [r.decoded for r in decode(odd).collect()][1:3] == [None, ""]
     assert "⁇" in decode(odd).first().decoded
+
+
+def test_a_worker_keeps_the_model_until_another_operator_comes(data):
+    model = weakref.ref(sentencepiece_viterbi._model(data))
+    gc.collect()
+    assert sentencepiece_viterbi._model(data) is model()
+    list(text_chunks(iter([])))  # as simhash and the classifier begin a task
+    assert model() is None

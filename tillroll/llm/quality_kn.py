@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbering import dense_numbers
-from tillroll.llm._common import free_name, one_by_one, text_chunks, with_ids_of
+from tillroll.llm._common import drop_kept, free_name, one_by_one, text_chunks, with_ids_of
 from tillroll.session import materialize
 
 ORDER = 4
@@ -267,6 +267,7 @@ def load(sent: list) -> Model:
 def _scorer(sent: list):
     @F.arrow_udf("struct<logp:double,n:long>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_kept()
         model = load(sent)
         for texts in batches:
             logp, n, held, chars = [], [], [], 0

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm._common import free_name, text_chunks, tokenizer_path
+from tillroll.llm._common import free_name, kept, text_chunks, tokenizer_path
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -48,6 +48,8 @@ PART_CHARS, PARTS, PAIRS = 48, 400_000, 400_000
 STRIDE = 64
 #: Texts of about this size are encoded together.
 TOGETHER = 6_000_000
+#: The name under which a worker keeps the model, and the parts it has seen, for its next task.
+KEPT = "pieces"
 
 
 class PieceModel:
@@ -104,8 +106,9 @@ class PieceModel:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; new parts are searched in order first, as neighbours begin alike."""
         mark = MARK if self.dummy_prefix else ""
-        split = [self.parts.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts]
-        here = {p for x in split for p in x if len(p) <= PART_CHARS}
+        one: dict[str, str] = {}  # a part that comes again is held once
+        split = [list(map(one.setdefault, x, x)) for x in (self.parts.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts)]
+        here = {p for p in one if len(p) <= PART_CHARS}
         new = here - self.known.keys()
         if len(new) + len(self.known) > PARTS:  # those that these texts have too are the likeliest to come again
             kept = {p: self.known[p] for p in here & self.known.keys()}
@@ -258,15 +261,8 @@ class _Parts(dict):
         return _Parts, (self.model,)
 
 
-_LOADED: dict[int, PieceModel] = {}
-
-
 def _model(data: bytes) -> PieceModel:
-    key = hash(data)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = PieceModel.load(data)
-    return _LOADED[key]
+    return kept(KEPT, hash(data), lambda: PieceModel.load(data))
 
 
 def _broadcast(spark: SparkSession, path: str | None):
@@ -283,7 +279,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
-        for b in text_chunks(batches, text, TOGETHER):
+        for b in text_chunks(batches, text, TOGETHER, KEPT):
             ids = model.encode_all(b.column(text).to_pylist())
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
@@ -301,7 +297,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
-        for b in text_chunks(batches, ids_col):
+        for b in text_chunks(batches, ids_col, keep=KEPT):
             lists = b.column(ids_col)
             flat = pc.fill_null(lists.values, model.unk).to_numpy()
             ends = lists.offsets.to_numpy()
