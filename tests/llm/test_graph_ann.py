@@ -86,3 +86,58 @@ def test_repeated_query_ids_and_blocks(spark):
     df, asked = (spark.createDataFrame(t, "vec_id long, embedding array<double>") for t in (data, queries))
     for size in (1, 7, 100):
         same(rows(graph_ann.nearest(df, asked, query_rows=size)), brute(data, list(least.items())))
+
+
+def tables_of(monkeypatch):
+    """The tables that the operator writes, by name."""
+    seen, write = {}, graph_ann.materialize
+    monkeypatch.setattr(graph_ann, "materialize", lambda df, name=None, **more: seen.setdefault(name, write(df, name, **more)))
+    return seen
+
+
+def test_no_row_holds_a_graph(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    seen = tables_of(monkeypatch)
+    got = rows(graph_ann.nearest(df, df.where("vec_id < 40"), least_shards=1, query_rows=8))
+    widest = max(sum(len(c) for c in r if isinstance(c, (bytes, bytearray, list))) for t in seen.values() for r in t.collect())
+    assert widest < 1000  # a vector of 64 bytes with its 32 neighbours, not 1,200 of them
+    want = brute(data, data[:40])
+    assert len(got) == len(want) and len({g[::2] for g in got} & {w[::2] for w in want}) >= 0.98 * len(want)
+
+
+def test_wide_vectors_get_more_shards(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    data = [(i, [float(x) for x in rng.normal(size=64 if i < 200 else 2)]) for i in range(400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    seen = tables_of(monkeypatch)
+    same(rows(graph_ann.nearest(df, df.where("vec_id % 50 = 0"), least_shards=1, shard_bytes=4 * 64 * 25)), brute(data, data[::50]))
+    counts = {r.graph: r["count"] for r in seen["graphs"].groupBy("graph").count().collect()}
+    assert len([g for g in counts if g.startswith("64:")]) == 8 and sum(counts.values()) == 400
+
+
+def test_several_tasks_in_one_stream_of_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = [(f"v{i}", [float(x) for x in np.float32(rng.normal(size=3))]) for i in range(60)]
+    data += [(f"w{i}", [float(i), 1.0]) for i in range(5)] + [("q", [1.0])]
+    monkeypatch.setattr(graph_ann, "MOST_PARTITIONS", 2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for kind in ("float", "double"):  # both are exact, whatever the queries are in
+            df, asked = (spark.createDataFrame(data, f"vec_id string, embedding array<{t}>") for t in (kind, "double"))
+            same(rows(graph_ann.nearest(df, asked, least_shards=3, query_rows=4)), brute(data, data))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_beams_narrower_than_a_step():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 6))
+    g = Graph(x)
+    q = (x[:50] / g.scale).astype(np.float32)
+    for beam in (1, 3, 4, 5):
+        ids, dist = g.search(q, beam)
+        assert ids.shape == (50, beam) and all(len(set(r[r >= 0])) == (r >= 0).sum() for r in ids)
+        assert np.allclose(dist[ids >= 0], g._near(q, np.einsum("ij,ij->i", q, q), ids)[ids >= 0], atol=1e-6)
