@@ -13,7 +13,7 @@ A shard has at most about ``shard_rows`` classes and ``shard_bytes`` of vectors,
 memory. Its graph is written once, a row for each node. Queries are cut into blocks of about ``query_rows``, and
 the blocks dealt to parts, which have about as many queries as a graph has nodes: more parts would send the
 graphs more often than the queries are worth. Each (graph, part) is a task, which reads the nodes of the graph and
-then the queries as a stream: no row, nor anything else that a task holds, is larger than its graph.
+then the queries as a stream: no row is larger than a node or a query.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite parts take no part, nor do
 queries with them; vectors of another length than the query's are no candidates; null ids take no part; repeated rows count
